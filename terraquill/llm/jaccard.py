@@ -2,14 +2,18 @@
 
 1. A text becomes the set of its distinct k-word shingles, as ascending 64-bit hashes.
 2. Sets are banded by size. Two sets that link at the threshold differ by at most H shingles, H known from the band of
-   the smaller. The hash space is cut into H + 1 + SPARE equal slices, so linked sets agree wholly on at least SPARE + 1
-   of them: (band, slice, sum of the mixed shingles in it) is a tile, and linked sets share one. A set also stands in the
-   tiles of the band below if a partner can be there. A set with more than SPARE empty slices has tiles for those too.
-   Small bands use the first |s| - ceil(t |s|) + 1 shingles in hash order instead (linked sets share one of these).
+   the smaller. The hash space is cut into m = H + 1 + SPARE equal slices, so linked sets agree wholly on at least
+   SPARE + 1 of them: (band, slice, sum of the mixed shingles in it) is a tile, and linked sets share one. A set also
+   stands in the tiles of the band below if a partner can be there. A set with more than SPARE empty slices has tiles for
+   those too. Where m exceeds SLICES, the first SLICES slices do: H differences leave each untouched with probability
+   above 1 / e, and the chance that none of SLICES is (they are negatively associated) is below 2^-64, that of an equal
+   64-bit hash. Small bands use the first |s| - ceil(t |s|) + 1 shingles in hash order (linked sets share one of these).
 3. Tiles with one set vanish. Each set of a tile is first held against the tile's least set (a star, linear in rows);
-   then tiles whose sets are still in several components are solved in blocks, pairs inside one component skipped.
-4. A pair is held against each other by hashed parity bitmaps: bits that differ are at most the shingles that differ, so
-   their count bounds the overlap from above. Pairs that pass get the exact intersection of the sorted arrays.
+   then tiles whose sets are still in several components are solved in pairs of blocks, pairs in one component skipped.
+4. A pair is held against each other by hashed parity bitmaps, about 1/32 of the set's bytes: bits that differ are at most
+   the shingles that differ, so their count bounds the overlap from above. Tiles carry the bitmaps only. Pairs that pass
+   get the exact intersection of the sorted arrays. A block tile joins its passing pairs at once; if the exact test then
+   refuses one of them, that tile is solved again with the arrays themselves.
 5. Links become components by star contraction. Only links that join components are kept; none is lost between them.
 
 Equal sets are one node throughout. Hot tiles: equal sets are emitted once per task, stars are salted by the number of
@@ -38,7 +42,9 @@ from terraquill.llm.runtime import cut, lookup_join, shared_dir
 _U = np.uint64
 SPARE = 2
 SMALL = 16
-BLOCK = 128
+SLICES = 97
+#: Sets of one block of a tile; with their arrays, and with bitmaps only.
+BLOCK, BLOCK_BITS = 128, 512
 #: Members of one star that a task handles.
 STAR = 512
 #: Digests that a task remembers to emit equal sets once.
@@ -72,8 +78,8 @@ class Bands:
             else:
                 differ = (top + 100 * top // self.percent) * (100 - self.percent) // (100 + self.percent)
                 m = differ + 1 + SPARE
-                self.plans[band] = np.array([(i << 64) // m for i in range(1, m)], _U)
-                self.salts[band] = textkit.mix(np.arange(1, m + 1, dtype=_U) * _U(0xD6E8FEB86659FD93) + _U(band + 1))
+                self.plans[band] = np.array([(i << 64) // m for i in range(1, min(m, SLICES + 1))], _U)
+                self.salts[band] = textkit.mix(np.arange(1, min(m, SLICES) + 1, dtype=_U) * _U(0xD6E8FEB86659FD93) + _U(band + 1))
         return self.plans[band]
 
     def tiles(self, u: np.ndarray, offsets: np.ndarray, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +95,10 @@ class Bands:
                 if bounds is None:
                     prefix = True
                     continue
-                at = np.empty(len(bounds) + 2, np.int64)
-                at[0], at[-1] = 0, n
-                at[1:-1] = np.searchsorted(u[lo:hi], bounds)
+                count = len(self.salts[band])
+                at = np.empty(count + 1, np.int64)
+                at[0], at[-1] = 0, n  # the last slice ends at the end, unless only the first of many are taken
+                at[1 : len(bounds) + 1] = np.searchsorted(u[lo:hi], bounds)
                 full = at[1:] > at[:-1]
                 at += lo
                 x = sums[at]
@@ -175,10 +182,33 @@ def _arrays(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return own.select("doc_id", "text", "a").mapInArrow(run, "node long, s binary")
 
 
+def _bits(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, n, s): sizes and bitmaps of the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array([bitmap(x, width_of(len(x))).tobytes() for x in held], pa.binary())], ["node", "n", "s"])
+
+    return _arrays(docs, nodes, k).mapInArrow(run, "node long, n long, s binary")
+
+
+def width_of(n: int) -> int:
+    """Bits of a set's bitmap: a power of two, at least 128 and two to four for each element."""
+    return 1 << max(7, (2 * n - 1).bit_length())
+
+
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
     """width / 64 words; a bit is the parity of the elements that hash to it."""
     odd = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8)).view(_U)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(_U)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same set has at fewer words."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -189,72 +219,69 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-class _Tile:
-    """Sets of one tile; side 0 is held against side 1, or, if there is only a side 2, all against all."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-
-    def links(self, rows: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-        """rows: (side, node, component, set). Yields links between different components that no earlier link joins."""
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := root.get(x, x)) != x:
-                root[x] = root.get(y, y)
-                x = y
-            return x
-
-        n = np.array([len(r[3]) for r in rows])
-        width = 1 << max(7, int(np.quantile(n, 0.75) * 4).bit_length())
-        bits = np.stack([bitmap(r[3], min(width, 1 << 16)) for r in rows])
-        comp = np.array([r[2] for r in rows])
-        side = np.array([r[0] for r in rows])
-        for i, row in enumerate(rows):
-            if row[0] == 1:
-                continue
-            others = np.flatnonzero(side == 1) if row[0] == 0 else np.arange(i + 1, len(rows))
-            a, b = n[i], n[others]
-            others = others[(comp[others] != row[2]) & (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b))]
-            if not len(others):
-                continue
-            differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            bound = (n[others] + a - differ) // 2
-            need = -(-self.percent * (n[others] + a) // (100 + self.percent))
-            near = others[bound >= need]
-            for j in near[np.argsort(-bound[bound >= need], kind="stable")].tolist():
-                x, y = find(row[2]), find(rows[j][2])
-                if x != y and _overlap(row[3], rows[j][3]) >= least_overlap(int(a), int(n[j]), self.percent):
-                    root[max(x, y)] = min(x, y)
-                    yield row[1], rows[j][1]
-
-
-def _solve(placed: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) found in tiles; placed: (t0, t1, t2, side, node, component, s)."""
+def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, exact: bool) -> Iterator[tuple[int, int]]:
+    """Links within one tile of rows (side, node, component, size, array or bitmap).
+
+    Side 0 is held against side 1, or, where there is a side 2 only, all against all. Pairs inside one component are
+    skipped. With arrays, or among side 2 and between blocks, each link joins two components that no earlier link joins.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    n = np.array([r[3] for r in rows])
+    words = min(width_of(int(x)) for x in n) // 64
+    bits = np.stack([bitmap(r[4], words * 64) if exact else folded(r[4], words) for r in rows])
+    component = np.array([r[2] for r in rows])
+    side = np.array([r[0] for r in rows])
+    ones = np.flatnonzero(side == 1)
+    for i, row in enumerate(rows):
+        if row[0] == 1:
+            continue
+        others = ones if row[0] == 0 else np.arange(i + 1, len(rows))
+        a, b = n[i], n[others]
+        others = others[(component[others] != row[2]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))]
+        if not len(others):
+            continue
+        differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        bound = (n[others] + a - differ) // 2
+        near = np.flatnonzero(bound >= -(-percent * (n[others] + a) // (100 + percent)))
+        for j in others[near[np.argsort(-bound[near], kind="stable")]].tolist():
+            x, y = find(row[2]), find(rows[j][2])
+            if x != y and (not exact or _overlap(row[4], rows[j][4]) >= least_overlap(int(a), int(n[j]), percent)):
+                root[max(x, y)] = min(x, y)
+                yield row[1], rows[j][1]
+
+
+def _solve(placed: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Pairs (tile, u, v) found in tiles; placed: (t0, t1, t2, side, node, component, n, s)."""
+    t = ["t0", "t1", "t2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, tile = None, [], _Tile(percent)
+        key, rows = None, []
 
         def solved() -> Iterator[pa.RecordBatch]:
-            if found := list(tile.links(rows)) if len(rows) > 1 else []:
+            if found := list(tile_links(rows, percent, exact)) if len(rows) > 1 else []:
                 u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(u), pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["tile", "u", "v"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            held = batch.column(6)
-            for i, (*k, side, node, component) in enumerate(zip(*columns)):
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            held = batch.column(7)
+            for i, (*k, side, node, component, n) in enumerate(zip(*columns)):
                 if k != key:
                     yield from solved()
                     key, rows = k, []
-                rows.append((side, node, component, np.frombuffer(held[i].as_buffer(), _U)))
+                rows.append((side, node, component, n, np.frombuffer(held[i].as_buffer(), _U)))
         yield from solved()
 
-    t = ["t0", "t1", "t2"]
-    spark = placed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.select(*t, "side", "node", "component", "s").repartition(parts, *t).sortWithinPartitions(*t, "side", "node")
-    return dealt.mapInArrow(run, "u long, v long")
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select(*t, "side", "node", "component", "n", "s").repartition(parts, *t).sortWithinPartitions(*t, "side", "node")
+    return dealt.mapInArrow(run, "tile long, u long, v long")
 
 
 def _star_rows(pairs: DataFrame) -> DataFrame:
@@ -268,19 +295,18 @@ def _star_rows(pairs: DataFrame) -> DataFrame:
     return members.union(hubs).withColumn("component", F.col("node"))
 
 
-def _block_rows(rows: DataFrame) -> DataFrame:
+def _block_rows(rows: DataFrame, block: int) -> DataFrame:
     """(t0, t1, t2, side, node, component) for (tile, node, component): each pair of blocks of a tile once."""
     counts = rows.groupBy("tile").agg(F.count(F.lit(1)).alias("c"))
-    dealt = rows.join(counts, "tile").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.join(counts, "tile").withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     return dealt.select(F.col("tile").alias("t0"), low.alias("t1"), high.alias("t2"), side.alias("side"), "node", "component")
 
 
-def _with_sets(docs: DataFrame, rows: DataFrame, names: DataFrame, k: int) -> DataFrame:
-    nodes = cut(rows.select("node").distinct().join(names, "node"))
-    return rows.join(_arrays(docs, nodes, k), "node")
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")).distinct()
 
 
 def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,25 +315,44 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     who = cut(identities(docs, k))
     named = who.where("a IS NOT NULL AND doc_id IS NOT NULL")
-    classes = named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
+    classes = cut(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")))
     names = classes.select("node", "a")
+
+    def solve(rows: DataFrame, exact: bool) -> DataFrame:
+        rows = cut(rows)
+        nodes = cut(rows.select("node").distinct().join(names, "node"))
+        held = _arrays(docs, nodes, k).withColumn("n", F.shiftright(F.octet_length("s"), 3).cast("long")) if exact else _bits(docs, nodes, k)
+        return cut(_solve(rows.join(held, "node"), percent, exact))
+
     shared = _tiles(docs.where("doc_id IS NOT NULL"), k, percent)
     w = W.partitionBy("tile")
     shared = shared.select("tile", "a", F.min("a").over(w).alias("hub"), F.max("a").over(w).alias("last")).where("hub < last")
     shared = cut(shared.select("tile", "a", "hub").distinct())
     ids = names.select(F.col("a").alias("hub"), F.col("node").alias("hub_node"))
     pairs = shared.where("a <> hub").select("hub", "a").distinct().join(names, "a").join(ids, "hub").select(F.col("hub_node").alias("hub"), "node")
-    first = cut(_solve(_with_sets(docs, cut(_star_rows(cut(pairs))), names, k), percent))
-    reached = cut(components(first))
-    # Tiles that still hold several components; of tiles with the same sets one is enough.
-    rows = shared.select("tile", "a").join(names, "a").select("tile", "node").join(reached, "node", "left")
-    rows = cut(rows.select("tile", "node", F.coalesce("component", "node").alias("component")))
-    open_tiles = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    open_tiles = open_tiles.where("lo < hi AND c > 2").groupBy("c", "x").agg(F.min("tile").alias("tile"))
-    rows = cut(_block_rows(cut(rows.join(open_tiles.select("tile"), "tile"))))
-    second = _solve(_with_sets(docs, rows, names, k), percent)
-    reached = components(first.union(second))
-    of = classes.join(reached, "node", "left").select("a", "b", F.coalesce("component", "node").alias("least"), F.col("node"), "rows").where("rows > 1 OR least <> node")
+    near = solve(_star_rows(cut(pairs)), False)
+    links = solve(_star_rows(_pairs(near)), True).select("u", "v")
+    reached = cut(components(links))
+
+    def open_rows(tiles: DataFrame) -> DataFrame:
+        """(tile, node, component) of tiles that hold several components; of tiles with the same sets one is enough."""
+        rows = tiles.join(reached, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
+        rows = cut(rows)
+        still = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
+        still = still.where("lo < hi AND c > 2").groupBy("c", "x").agg(F.min("tile").alias("tile"))
+        return rows.join(still.select("tile"), "tile")
+
+    rows = cut(open_rows(shared.select("tile", "a").join(names, "a").select("tile", "node")))
+    near = solve(_block_rows(rows, BLOCK_BITS), False)
+    true = solve(_star_rows(_pairs(near)), True).select("u", "v")
+    links = cut(links.union(true))
+    reached = cut(components(links))
+    # Tiles in which the exact test refused a pair: its ends are still apart, or later pairs may have been skipped for it.
+    pair = [F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")]
+    refused = near.select("tile", *pair).join(true.select(*pair), ["hub", "node"], "left_anti").select("tile").distinct()
+    again = solve(_block_rows(open_rows(rows.select("tile", "node").join(refused, "tile")), BLOCK), True)
+    reached = components(links.union(again.select("u", "v")))
+    of = classes.join(reached, "node", "left").select("a", "b", F.coalesce("component", "node").alias("least"), "node", "rows").where("rows > 1 OR least <> node")
     of = cut(of.select("a", "b", "least"))
     out = lookup_join(who, of, ["a", "b"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
