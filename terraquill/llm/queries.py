@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraquill.llm import jaccard, sharding
+import corpus_pipeline
+from terraquill.llm import decontam, jaccard, langid, packing, pii, sharding
 from terraquill.llm.runtime import table
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, percent=80)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 16)
 
@@ -16,5 +21,27 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op7_ngram_jaccard_join)}
-ORACLE: dict[str, str] = {}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_benchmark_decontamination,
+        op3_sharding,
+        op7_ngram_jaccard_join,
+        op8_packing,
+        op9_pii,
+        op10_language_id,
+    )
+} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontam.ORACLE_SQL}

@@ -113,6 +113,19 @@ def words(column: pa.Array, separator: np.ndarray = BLANK) -> Iterator[tuple[int
             yield lo, hi, *_words(data, offsets, separator)
 
 
+def word_counts(column: pa.Array, separator: np.ndarray = BLANK) -> np.ndarray:
+    """The number of words of each row."""
+    out = []
+    for _, _, data, offsets in chunks(column):
+        inside = (~separator).take(data)
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        firsts = offsets[:-1][offsets[:-1] < len(data)]
+        begin[firsts] = inside[firsts]
+        out.append(np.diff(np.searchsorted(np.flatnonzero(begin), offsets)))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def shingles(h: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each text its k-word shingles in order; with fewer words the whole sequence as one; without words none."""
     n = len(h)
