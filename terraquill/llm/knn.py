@@ -1,0 +1,255 @@
+"""Exact top-k by inner product: a Voronoi join of queries with all data.
+
+1. Components become integers, floor(64 x). Equal vectors count once: of each only the k + 1 least ids can be among any
+   query's k best, so no more of them are dealt out, however many there are.
+2. Pivots, a hashed sample of the vectors, cut the space into cells; queries and data go to their nearest pivot's. Data
+   keep r = |x - pivot|.
+3. A sample of the data gives each query q a floor t: its k-th best score there, which the true one can't be below. As
+   q x = q p + q (x - p) <= q p + |q| r, and q x <= |q| |x|, a vector of cell j can matter to a query of cell i only if
+   r >= min over the cell's q of (t - q p_j) / |q| and |x| >= min of t / |q|. These summaries (cells x cells numbers) come
+   to the driver and are broadcast; their size doesn't depend on the input.
+4. A vector is sent to those query cells only where both hold. A cell with many queries is cut into blocks of QUERIES, and
+   the data sent to a block into SHARD_ROWS parts by a hash of their id, so no task holds more than a block of queries and
+   a batch of data; parts are solved by matrix products and merged by rank.
+
+Results are exact: bounds are widened by more than rounding can do, and products are exact integers (64-bit floats while
+they stay below 2^53, else 64-bit integers). Shorter vectors count as having zeros at their end. Defined results: vectors
+that are null, empty or hold null or non-finite components take no part; ties go to the smaller id; a row is never its own
+query's candidate (nor are rows that repeat its id); fewer candidates than k give fewer rows; null ids take no part.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from terraquill.llm.runtime import cut
+
+QUERIES, SHARD_ROWS, SAMPLE, SCALE = 4096, 500_000, 2048, 64
+_BATCH = 2048
+
+
+def _integers(vectors: DataFrame, width: int) -> DataFrame:
+    """(vec_id, v): integer components, little-endian, 2, 4 or 8 bytes each as the largest needs (the first byte tells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held = [], []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i is None or not v or None in v:
+                    continue
+                x = np.floor(np.array(v, np.float64) * SCALE)
+                if not np.isfinite(x).all():
+                    continue
+                top = np.abs(x).max()
+                kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
+                n = np.zeros(width, kind)
+                n[: len(x)] = x.astype(kind)
+                ids.append(i), held.append(bytes([n.itemsize]) + n.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["vec_id", "v"])
+
+    return vectors.mapInArrow(run, "vec_id long, v binary")
+
+
+def matrix(held: list[bytes], width: int) -> np.ndarray:
+    """int64 rows."""
+    kinds = {len(v) for v in held}
+    if len(kinds) == 1 and held:
+        size = held[0][0]
+        return np.frombuffer(b"".join(v[1:] for v in held), f"<i{size}").reshape(len(held), width).astype(np.int64)
+    return np.stack([np.frombuffer(v, f"<i{v[0]}", offset=1).astype(np.int64) for v in held]) if held else np.zeros((0, width), np.int64)
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of int64 rows."""
+    if not q.size or not x.size:
+        return np.zeros((len(q), len(x)), np.int64)
+    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    return q @ x.T
+
+
+class Cells:
+    """Pivots, and the bounds of query cells."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.p = pivots.astype(np.float64)
+        self.square = np.square(self.p).sum(axis=1)
+        self.reach = self.long = self.blocks = None
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = x.astype(np.float64)
+        cell = (self.square - 2 * (x @ self.p.T)).argmin(axis=1)
+        return cell, np.sqrt(np.square(x - self.p[cell]).sum(axis=1))
+
+
+def _floors(q: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    s = products(q, sample).astype(np.float64)
+    s[ids[:, None] == sample_ids[None, :]] = -np.inf
+    return np.partition(s, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k] if len(sample_ids) >= k else np.full(len(q), -np.inf)
+
+
+def _summaries(queries: DataFrame, cells: Cells, sample: tuple, width: int, k: int) -> list:
+    shared = queries.sparkSession.sparkContext.broadcast((cells, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, (ids_s, x_s) = shared.value
+        n = len(cells.p)
+        reach, long, count = np.full((n, n), np.inf), np.full(n, np.inf), np.zeros(n, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), _BATCH):
+                part = batch.slice(at, _BATCH)
+                q = matrix(part.column(1).to_pylist(), width)
+                cell, _ = cells.nearest(q)
+                t = _floors(q, part.column(0).to_numpy(), x_s, ids_s, k)
+                size = np.sqrt(np.square(q.astype(np.float64)).sum(axis=1))
+                zero = size == 0
+                size[zero] = 1
+                near = (t[:, None] - q.astype(np.float64) @ cells.p.T) / size[:, None]
+                far = t / size
+                near[zero], far[zero] = -np.inf, -np.inf
+                np.minimum.at(reach, cell, near)
+                np.minimum.at(long, cell, far)
+                count += np.bincount(cell, minlength=n)
+        i, j = np.nonzero(np.broadcast_to(count[:, None] > 0, (n, n)))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(reach[i, j]), pa.array(long[i]), pa.array(count[i])], ["i", "j", "reach", "long", "count"])
+
+    made = queries.mapInArrow(run, "i long, j long, reach double, long double, count long")
+    return made.groupBy("i", "j").agg(F.min("reach"), F.min("long"), F.sum("count")).collect()
+
+
+def _dealt(df: DataFrame, cells: Cells, width: int, kind: int, shards: int) -> DataFrame:
+    """(i, b, s, kind, vec_id, v): queries to their block in every shard, data to the blocks that may need them."""
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), _BATCH):
+                part = batch.slice(at, _BATCH)
+                held = part.column(1).to_pylist()
+                x, ids = matrix(held, width), part.column(0).to_numpy()
+                cell, r = cells.nearest(x)
+                if kind == 0:
+                    row = np.repeat(np.arange(len(ids)), shards)
+                    i, s = cell[row], np.tile(np.arange(shards), len(ids))
+                    b = (ids[row] // 20) % cells.blocks[i]
+                else:
+                    size = np.sqrt(np.square(x.astype(np.float64)).sum(axis=1))
+                    slack = 1e-9 * (1 + size + r)
+                    want = (r + slack)[:, None] >= cells.reach[:, cell].T
+                    want &= (size + slack)[:, None] >= cells.long[None, :]
+                    row, i = np.nonzero(want)
+                    times = cells.blocks[i]
+                    b = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    row, i = np.repeat(row, times), np.repeat(i, times)
+                    s = ids[row] % shards
+                if len(row):
+                    v = part.column(1).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (i, b, s, np.full(len(row), kind), ids[row])] + [v], ["i", "b", "s", "kind", "vec_id", "v"])
+
+    return df.mapInArrow(run, "i long, b long, s long, kind long, vec_id long, v binary")
+
+
+class _Best:
+    """The k best (score, id) of a block of queries."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.top = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        self.least = np.full(len(ids), np.iinfo(np.int64).min)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        s = products(self.q, x)
+        own = self.ids[:, None] == ids[None, :]
+        good = (s >= self.least[:, None]) & ~own
+        for row in np.flatnonzero(good.any(axis=1)).tolist():
+            new = np.flatnonzero(good[row])
+            score = np.concatenate([self.top[row][0], s[row, new]])
+            who = np.concatenate([self.top[row][1], ids[new]])
+            order = np.lexsort((who, -score))[: self.k]
+            self.top[row] = score[order], who[order]
+            if len(order) == self.k:
+                self.least[row] = score[order[-1]]
+
+
+def _solve(dealt: DataFrame, width: int, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best, ids, held, queries = None, None, [], [], True
+
+        def flush() -> None:
+            nonlocal best, ids, held
+            if held:
+                x, n = matrix(held, width), np.array(ids, np.int64)
+                if queries:
+                    best = _Best(n, x, k)
+                elif best is not None:
+                    best.add(n, x)
+            ids, held = [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            flush()
+            if best is not None and (n := [len(t[0]) for t in best.top]) and sum(n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, n)), pa.array(np.concatenate([t[1] for t in best.top])), pa.array(np.concatenate([t[0] for t in best.top]))], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            for *k3, kind, i, v in zip(*columns):
+                if k3 != key:
+                    yield from done()
+                    key, best, queries = k3, None, True
+                if queries and kind == 1:
+                    flush()
+                    queries = False
+                ids.append(i), held.append(v)
+                if not queries and len(held) >= _BATCH:
+                    flush()
+        yield from done()
+
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = dealt.repartition(parts, "i", "b", "s").sortWithinPartitions("i", "b", "s", "kind")
+    return placed.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, cells: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by `every`."""
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    width = max(width, 1)
+    vectors = cut(_integers(rows, width))
+    first, each = W.partitionBy("v", "_part").orderBy("vec_id"), W.partitionBy("v").orderBy("vec_id")
+    salted = vectors.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
+    data = cut(salted.withColumn("_n", F.row_number().over(each)).where(F.col("_n") <= k + 1).select("vec_id", "v"))
+    queries = vectors.where(F.col("vec_id") % every == 0)
+    n = data.count()
+    cells = cells or max(1, min(128, int(math.sqrt(n) / 12)))
+    picked = data.withColumn("_h", F.xxhash64("v", "vec_id")).orderBy("_h", "vec_id").limit(SAMPLE).collect()
+    x = matrix([bytes(r["v"]) for r in picked], width)
+    known = Cells(np.unique(x, axis=0)[:: max(1, len(x) // cells)][:cells] if len(x) else np.zeros((1, width), np.int64))
+    shape = len(known.p)
+    known.reach, known.long, counts = np.full((shape, shape), np.inf), np.full(shape, np.inf), np.zeros(shape, np.int64)
+    for i, j, reach, long, count in _summaries(queries, known, (np.array([r["vec_id"] for r in picked], np.int64), x), width, k):
+        known.reach[i, j], known.long[i], counts[i] = reach, long, count
+    known.reach -= 1e-7 * (1 + np.abs(np.nan_to_num(known.reach, posinf=0, neginf=0)))
+    known.long -= 1e-7 * (1 + np.abs(np.nan_to_num(known.long, posinf=0, neginf=0)))
+    known.blocks = np.maximum(1, -(-counts // QUERIES))
+    shards = max(1, -(-n // SHARD_ROWS))
+    found = _solve(_dealt(queries, known, width, 0, shards).union(_dealt(data, known, width, 1, shards)), width, k)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+#: For op6; floor(64 x) as double, products of integers.
+ORACLE_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

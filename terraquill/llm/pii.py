@@ -90,7 +90,7 @@ LABELS = (*KINDS, "secret")
 MAX_TOKENS = {"email": 16, "ip": 7, "card": 9, "phone": 12, "secret": 48}
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]")
-_KEY = re.compile(r"(?i)\b(token|secret|key|password|passwd|pwd|api)\W{0,6}$")
+_KEY = re.compile(r"(?i)(token|secret|key|password|passwd|pwd|api)\W{0,6}$")
 _CALL = re.compile(r"(?i)\b(tel|phone|call|fax|mobile|tél|telefon|teléfono)\W{0,4}$")
 _EMAIL_FORM = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP_FORM = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
@@ -121,7 +121,7 @@ def segment_features(text: str, a: int, b: int) -> list[str]:
         out.append("after:key")
     if _CALL.search(before):
         out.append("after:call")
-    if before[-1:].isalnum() or before[-1:] in ("@", "+", "_"):
+    if before[-1:].isalnum() or before[-1:] in ("@", "+", "_") or (before[-1:] in (".", "-") and before[-2:-1].isalnum()):
         out.append("cut:left")
     if after.isalnum() or after in ("@", "_") or (after in (".", "-") and text[b + 1 : b + 2].isalnum()):
         out.append("cut:right")

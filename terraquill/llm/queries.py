@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from terraquill.llm import decontam, jaccard, langid, packing, pii, sharding
+from terraquill.llm import decontam, jaccard, knn, langid, packing, pii, quality, sharding, tokens, warc
 from terraquill.llm.runtime import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, percent=80)
 
@@ -17,6 +21,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 16)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -36,12 +52,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_token_counts,
         op2_benchmark_decontamination,
         op3_sharding,
+        op4_quality_classifier,
+        op5_warc,
+        op6_exact_top_k,
         op7_ngram_jaccard_join,
         op8_packing,
         op9_pii,
         op10_language_id,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontam.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontam.ORACLE_SQL, "op6_exact_top_k": knn.ORACLE_SQL}
