@@ -17,7 +17,7 @@
 5. Links become components by star contraction. Only links that join components are kept; none is lost between them.
 
 Equal sets are one node throughout. Hot tiles: equal sets are emitted once per task, stars are salted by the number of
-their members, blocks have at most BLOCK sets. No cap drops a pair. Nothing is collected to the driver.
+their members, blocks are bounded in bytes and sets. No cap drops a pair. Nothing is collected to the driver.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing; repeated rows link with each
 other (all have the same id, if the id repeats); a null id has a null component; an empty table gives an empty result.
@@ -43,8 +43,8 @@ _U = np.uint64
 SPARE = 2
 SMALL = 16
 SLICES = 97
-#: Sets of one block of a tile; with their arrays, and with bitmaps only.
-BLOCK, BLOCK_BITS = 128, 512
+#: Bytes of sets or bitmaps that one block of a tile holds, and its most and least sets.
+BLOCK_BYTES, BLOCK_MOST, BLOCK_LEAST = 32 << 20, 8192, 64
 #: Members of one star that a task handles.
 STAR = 512
 #: Digests that a task remembers to emit equal sets once.
@@ -295,10 +295,14 @@ def _star_rows(pairs: DataFrame) -> DataFrame:
     return members.union(hubs).withColumn("component", F.col("node"))
 
 
-def _block_rows(rows: DataFrame, block: int) -> DataFrame:
-    """(t0, t1, t2, side, node, component) for (tile, node, component): each pair of blocks of a tile once."""
-    counts = rows.groupBy("tile").agg(F.count(F.lit(1)).alias("c"))
-    dealt = rows.join(counts, "tile").withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _block_rows(rows: DataFrame, each: float) -> DataFrame:
+    """(t0, t1, t2, side, node, component) for (tile, node, component, n): each pair of a tile's blocks once.
+
+    each: bytes for a shingle. A tile is one block, and no row is repeated, up to BLOCK_BYTES or BLOCK_MOST sets.
+    """
+    fit = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.floor(F.lit(BLOCK_BYTES) / (F.max("n") * each + 64))))
+    counts = rows.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / fit).cast("int").alias("blocks"))
+    dealt = rows.join(counts, "tile").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -315,7 +319,7 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     who = cut(identities(docs, k))
     named = who.where("a IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")))
+    classes = cut(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")))
     names = classes.select("node", "a")
 
     def solve(rows: DataFrame, exact: bool) -> DataFrame:
@@ -335,22 +339,22 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     reached = cut(components(links))
 
     def open_rows(tiles: DataFrame) -> DataFrame:
-        """(tile, node, component) of tiles that hold several components; of tiles with the same sets one is enough."""
-        rows = tiles.join(reached, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
+        """(tile, node, n, component) of tiles that hold several components; of tiles with the same sets one is enough."""
+        rows = tiles.join(reached, "node", "left").select("tile", "node", "n", F.coalesce("component", "node").alias("component"))
         rows = cut(rows)
         still = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
         still = still.where("lo < hi AND c > 2").groupBy("c", "x").agg(F.min("tile").alias("tile"))
         return rows.join(still.select("tile"), "tile")
 
-    rows = cut(open_rows(shared.select("tile", "a").join(names, "a").select("tile", "node")))
-    near = solve(_block_rows(rows, BLOCK_BITS), False)
+    rows = cut(open_rows(shared.select("tile", "a").join(classes.select("node", "a", "n"), "a").select("tile", "node", "n")))
+    near = solve(_block_rows(rows, 0.5), False)
     true = solve(_star_rows(_pairs(near)), True).select("u", "v")
     links = cut(links.union(true))
     reached = cut(components(links))
     # Tiles in which the exact test refused a pair: its ends are still apart, or later pairs may have been skipped for it.
     pair = [F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")]
     refused = near.select("tile", *pair).join(true.select(*pair), ["hub", "node"], "left_anti").select("tile").distinct()
-    again = solve(_block_rows(open_rows(rows.select("tile", "node").join(refused, "tile")), BLOCK), True)
+    again = solve(_block_rows(open_rows(rows.select("tile", "node", "n").join(refused, "tile")), 8.0), True)
     reached = components(links.union(again.select("u", "v")))
     of = classes.join(reached, "node", "left").select("a", "b", F.coalesce("component", "node").alias("least"), "node", "rows").where("rows > 1 OR least <> node")
     of = cut(of.select("a", "b", "least"))
