@@ -1,7 +1,7 @@
 """Quality scores: n-gram indicators scaled by naive Bayes log-count ratios, and a linear hinge-loss model on them.
 
-The indicators of a text are its distinct 1- to 3-byte n-grams (of UTF-8) and pairs of equal words in a row, hashed to
-BUCKETS. The log-count ratio of a bucket compares how often it occurs in texts of either class; all labelled training rows
+The indicators of a text are its distinct 1- to 3-byte n-grams (of UTF-8) and, as word n-grams of one pattern, that n equal
+words stand in a row for n from 2 to RUNS, hashed to BUCKETS. The log-count ratio of a bucket compares how often it occurs in texts of either class; all labelled training rows
 are counted. Indicators times ratios, at unit length, are the features of a support vector machine with squared hinge loss,
 fitted by dual coordinate descent. The fit takes a bounded sample: about `rows` training rows and `nbytes` of their text
 at most, chosen by a hash. The score is the logistic of twice the margin. Scoring reads each whole text once, with one
@@ -28,7 +28,8 @@ from terraquill.llm.runtime import lookup_join
 
 BUCKETS = 1 << 17
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
-_REPEAT = 77
+#: Longest run of equal words with an indicator of its own.
+RUNS = 24
 
 
 def _grams(data: np.ndarray) -> list[np.ndarray]:
@@ -57,8 +58,10 @@ def indicators(column: pa.Array) -> Iterator[np.ndarray]:
                 for at in range(a, b, textkit.CHUNK):
                     for g in _grams(data[at : min(b, at + textkit.CHUNK + 2)]):
                         seen[g] = True
-            if again[places[r] + 1 : places[r + 1]].any():
-                seen[_REPEAT] = True
+            same = again[places[r] + 1 : places[r + 1]]
+            if same.any():
+                breaks = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+                seen[: min(RUNS, int(np.diff(breaks).max())) - 1] = True
             found = np.flatnonzero(seen)
             seen[found] = False
             yield found.astype(np.int32)
