@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-NODES, LONG, BLOCK = 1_000_000, 64, 1 << 16
+NODES, LONG, BLOCK = 500_000, 64, 1 << 16
 START = "▁"
 #: How far a character outside the vocabulary lies below the rarest piece.
 UNKNOWN = 10.0
