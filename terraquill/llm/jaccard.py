@@ -10,10 +10,11 @@
    64-bit hash. Small bands use the first |s| - ceil(t |s|) + 1 shingles in hash order (linked sets share one of these).
 3. Tiles with one set vanish. Each set of a tile is first held against the tile's least set (a star, linear in rows);
    then tiles whose sets are still in several components are solved in pairs of blocks, pairs in one component skipped.
-4. A pair is held against each other by hashed parity bitmaps, about 1/32 of the set's bytes: bits that differ are at most
-   the shingles that differ, so their count bounds the overlap from above. Tiles carry the bitmaps only. Pairs that pass
-   get the exact intersection of the sorted arrays. A block tile joins its passing pairs at once; if the exact test then
-   refuses one of them, that tile is solved again with the arrays themselves.
+4. A pair is held against each other by hashed parity bitmaps, at most 1/8 of the set's bytes: bits that differ are at most
+   the shingles that differ, so their count bounds the overlap from above. Tiles carry the bitmaps only. Distinct pairs
+   that pass get the exact intersection of the sorted arrays, streamed past the pair's lesser set. A block tile joins its
+   passing pairs at once; if the exact test then refuses one of them, all passing pairs of that tile that are still in
+   different components are tested, so an array moves once for a pair and not for every tile that the pair shares.
 5. Links become components by star contraction. Only links that join components are kept; none is lost between them.
 
 Equal sets are one node throughout. Hot tiles: equal sets are emitted once per task, stars are salted by the number of
@@ -45,6 +46,8 @@ SMALL = 16
 SLICES = 97
 #: Bytes of sets or bitmaps that one block of a tile holds, and its most and least sets.
 BLOCK_BYTES, BLOCK_MOST, BLOCK_LEAST = 32 << 20, 8192, 64
+#: Most bytes of a bitmap for a shingle.
+BITS = 1.0
 #: Members of one star that a task handles.
 STAR = 512
 #: Digests that a task remembers to emit equal sets once.
@@ -194,8 +197,8 @@ def _bits(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 
 def width_of(n: int) -> int:
-    """Bits of a set's bitmap: a power of two, at least 128 and two to four for each element."""
-    return 1 << max(7, (2 * n - 1).bit_length())
+    """Bits of a set's bitmap: a power of two, at least 128 and four to eight for each element."""
+    return 1 << max(7, (4 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -219,11 +222,11 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, exact: bool) -> Iterator[tuple[int, int]]:
+def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, exact: bool, joining: bool = True) -> Iterator[tuple[int, int]]:
     """Links within one tile of rows (side, node, component, size, array or bitmap).
 
     Side 0 is held against side 1, or, where there is a side 2 only, all against all. Pairs inside one component are
-    skipped. With arrays, or among side 2 and between blocks, each link joins two components that no earlier link joins.
+    skipped; if joining, so are those whose components an earlier link of the tile joins.
     """
     root: dict[int, int] = {}
 
@@ -253,19 +256,20 @@ def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int,
         for j in others[near[np.argsort(-bound[near], kind="stable")]].tolist():
             x, y = find(row[2]), find(rows[j][2])
             if x != y and (not exact or _overlap(row[4], rows[j][4]) >= least_overlap(int(a), int(n[j]), percent)):
-                root[max(x, y)] = min(x, y)
+                if joining:
+                    root[max(x, y)] = min(x, y)
                 yield row[1], rows[j][1]
 
 
-def _solve(placed: DataFrame, percent: int, exact: bool) -> DataFrame:
+def _solve(placed: DataFrame, percent: int, exact: bool, joining: bool = True) -> DataFrame:
     """Pairs (tile, u, v) found in tiles; placed: (t0, t1, t2, side, node, component, n, s)."""
     t = ["t0", "t1", "t2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, held_bytes = None, [], 0
 
         def solved() -> Iterator[pa.RecordBatch]:
-            if found := list(tile_links(rows, percent, exact)) if len(rows) > 1 else []:
+            if found := list(tile_links(rows, percent, exact, joining)) if len(rows) > 1 else []:
                 u, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(u), pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["tile", "u", "v"])
 
@@ -275,8 +279,12 @@ def _solve(placed: DataFrame, percent: int, exact: bool) -> DataFrame:
             for i, (*k, side, node, component, n) in enumerate(zip(*columns)):
                 if k != key:
                     yield from solved()
-                    key, rows = k, []
-                rows.append((side, node, component, n, np.frombuffer(held[i].as_buffer(), _U)))
+                    key, rows, held_bytes = k, [], 0
+                if held_bytes > BLOCK_BYTES and side == 1 and k[2] < 0:  # a star needs its hub only to go on
+                    yield from solved()
+                    rows, held_bytes = [r for r in rows if r[0] == 0], 0
+                rows.append((side, node, component, n, np.frombuffer(held[i].as_buffer(), _U).copy()))
+                held_bytes += 8 * len(rows[-1][4])
         yield from solved()
 
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -322,11 +330,11 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     classes = cut(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")))
     names = classes.select("node", "a")
 
-    def solve(rows: DataFrame, exact: bool) -> DataFrame:
+    def solve(rows: DataFrame, exact: bool, joining: bool = True) -> DataFrame:
         rows = cut(rows)
         nodes = cut(rows.select("node").distinct().join(names, "node"))
         held = _arrays(docs, nodes, k).withColumn("n", F.shiftright(F.octet_length("s"), 3).cast("long")) if exact else _bits(docs, nodes, k)
-        return cut(_solve(rows.join(held, "node"), percent, exact))
+        return cut(_solve(rows.join(held, "node"), percent, exact, joining))
 
     shared = _tiles(docs.where("doc_id IS NOT NULL"), k, percent)
     w = W.partitionBy("tile")
@@ -347,15 +355,17 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
         return rows.join(still.select("tile"), "tile")
 
     rows = cut(open_rows(shared.select("tile", "a").join(classes.select("node", "a", "n"), "a").select("tile", "node", "n")))
-    near = solve(_block_rows(rows, 0.5), False)
+    near = solve(_block_rows(rows, BITS), False)
     true = solve(_star_rows(_pairs(near)), True).select("u", "v")
     links = cut(links.union(true))
     reached = cut(components(links))
-    # Tiles in which the exact test refused a pair: its ends are still apart, or later pairs may have been skipped for it.
+    # Tiles in which the exact test refused a pair: later pairs may have been skipped for it, so all that pass are tested.
     pair = [F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")]
-    refused = near.select("tile", *pair).join(true.select(*pair), ["hub", "node"], "left_anti").select("tile").distinct()
-    again = solve(_block_rows(open_rows(rows.select("tile", "node", "n").join(refused, "tile")), 8.0), True)
-    reached = components(links.union(again.select("u", "v")))
+    refused = cut(near.select("tile", *pair).join(true.select(*pair), ["hub", "node"], "left_anti"))
+    open_again = open_rows(rows.select("tile", "node", "n").join(refused.select("tile").distinct(), "tile"))
+    again = _pairs(solve(_block_rows(open_again, BITS), False, joining=False)).join(refused.select("hub", "node").distinct(), ["hub", "node"], "left_anti")
+    true = solve(_star_rows(cut(again)), True).select("u", "v")
+    reached = components(links.union(true))
     of = classes.join(reached, "node", "left").select("a", "b", F.coalesce("component", "node").alias("least"), "node", "rows").where("rows > 1 OR least <> node")
     of = cut(of.select("a", "b", "least"))
     out = lookup_join(who, of, ["a", "b"], "left")
