@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquill.llm import decontam, jaccard, langid, packing, pii
-from terraquill.llm.runtime import cut, lookup_join, new_folder, table
+from terraquill.llm.runtime import cut, lookup_join, new_folder, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told (no letter); `lang` becomes the predicted language where it is null."""
+    small_batches(spark)
     profiles = langid.learn(docs.select("text", "lang"), "text", "lang")
     found = langid.predict(docs, profiles)
     kept = found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred"))

@@ -12,8 +12,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a worker holds several arrays of a batch's size.
+BATCH_ROWS, BATCH_BYTES = "2000", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Python workers. Applies to the session, where it isn't set smaller already."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(BATCH_ROWS):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only where it is unset (tests on one machine) a local one is made."""
+    small_batches(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -48,6 +60,7 @@ def text_of(text: str) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
