@@ -1,7 +1,7 @@
 """Token counts by trie-shared dynamic programming over a unigram model.
 
-A text's pre-tokens are its runs without white space, each marked by the word-start sign. A task keeps the distinct
-pre-tokens it has seen in a trie. A node of the trie is a prefix and holds its forward score: the best sum of log
+A text's pre-tokens are its runs without white space, each marked by the word-start sign. A worker keeps the distinct
+pre-tokens it has seen in a trie, over all its tasks of one query. A node of the trie is a prefix and holds its forward score: the best sum of log
 probabilities of vocabulary pieces that spell it, with the number of tokens in that spelling (ties: fewer tokens). A new
 pre-token computes only the nodes that no earlier one shares; the count at its end is its terminal count, and a text's
 count is the sum of its pre-tokens' terminal counts. No row is shuffled. The trie is dropped and begun anew when it has
@@ -19,14 +19,17 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-NODES, LONG, BLOCK = 500_000, 64, 1 << 16
+NODES, LONG, BLOCK = 800_000, 64, 1 << 16
 START = "▁"
 #: How far a character outside the vocabulary lies below the rarest piece.
 UNKNOWN = 10.0
@@ -48,6 +51,12 @@ class Trie:
     def __init__(self, vocabulary: dict[str, float]):
         self.vocabulary = vocabulary
         self.most = max(map(len, vocabulary), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in vocabulary:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: Lengths of the pieces that end with two given characters.
+        self.ends = {k: sorted(v) for k, v in ends.items()}
         self.unknown = min(vocabulary.values(), default=0.0) - UNKNOWN
         self.clear()
 
@@ -63,7 +72,9 @@ class Trie:
             top, tokens = best[-1] + self.vocabulary[c], count[-1] + 1
         else:
             top, tokens = best[-1] + self.unknown, count[-1] + len(c.encode("utf-8", "surrogatepass"))
-        for n in range(2, min(self.most, at + 1) + 1):
+        for n in self.ends.get(word[at - 1 : at + 1], ()) if at else ():
+            if n > at + 1:
+                break
             p = self.vocabulary.get(word[at + 1 - n : at + 1])
             if p is not None:
                 s, t = best[-n] + p, count[-n] + 1
@@ -104,6 +115,26 @@ class Trie:
         return sum([known[w] if w in known else self.insert(w) for w in words])
 
 
+class _Shared(NamedTuple):
+    table: Broadcast
+    id: str
+
+    @property
+    def value(self) -> dict[str, float]:
+        return self.table.value
+
+
+_kept: dict[str, Trie] = {}
+
+
+def _trie(shared: _Shared) -> Trie:
+    """The worker's trie for a broadcast vocabulary; later tasks of the same worker go on with it."""
+    if shared.id not in _kept:
+        _kept.clear()
+        _kept[shared.id] = Trie(shared.value)
+    return _kept[shared.id]
+
+
 def _blocks(text: str) -> Iterator[list[str]]:
     if len(text) <= 1 << 20:
         yield text.split()
@@ -115,12 +146,12 @@ def _blocks(text: str) -> Iterator[list[str]]:
 
 def count(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """df without its text, with n_words and n_tokens (long)."""
-    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    shared = _Shared(df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary)), uuid.uuid4().hex)
     kept = [c for c in df.columns if c not in (text, "n_words", "n_tokens")]
     fields = "".join(f"`{c}` {t}, " for c, t in df.dtypes if c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie = _trie(shared)
         for batch in batches:
             words, tokens = [], []
             for t in batch.column(len(kept)):
