@@ -100,8 +100,11 @@ class Profiles:
 
 
 def learn(training: DataFrame, text: str, lang: str, size: int = 400, rows: int = 2000) -> Profiles:
-    """The profiles of rows that have text and language; of each language about `rows` rows are counted."""
-    known = training.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).withColumn("_pick", F.pmod(F.xxhash64(F.octet_length(text), F.substring(text, 1, 64)), F.lit(1 << 30)))
+    """The profiles of rows that have text and language; of each language about `rows` rows are counted.
+
+    Rows are chosen by a hash of all columns of `training`: with an id among them, copies of a text are chosen one by one.
+    """
+    known = training.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).withColumn("_pick", F.pmod(F.xxhash64(*training.columns), F.lit(1 << 30)))
     there = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not there:
         return Profiles({}, size)
@@ -154,5 +157,5 @@ def fold(doc_id: str, of: int) -> Column:
 def identify(documents: DataFrame, size: int = 400, rows: int = 2000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every document; learned from rows that aren't held out."""
     out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
-    profiles = learn(documents.where(~out).select("text", "lang"), "text", "lang", size, rows)
+    profiles = learn(documents.where(~out).select("doc_id", "text", "lang"), "text", "lang", size, rows)
     return predict(documents.select("doc_id", out.alias("held_out"), "text"), profiles).drop("text")
