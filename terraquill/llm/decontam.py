@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraquill.llm import textkit
+from terraquill.llm.runtime import tidy
 
 HITS = 3
 BLOCK_SHINGLES = 1_000_000
@@ -123,7 +124,7 @@ def _search(docs: DataFrame, sketches: Sketches) -> DataFrame:
                 rows, items, hits, sizes = zip(*found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(items, pa.int64()), pa.array(hits, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
+    return docs.mapInArrow(tidy(run), "doc_id long, item_id long, n_shared long, n_item long")
 
 
 def contained(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 
 from terraquill.llm import textkit
 from terraquill.llm.components import components
-from terraquill.llm.runtime import cut, lookup_join, shared_dir
+from terraquill.llm.runtime import cut, lookup_join, shared_dir, tidy
 
 _U = np.uint64
 SPARE = 2
@@ -48,6 +48,8 @@ SLICES = 97
 BLOCK_BYTES, BLOCK_MOST, BLOCK_LEAST = 32 << 20, 8192, 64
 #: Most bytes of a bitmap for a shingle.
 BITS = 1.0
+#: 64-bit words of bitmaps that are compared at a time.
+HELD = 1 << 18
 #: Members of one star that a task handles.
 STAR = 512
 #: Digests that a task remembers to emit equal sets once.
@@ -144,7 +146,7 @@ def identities(docs: DataFrame, k: int) -> DataFrame:
                 n, (a, b) = np.diff(offsets), _mixed(u, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(a, mask=n == 0), pa.array(b, mask=n == 0)], ["doc_id", "n_shingles", "a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, a long, b long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, a long, b long")
 
 
 def _tiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -165,11 +167,11 @@ def _tiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 tiles, counts = bands.tiles(u, offsets, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(tiles.view(np.int64)), pa.array(np.repeat(a[rows], counts))], ["tile", "a"])
 
-    return docs.mapInArrow(run, "tile long, a long")
+    return docs.mapInArrow(tidy(run), "tile long, a long")
 
 
-def _arrays(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, s): the sets of the given nodes (node, a), computed anew from their texts."""
+def _arrays(docs: DataFrame, nodes: DataFrame, k: int, bits: bool) -> DataFrame:
+    """(node, n, s): the sizes, and the sets or their bitmaps, of the given nodes (node, a), computed anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,23 +179,15 @@ def _arrays(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             node = batch.column(batch.schema.get_field_index("doc_id"))
             for lo, u, offsets in _sets_of(batch, k):
                 n, (a, _) = np.diff(offsets), _mixed(u, offsets)
-                own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets * 8), pa.py_buffer(u)]).cast(pa.binary())
-                keep = pa.array((n > 0) & (a == want[lo : lo + len(n)]))
-                yield pa.RecordBatch.from_arrays([node.slice(lo, len(n)), own], ["node", "s"]).filter(keep)
+                keep = (n > 0) & (a == want[lo : lo + len(n)])
+                if bits:
+                    own = pa.array([bitmap(u[offsets[r] : offsets[r + 1]], width_of(int(n[r]))).tobytes() for r in np.flatnonzero(keep).tolist()], pa.binary())
+                else:
+                    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets * 8), pa.py_buffer(u)]).filter(pa.array(keep)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([node.slice(lo, len(n)).filter(pa.array(keep)), pa.array(n[keep], pa.int64()), own], ["node", "n", "s"])
 
     own = lookup_join(docs, nodes.select(F.col("node").alias("doc_id"), "a"), "doc_id")
-    return own.select("doc_id", "text", "a").mapInArrow(run, "node long, s binary")
-
-
-def _bits(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, s): sizes and bitmaps of the given nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array([bitmap(x, width_of(len(x))).tobytes() for x in held], pa.binary())], ["node", "n", "s"])
-
-    return _arrays(docs, nodes, k).mapInArrow(run, "node long, n long, s binary")
+    return own.select("doc_id", "text", "a").mapInArrow(tidy(run), "node long, n long, s binary")
 
 
 def width_of(n: int) -> int:
@@ -241,7 +235,7 @@ def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int,
     bits = np.stack([bitmap(r[4], words * 64) if exact else folded(r[4], words) for r in rows])
     component = np.array([r[2] for r in rows])
     side = np.array([r[0] for r in rows])
-    ones = np.flatnonzero(side == 1)
+    ones, step = np.flatnonzero(side == 1), max(1, HELD // words)
     for i, row in enumerate(rows):
         if row[0] == 1:
             continue
@@ -250,7 +244,7 @@ def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int,
         others = others[(component[others] != row[2]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))]
         if not len(others):
             continue
-        differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        differ = np.concatenate([np.bitwise_count(bits[others[at : at + step]] ^ bits[i]).sum(axis=1, dtype=np.int64) for at in range(0, len(others), step)])
         bound = (n[others] + a - differ) // 2
         near = np.flatnonzero(bound >= -(-percent * (n[others] + a) // (100 + percent)))
         for j in others[near[np.argsort(-bound[near], kind="stable")]].tolist():
@@ -289,7 +283,7 @@ def _solve(placed: DataFrame, percent: int, exact: bool, joining: bool = True) -
 
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.select(*t, "side", "node", "component", "n", "s").repartition(parts, *t).sortWithinPartitions(*t, "side", "node")
-    return dealt.mapInArrow(run, "tile long, u long, v long")
+    return dealt.mapInArrow(tidy(run), "tile long, u long, v long")
 
 
 def _star_rows(pairs: DataFrame) -> DataFrame:
@@ -333,8 +327,7 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     def solve(rows: DataFrame, exact: bool, joining: bool = True) -> DataFrame:
         rows = cut(rows)
         nodes = cut(rows.select("node").distinct().join(names, "node"))
-        held = _arrays(docs, nodes, k).withColumn("n", F.shiftright(F.octet_length("s"), 3).cast("long")) if exact else _bits(docs, nodes, k)
-        return cut(_solve(rows.join(held, "node"), percent, exact, joining))
+        return cut(_solve(rows.join(_arrays(docs, nodes, k, not exact), "node"), percent, exact, joining))
 
     shared = _tiles(docs.where("doc_id IS NOT NULL"), k, percent)
     w = W.partitionBy("tile")

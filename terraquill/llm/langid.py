@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from terraquill.llm.runtime import tidy
+
 _PIECE = 1 << 19
 _letters: list[np.ndarray] = []
 
@@ -125,7 +127,7 @@ def learn(training: DataFrame, text: str, lang: str, size: int = 400, rows: int
                 counts = np.bincount(where, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts)], ["lang", "gram", "n"])
 
-    counted = picked.select(F.col(lang).cast("string").alias("lang"), text).mapInArrow(count, "lang string, gram long, n long")
+    counted = picked.select(F.col(lang).cast("string").alias("lang"), text).mapInArrow(tidy(count), "lang string, gram long, n long")
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
     ranks: dict[str, list[int]] = {}
@@ -147,7 +149,7 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
             found = [known.nearest(t.as_py()) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*kept, "lang_pred", "score"])
 
-    return df.select(*kept).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return df.select(*kept).mapInArrow(tidy(run), f"{fields}, lang_pred string, score double")
 
 
 def fold(doc_id: str, of: int) -> Column:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraquill.llm.runtime import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -360,7 +362,7 @@ def scan(df: DataFrame, text: str = "text", model: SemiMarkov | None = None) ->
             types = [pa.int64()] * 4 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], [*kept, *new])
 
-    return df.select(*kept).mapInArrow(run, f"{fields}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string")
+    return df.select(*kept).mapInArrow(tidy(run), f"{fields}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string")
 
 
 def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
