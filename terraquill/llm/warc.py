@@ -3,7 +3,7 @@
 Writing: each capture becomes a WARC/1.1 record. Of equal payloads the one of the least id is a response and the others
 are revisits that refer to it (identical payload digest; from `least` bytes on, smaller payloads are always responses).
 Which they are is decided on (id, digest) rows alone, pre-aggregated by digest, so a payload that a third of all rows share
-is a few rows; pages themselves move once, by their id. Records go through Spark's own text writer (its line separator is
+is a few rows; pages themselves move once, compressed, by their id and digest. Records go through Spark's own text writer (its line separator is
 the record separator), so commits, retries and any file system that Spark knows work as for other tables. Within a file
 captures are sorted by URL key and time: the file's index is a sorted run.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
@@ -27,7 +28,7 @@ from uuid import UUID
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquill.llm.runtime import cut, new_folder
@@ -127,31 +128,38 @@ def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds")
     total = roles.where("NOT revisit").agg(F.sum("payload_bytes")).first()[0] or 0
     spark = pages.sparkSession
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES)) if total > FILE_BYTES else 4
-    # A response needs its html, a revisit does not: html moves by page_id, which no group shares.
-    x, y = pages.alias("x"), roles.alias("y")
+    # html moves once, compressed: to the task that meets its role and writes its file. Rows that repeat an id with other
+    # payloads meet their own digest only.
+    roles = roles.select(_place("page_id", "sha1"), "payload_bytes", "sha1", "first", "revisit")
+    own = _with_digest(pages).select(_place("page_id", "sha1"), "page_id", "url", "packed", "seconds").repartition(files, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             yield pa.RecordBatch.from_arrays([
                 pa.array([url_key(r["url"]) for r in rows], pa.string()), batch.column(2), batch.column(0),
-                pa.array([record(r["page_id"], r["url"], r["seconds"], r["html"], r["payload_bytes"], r["sha1"], r["first"], r["revisit"]) for r in rows], pa.string()),
+                pa.array([record(r["page_id"], r["url"], r["seconds"], zlib.decompress(r["packed"]).decode() if r["packed"] else None, r["payload_bytes"], r["sha1"], r["first"], r["revisit"]) for r in rows], pa.string()),
             ], ["key", "seconds", "page_id", "value"])
 
-    # Rows that repeat an id with other payloads meet their own digest only.
-    own = _with_digest(pages).alias("x")
-    joined = own.join(y, F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.sha1") == F.col("y.sha1")))
-    ready = joined.select("x.page_id", "x.url", "x.seconds", F.when(~F.col("y.revisit"), F.col("x.html")).alias("html"), "y.payload_bytes", "y.sha1", "y.first", "y.revisit")
+    ready = own.join(roles.hint("shuffle_hash"), "place")
+    ready = ready.select("page_id", "url", "seconds", F.when(~F.col("revisit"), F.col("packed")).alias("packed"), "payload_bytes", "sha1", "first", "revisit")
     made = ready.mapInArrow(run, "key string, seconds long, page_id long, value string")
-    made.repartition(files, "page_id").sortWithinPartitions("key", "seconds", "page_id").select("value").write.option("lineSep", "\r\n\r\n").text(path)
+    made.sortWithinPartitions("key", "seconds", "page_id").select("value").write.option("lineSep", "\r\n\r\n").text(path)
+
+
+def _place(page_id: str, sha1: str) -> Column:
+    """One key, never null, for an id and a digest."""
+    return F.concat_ws(":", sha1, F.col(page_id).cast("string")).alias("place")
 
 
 def _with_digest(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest((x.as_py() or "").encode()) for x in batch.column(2)], pa.string())], ["page_id", "url", "html", "seconds", "sha1"])
+            held = [(x.as_py() or "").encode() for x in batch.column(2)]
+            packed = pa.array([zlib.compress(x, 1) for x in held], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3), pa.array([digest(x) for x in held], pa.string())], ["page_id", "url", "packed", "seconds", "sha1"])
 
-    return pages.mapInArrow(run, "page_id long, url string, html string, seconds long, sha1 string")
+    return pages.mapInArrow(run, "page_id long, url string, packed binary, seconds long, sha1 string")
 
 
 _INDEX = "key string, seconds long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
