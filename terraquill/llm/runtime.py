@@ -65,6 +65,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As `cut`, as Parquet: smaller where values repeat, such as file names."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup_join(df: DataFrame, table: DataFrame, on: list[str] | str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join with a table that is broadcast only if its counted rows are few; otherwise Spark shuffles both sides."""
     rows = table.count() if rows is None else rows

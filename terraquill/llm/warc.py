@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm.runtime import cut, new_folder
+from terraquill.llm.runtime import new_folder, stored
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 FILE_BYTES = 16 << 20
@@ -121,10 +121,10 @@ def _facts(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds") -> None:
     """Writes pages (page_id, url, html, seconds) as WARC files below path."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.col(seconds).cast("long").alias("seconds"))
-    facts = cut(_facts(pages).distinct())
+    facts = stored(_facts(pages).distinct())
     firsts = facts.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first"))
     roles = facts.join(firsts, ["sha1", "payload_bytes"]).withColumn("revisit", (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()))
-    roles = cut(roles)
+    roles = stored(roles)
     total = roles.where("NOT revisit").agg(F.sum("payload_bytes")).first()[0] or 0
     spark = pages.sparkSession
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES)) if total > FILE_BYTES else 4
@@ -156,7 +156,7 @@ def _with_digest(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [(x.as_py() or "").encode() for x in batch.column(2)]
-            packed = pa.array([zlib.compress(x, 1) for x in held], pa.binary())
+            packed = pa.array([zlib.compress(x, 6) for x in held], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3), pa.array([digest(x) for x in held], pa.string())], ["page_id", "url", "packed", "seconds", "sha1"])
 
     return pages.mapInArrow(run, "page_id long, url string, packed binary, seconds long, sha1 string")
@@ -259,5 +259,5 @@ def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     path = new_folder(spark, "warc")
     seconds = F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31)).alias("seconds")
     write(pages.select("page_id", "url", "html", seconds), path, least)
-    index = merged(cut(read(spark, path)))
+    index = merged(stored(read(spark, path)))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "seconds", "file", "offset", "length", "range_no", "range_pos")
