@@ -3,9 +3,9 @@
 A text's pre-tokens are its runs without white space, each marked by the word-start sign. A worker keeps the distinct
 pre-tokens it has seen in a trie, over all its tasks of one query. A node of the trie is a prefix and holds its forward score: the best sum of log
 probabilities of vocabulary pieces that spell it, with the number of tokens in that spelling (ties: fewer tokens). A new
-pre-token computes only the nodes that no earlier one shares; the count at its end is its terminal count, and a text's
-count is the sum of its pre-tokens' terminal counts. No row is shuffled. The trie is dropped and begun anew when it has
-NODES nodes; pre-tokens longer than LONG are scored by the same recursion without being kept.
+pre-token computes only the nodes that no earlier one shares (an automaton finds the pieces that end there); the count at its end is its terminal count, and a text's
+count is the sum of its pre-tokens' terminal counts. No row is shuffled. The nodes are dropped and begun anew when they are
+more than NODES, and so are the terminal counts; pre-tokens longer than LONG are scored by the same recursion without being kept.
 
 The vocabulary file (piece_bpe_32k.model by default; a parameter) is read on the driver, never trained, and broadcast: its
 size is fixed. It ranks pieces and states no probabilities, so the unigram model takes Zipf's law, p ~ 1 / rank. A character
@@ -20,10 +20,11 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -45,74 +46,99 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[str, float]:
     return {p: -math.log(r) - norm for r, p in enumerate(pieces, 1)}
 
 
+class _Terminals(dict):
+    """Counts by pre-token; one that isn't there is inserted in the trie."""
+
+    def __init__(self, insert: Callable[[str], int]):
+        super().__init__()
+        self.insert = insert
+
+    def __missing__(self, word: str) -> int:
+        return self.insert(word)
+
+
+def _bytes(c: str) -> int:
+    return len(c.encode("utf-8", "surrogatepass"))
+
+
 class Trie:
-    """Forward scores and token counts of shared prefixes."""
+    """Forward scores and token counts of shared prefixes; a node is found by its prefix."""
 
     def __init__(self, vocabulary: dict[str, float]):
-        self.vocabulary = vocabulary
         self.most = max(map(len, vocabulary), default=1)
-        ends: dict[str, set[int]] = {}
-        for p in vocabulary:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        #: Lengths of the pieces that end with two given characters.
-        self.ends = {k: sorted(v) for k, v in ends.items()}
         self.unknown = min(vocabulary.values(), default=0.0) - UNKNOWN
+        #: Finds the pieces that end at each character of a word.
+        self.pieces = ahocorasick.Automaton()
+        for piece, score in vocabulary.items():
+            self.pieces.add_word(piece, (len(piece), score))
+        self.pieces.make_automaton()
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.best, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
-
-    def _extend(self, word: str, at: int, best: list[float], count: list[int]) -> tuple[float, int]:
-        """Score and count of word[:at + 1] from those of its prefixes; best[-d] belongs to the prefix d shorter."""
-        c = word[at]
-        if c in self.vocabulary:
-            top, tokens = best[-1] + self.vocabulary[c], count[-1] + 1
-        else:
-            top, tokens = best[-1] + self.unknown, count[-1] + len(c.encode("utf-8", "surrogatepass"))
-        for n in self.ends.get(word[at - 1 : at + 1], ()) if at else ():
-            if n > at + 1:
-                break
-            p = self.vocabulary.get(word[at + 1 - n : at + 1])
-            if p is not None:
-                s, t = best[-n] + p, count[-n] + 1
-                if s > top or (s == top and t < tokens):
-                    top, tokens = s, t
-        return top, tokens
+        self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
+        self.terminal = _Terminals(self.insert)
 
     def insert(self, word: str) -> int:
         """The terminal count of a pre-token."""
-        marked = START + word
-        best, count = [0.0], [0]
-        if len(marked) > LONG:
-            for i in range(len(marked)):
-                b, n = self._extend(marked, i, best, count)
-                best.append(b), count.append(n)
-                if len(best) > self.most:
-                    del best[0], count[0]
-            return count[-1]
-        node = 0
-        for i, c in enumerate(marked):
-            nxt = self.child.get((node, c))
-            if nxt is None:
-                b, n = self._extend(marked, i, best, count)
-                nxt = self.child[node, c] = len(self.best)
-                self.best.append(b), self.count.append(n)
-            node = nxt
-            best.append(self.best[node]), count.append(self.count[node])
-        self.terminal[word] = self.count[node]
-        return self.count[node]
+        marked, nodes = START + word, self.nodes
+        size = at = len(marked)
+        if size > LONG:
+            return self._long(marked)
+        while (before := nodes.get(marked[:at])) is None:
+            at -= 1
+        i, top, count, single = at, -math.inf, 0, False
+        # Scores of the prefixes beyond the deepest known node; (size, None) ends the last one.
+        for end, piece in chain(self.pieces.iter(marked, max(0, at + 1 - self.most)), ((size, None),)) if at < size else ():
+            if end < at:
+                continue
+            while i < end:
+                if not single:
+                    s, t = before[0] + self.unknown, before[1] + _bytes(marked[i])
+                    if s > top:
+                        top, count = s, t
+                before = top, count
+                i += 1
+                nodes[marked[:i]] = before
+                top, single = -math.inf, False
+            if piece is None:
+                break
+            n, score = piece
+            if n == 1:
+                (s, t), single = before, True
+            else:
+                s, t = nodes[marked[: end + 1 - n]]
+            s += score
+            t += 1
+            if s > top or (s == top and t < count):
+                top, count = s, t
+        self.terminal[word] = before[1]
+        return before[1]
+
+    def _long(self, marked: str) -> int:
+        """The same recursion; of the scores only those within a piece's reach are held."""
+        held, i, best = [(0.0, 0)], 0, None
+        for end, piece in chain(self.pieces.iter(marked), ((len(marked), None),)):
+            while i < end:
+                if best is None:
+                    best = held[-1][0] + self.unknown, -held[-1][1] - _bytes(marked[i])
+                held.append((best[0], -best[1]))
+                if len(held) > 2 * self.most:
+                    del held[: self.most]
+                i, best = i + 1, None
+            if piece is not None:
+                s, t = held[-piece[0]]
+                if best is None and piece[0] > 1:
+                    best = held[-1][0] + self.unknown, -held[-1][1] - _bytes(marked[i])
+                own = s + piece[1], -t - 1
+                best = own if best is None else max(best, own)
+        return held[-1][1]
 
     def tokens(self, words: list[str]) -> int:
-        if len(self.best) > NODES or len(self.terminal) > NODES:
-            self.clear()
-        known = self.terminal
-        for w in {*words}:
-            if w not in known and len(w) < LONG:
-                self.insert(w)
-        return sum([known[w] if w in known else self.insert(w) for w in words])
+        if len(self.nodes) > NODES:
+            self.nodes = {"": (0.0, 0)}
+        if len(self.terminal) > NODES:
+            self.terminal = _Terminals(self.insert)
+        return sum(map(self.terminal.__getitem__, words))
 
 
 class _Shared(NamedTuple):
