@@ -124,13 +124,12 @@ def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds")
     facts = stored(_facts(pages).distinct())
     firsts = facts.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first"))
     roles = facts.join(firsts, ["sha1", "payload_bytes"]).withColumn("revisit", (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()))
-    roles = stored(roles)
-    total = roles.where("NOT revisit").agg(F.sum("payload_bytes")).first()[0] or 0
+    total = firsts.agg(F.sum("payload_bytes")).first()[0] or 0
     spark = pages.sparkSession
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES)) if total > FILE_BYTES else 4
     # html moves once, compressed: to the task that meets its role and writes its file. Rows that repeat an id with other
     # payloads meet their own digest only.
-    roles = roles.select(_place("page_id", "sha1"), "payload_bytes", "sha1", "first", "revisit")
+    roles = roles.select(_place("page_id", "sha1"), "payload_bytes", "first", "revisit")
     own = _with_digest(pages).select(_place("page_id", "sha1"), "page_id", "url", "packed", "seconds").repartition(files, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +141,7 @@ def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds")
             ], ["key", "seconds", "page_id", "value"])
 
     ready = own.join(roles.hint("shuffle_hash"), "place")
-    ready = ready.select("page_id", "url", "seconds", F.when(~F.col("revisit"), F.col("packed")).alias("packed"), "payload_bytes", "sha1", "first", "revisit")
+    ready = ready.select("page_id", "url", "seconds", F.when(~F.col("revisit"), F.col("packed")).alias("packed"), "payload_bytes", F.substring_index("place", ":", 1).alias("sha1"), "first", "revisit")
     made = ready.mapInArrow(run, "key string, seconds long, page_id long, value string")
     made.sortWithinPartitions("key", "seconds", "page_id").select("value").write.option("lineSep", "\r\n\r\n").text(path)
 
