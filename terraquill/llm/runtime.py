@@ -68,7 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As `cut`, as Parquet: smaller where values repeat, such as file names."""
     path = new_folder(df.sparkSession, "stored")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
