@@ -98,6 +98,8 @@ _EMAIL_FORM = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP_FORM = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
 _PHONE_FORM = re.compile(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?([ .-][0-9]{2,4}){1,4}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
+#: All characters that any of the whole-span forms has.
+_IN_FORM = re.compile(r"[0-9A-Za-z._%+@ ()-]+")
 _WORDY = re.compile(r"[0-9A-Za-z_-]+")
 
 
@@ -136,16 +138,16 @@ def _clusters(text: str) -> Iterator[tuple[list[tuple[int, int]], list[bool]]]:
     """Stretches of tokens in which a segment may hold a trigger, and which of the tokens are triggers.
 
     A stretch ends where no segment can reach from one trigger's word to the next: words stand whole, as entities do not
-    begin or end inside a run of letters or digits, and blanks inside one occur only between digits and brackets.
+    begin or end inside a run of letters or digits, and blanks inside one occur only between digits and brackets. It also
+    ends at each token with a character that no whole-span form has. Nothing else ends it, however long it is.
     """
-    last = -1
+    last = 0
     for m in _TRIGGER.finditer(text):
         if m.start() < last:
             continue
         a = m.start()
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 256:
+        while a > last and not text[a - 1].isspace():
             a -= 1
-        a = max(a, last, 0)
         b = m.end()
         while b < len(text):
             if not text[b].isspace():
@@ -154,11 +156,19 @@ def _clusters(text: str) -> Iterator[tuple[list[tuple[int, int]], list[bool]]]:
                 b += 1
             else:
                 break
-            if b - a > 4096:
-                break
         last = b
-        tokens = [(x.start(), x.end()) for x in _TOKEN.finditer(text, a, b)]
-        yield tokens, [bool(_TRIGGER.search(text, x, y)) for x, y in tokens]
+        tokens: list[tuple[int, int]] = []
+        trigger: list[bool] = []
+        for x in _TOKEN.finditer(text, a, b):
+            if _IN_FORM.fullmatch(x.group()):
+                tokens.append(x.span())
+                trigger.append(x.group()[0] in "0123456789@")
+            elif tokens:
+                if any(trigger):
+                    yield tokens, trigger
+                tokens, trigger = [], []
+        if any(trigger):
+            yield tokens, trigger
 
 
 def _segments(text: str, tokens: list[tuple[int, int]], trigger: list[bool]) -> Iterator[tuple[int, int, list[str], int]]:
@@ -190,36 +200,40 @@ class SemiMarkov:
         w = self.weights
         return sum(w.get((kind, f), 0.0) for f in features)
 
-    def _candidates(self, text: str, tokens, trigger):
-        ends: dict[int, list[tuple[int, str, float, list[str]]]] = {}
-        for i, j, f, n in _segments(text, tokens, trigger):
-            for kind in LABELS:
-                if n <= MAX_TOKENS[kind]:
-                    ends.setdefault(j, []).append((i, kind, self.score(kind, f), f))
-        return ends
-
     def decode(self, text: str) -> list[tuple[str, int, int]]:
         out = []
         for tokens, trigger in _clusters(text):
-            ends = self._candidates(text, tokens, trigger)
-            best: list[tuple[float, int]] = [(0.0, 0)]
-            came: list[tuple[int, str | None]] = [(0, None)]
-            for j in range(1, len(tokens) + 1):
-                top, how = best[j - 1], (j - 1, None)
-                for i, kind, s, _ in ends.get(j, ()):
-                    got = best[i][0] + s, best[i][1] - 1
-                    if got > top:
-                        top, how = got, (i, kind)
-                best.append(top)
-                came.append(how)
+            # The best score and least number of segments up to token `at`; by end, the best that ends in a segment still
+            # ahead; and of the ends where a segment won, how. Nothing is kept of the candidates themselves.
+            at, top = 0, (0.0, 0)
+            ahead: dict[int, tuple[tuple[float, int], int, str]] = {}
+            came: dict[int, tuple[int, str]] = {}
+            for i, j, f, n in _segments(text, tokens, trigger):
+                if i > at:
+                    at, top = i, self._reach(i, top, ahead, came)
+                for kind in LABELS:
+                    if n <= MAX_TOKENS[kind]:
+                        got = top[0] + self.score(kind, f), top[1] - 1
+                        if j not in ahead or got > ahead[j][0]:
+                            ahead[j] = got, i, kind
+            self._reach(len(tokens), top, ahead, came)
             j = len(tokens)
             while j:
-                i, kind = came[j]
+                i, kind = came.get(j, (j - 1, None))
                 if kind:
                     out.append((kind, tokens[i][0], tokens[j - 1][1]))
                 j = i
         return sorted(out, key=lambda s: s[1])
 
+    @staticmethod
+    def _reach(to: int, top: tuple[float, int], ahead: dict, came: dict) -> tuple[float, int]:
+        """The best up to token `to`, where all candidates that end there are known."""
+        for j in sorted(x for x in ahead if x <= to):
+            got, i, kind = ahead.pop(j)
+            if got > top:
+                top, came[j] = got, (i, kind)
+        return top
+
     def gradient(self, stretches: list) -> dict[tuple[str, str], float]:
         """The gradient of the log likelihood of the true segments, by the forward and backward recursions."""
         slope: dict[tuple[str, str], float] = {}

@@ -464,6 +464,21 @@ def test_decoding_matches_brute_force(field):
         assert abs(got - total) < 1e-9
 
 
+def test_entities_in_stretches_without_a_break(field):
+    """Wherever they stand in a stretch of many thousand characters, entities are found whole."""
+    r = random.Random(8)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    key = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    for at in range(4030, 4110, 8):
+        json = ('{"id":7,"name":"some.words/and:more"},' * 300)[:at]
+        text = f'{json}"token="{key}",' + '{"id":8},' * 600
+        assert ("secret", at + 8, at + 48) in field.decode(text)
+        row = " ".join(number(4) for _ in range(820))[:at] + " tel (555) 123-4567"
+        assert ("phone", len(row) - 14, len(row)) in field.decode(row)
+        lines = "/".join(number(3) for _ in range(1100))[:at] + "/(555) 123-4567/" + "12/" * 1000
+        assert ("phone", at + 1, at + 15) in field.decode(lines)
+
+
 def test_pii_rows(spark, odd, field):
     text = 'Mail a.b@x.org, +1 (132) 555-1352 or 4539578763621486; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" from 10.0.0.1.'
     got = pii.scan(documents(spark, [text, "clean text of words", None]), model=field).orderBy("doc_id").collect()
