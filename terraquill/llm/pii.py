@@ -5,7 +5,7 @@ that fails its check is dropped and not tried again. Their spans always stay.
 
 The field labels segments, not tokens. A text's tokens are runs of letters, runs of digits and single other characters.
 Around each trigger (a digit or an @) candidate segments of up to MAX_TOKENS[kind] tokens begin and end at tokens that are
-no blanks; whole-span features (shape, digit count, checksum, alphabet, separators, the words just before) score each kind
+no blanks; a run of letters, digits, _ and - is a candidate for `secret` whatever its length, characters are not bounded; whole-span features (shape, digit count, checksum, alphabet, separators, the words just before) score each kind
 for a segment, and the bounded-entity dynamic programme picks the best joint choice of boundaries and kinds; tokens outside
 entities score 0. A segment without a trigger is never an entity, so the text between clusters of triggers needs no work.
 Weights are fitted here, by gradient ascent on the conditional log likelihood (forward recursion over segments) of texts
@@ -88,7 +88,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 # The segment model
 
 LABELS = (*KINDS, "secret")
-#: Most tokens in a segment of each kind.
+#: Most tokens in a segment of each kind; longer secrets must be a whole run of key characters.
 MAX_TOKENS = {"email": 16, "ip": 7, "card": 9, "phone": 12, "secret": 48}
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]")
@@ -172,22 +172,46 @@ def _clusters(text: str) -> Iterator[tuple[list[tuple[int, int]], list[bool]]]:
 
 
 def _segments(text: str, tokens: list[tuple[int, int]], trigger: list[bool]) -> Iterator[tuple[int, int, list[str], int]]:
-    """(first token, end token, features, tokens) of all candidate segments of a stretch."""
-    most = max(MAX_TOKENS.values())
+    """(first token, end token, features, tokens) of all candidate segments of a stretch, by first token.
+
+    A run of key characters of more than MAX_TOKENS["secret"] tokens is a candidate too, with and without the dashes at
+    either end, and counts as that many tokens.
+    """
+    most, other = MAX_TOKENS["secret"], max(n for kind, n in MAX_TOKENS.items() if kind != "secret")
+    word = [bool(_WORDY.fullmatch(text, x, y)) for x, y in tokens]
+    dash = [text[x] == "-" for x, _ in tokens]
+    end = 0
     for i in range(len(tokens)):
+        if word[i] and i >= end:
+            end = i
+            while end < len(tokens) and word[end]:
+                end += 1
+            bare = end
+            while bare > i and dash[bare - 1]:
+                bare -= 1
+            leads = True
         if text[tokens[i][0]].isspace():
             continue
-        held = False
+        held, key = False, True
         for j in range(i + 1, min(len(tokens), i + most) + 1):
-            held = held or trigger[j - 1]
-            a, b = tokens[i][0], tokens[j - 1][1]
-            if text[b - 1] == "\n" or b - a > 160:
+            held, key = held or trigger[j - 1], key and word[j - 1]
+            if j - i > other and not key:
                 break
+            a, b = tokens[i][0], tokens[j - 1][1]
             if held and not text[b - 1].isspace():
                 f = segment_features(text, a, b)
                 # Whole-span forms are necessary: other segments have no kind to take.
                 if any(x.startswith("form:") for x in f):
                     yield i, j, f, j - i
+        if word[i] and leads:
+            # The run's first token, and after dashes the first that is none.
+            if i == 0 or not word[i - 1] or not dash[i]:
+                for j in sorted({bare, end}):
+                    if j - i > most:
+                        f = segment_features(text, tokens[i][0], tokens[j - 1][1])
+                        if any(x.startswith("form:key") for x in f):
+                            yield i, j, f, most
+            leads = dash[i]
 
 
 class SemiMarkov:

@@ -479,6 +479,18 @@ def test_entities_in_stretches_without_a_break(field):
         assert ("phone", at + 1, at + 15) in field.decode(lines)
 
 
+def test_long_secrets_are_found_whole(field):
+    r = random.Random(12)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", string.digits + string.ascii_letters, string.digits + string.ascii_letters + "_"]
+    for n in (100, 128, 164, 256, 600):
+        for alphabet in alphabets:
+            for before, after in (('token = "', '" and more'), ("secret=", " and more"), ("api_key: ", ". Then"), ("token = -", "- and more")):
+                key = "a1" + "".join(r.choice(alphabet) for _ in range(n - 4)) + "b2"
+                # Between a dash and a key, a tie, the earlier segment stays.
+                a, b = len(before.rstrip("-")), len(before) + n
+                assert field.decode(f"{before}{key}{after}") == [("secret", a, b)], (n, alphabet, before)
+
+
 def test_pii_rows(spark, odd, field):
     text = 'Mail a.b@x.org, +1 (132) 555-1352 or 4539578763621486; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" from 10.0.0.1.'
     got = pii.scan(documents(spark, [text, "clean text of words", None]), model=field).orderBy("doc_id").collect()
