@@ -4,7 +4,7 @@ The indicators of a text are its distinct 1- to 3-byte n-grams (of UTF-8) and, a
 words stand in a row for n from 2 to RUNS, hashed to BUCKETS. The log-count ratio of a bucket compares how often it occurs in texts of either class; all labelled training rows
 are counted. Indicators times ratios, at unit length, are the features of a support vector machine with squared hinge loss,
 fitted by dual coordinate descent. The fit takes a bounded sample: about `rows` training rows and `nbytes` of their text
-at most, chosen by a hash. The score is the logistic of twice the margin. Scoring reads each whole text once, with one
+at most, chosen by a hash of id, label and text. The score is the logistic of twice the margin. Scoring reads each whole text once, with one
 weight a bucket broadcast, and shuffles nothing.
 
 Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1. Several labels of one id count as the greatest; null
@@ -128,7 +128,10 @@ class Model:
 
 
 def learn(training: DataFrame, rows: int = 8000, nbytes: int = 48 << 20, cost: float = 4.0) -> Model:
-    """training: (y, text), y 0 or 1. Every row is counted; a hashed sample within both bounds is fitted."""
+    """training: (y, text, ...), y 0 or 1. Every row is counted; a hashed sample within both bounds is fitted.
+
+    Rows are drawn by a hash of all columns: with an id among them, copies of a text and null texts are drawn one by one.
+    """
     c0, c1 = _counts(training)
     n, n1, size = training.agg(F.count(F.lit(1)), F.sum("y"), F.sum(F.octet_length("text"))).first()
     flat = np.zeros(BUCKETS + 1)
@@ -137,7 +140,7 @@ def learn(training: DataFrame, rows: int = 8000, nbytes: int = 48 << 20, cost: f
         return Model(np.zeros(BUCKETS), flat)
     scale = log_count_ratios(c0, c1)
     share = min(1.0, rows / n, nbytes / max(1, size or 0))
-    sample = training.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = training.where(F.pmod(F.xxhash64(*training.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,5 +173,5 @@ def assess(documents: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document; learned from labelled rows that aren't held out."""
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     known = labels.where(F.col("quality").isin(0, 1) & ~out).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    training = lookup_join(documents.where(~out).select("doc_id", "text"), known, "doc_id").select("y", "text")
+    training = lookup_join(documents.where(~out).select("doc_id", "text"), known, "doc_id").select("y", "text", "doc_id")
     return score(documents.select("doc_id", out.alias("held_out"), "text"), learn(training, **bounds))

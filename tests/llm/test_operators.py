@@ -243,6 +243,21 @@ def test_descent_reaches_the_optimum():
     assert np.abs(w - v).max() < 0.05
 
 
+def test_quality_sample_is_bounded_with_copies_and_nulls(spark, monkeypatch):
+    """Of 1,200 labelled rows a third are copies of a text and a third null: each is drawn by its share."""
+    r = random.Random(5)
+    own = [" ".join(r.choice(["good", "plain", "words", "buy", "now"]) + str(r.randint(0, 99)) for _ in range(9)) for _ in range(400)]
+    texts = own + ["a copied text of words"] * 400 + [None] * 400
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1200)], "doc_id long, quality int")
+    seen = []
+    fit = quality.dual_coordinate_descent
+    monkeypatch.setattr(quality, "dual_coordinate_descent", lambda rows, *a, **b: (seen.append(rows), fit(rows, *a, **b))[1])
+    assert quality.assess(documents(spark, texts), labels, rows=240).count() == 1200
+    empty = sum(not len(x) for x in seen[0])
+    most = Counter(x.tobytes() for x in seen[0] if len(x)).most_common(1)[0][1]
+    assert 160 < len(seen[0]) < 320 and 40 < empty < 120 and 40 < most < 120
+
+
 def test_quality_edges(spark, odd):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(3, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.assess(odd, labels).collect()
