@@ -35,8 +35,13 @@ BLOCK_SHINGLES = 1_000_000
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
+def lower(texts: pa.Array) -> pa.Array:
+    """Character by character, for documents and items alike: str.lower looks at a capital sigma's place and makes two of İ."""
+    return pc.utf8_lower(texts)
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    return _WORD.findall(lower(pa.array([text or ""]))[0].as_py())
 
 
 def item_shingles(text: str | None, k: int) -> set[tuple[str, ...]]:
@@ -100,26 +105,29 @@ class Sketches:
         return out
 
 
+def _found(known: Sketches, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, shared shingles, the item's shingles) of the texts that hold an item."""
+    lowered = lower(texts)
+    for lo, _, h, offsets in textkit.words(lowered, textkit.NOT_ALNUM):
+        last, have = None, {}
+        for row, number in sorted(known.candidates(h, offsets)):
+            item, s = known.exact[number]
+            width = len(next(iter(s)))
+            if row != last:
+                w, have, last = _WORD.findall(lowered[lo + row].as_py()), {}, row
+            if width not in have:
+                have[width] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+            shared_count = len(s & have[width])
+            if 100 * shared_count >= known.percent * len(s):
+                yield lo + row, item, shared_count, len(s)
+
+
 def _search(docs: DataFrame, sketches: Sketches) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            texts = batch.column(1)
-            found = []
-            for lo, _, h, offsets in textkit.words(pc.utf8_lower(texts), textkit.NOT_ALNUM):
-                last, have = None, {}
-                for row, number in sorted(known.candidates(h, offsets)):
-                    item, s = known.exact[number]
-                    width = len(next(iter(s)))
-                    if row != last:
-                        w, have, last = words_of(texts[lo + row].as_py()), {}, row
-                    if width not in have:
-                        have[width] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
-                    shared_count = len(s & have[width])
-                    if 100 * shared_count >= known.percent * len(s):
-                        found.append((lo + row, item, shared_count, len(s)))
+            found = list(_found(shared.value, batch.column(1)))
             if found:
                 rows, items, hits, sizes = zip(*found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(items, pa.int64()), pa.array(hits, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])

@@ -172,6 +172,13 @@ def test_containment_edges(spark, odd):
     assert got == {(4, 0): 2, (14, 0): 1, (5, 1): 1}
 
 
+def test_capitals_are_lowered_alike_in_items_and_documents(spark):
+    items = ["ΟΔΟΣ ΤΗΣ ΜΑΣ ΠΟΛΗΣ ΚΑΙ ΛΑΟΣ ΤΗΣ", "İSTANBUL İZMİR İLE DİYARBAKIR İKİ ŞEHİR"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontam.contained(documents(spark, [f"x {t} y" for t in items] + ["other words that stand in a row"]), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in got) == [(0, 0, 1.0), (1, 1, 1.0)]
+
+
 # 3
 
 
