@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquill.llm import decontam, jaccard, langid, packing, pii
-from terraquill.llm.runtime import cut, lookup_join, new_folder, small_batches, table
+from terraquill.llm.runtime import cut, lookup_join, new_folder, small_batches, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,24 +25,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group linked at 0.8 on five-word shingles the row of the least id, and every row that stands alone.
 
-    Rows that repeat an id are kept or dropped together with it, but for exact repetitions, of which one stays.
+    Each row is decided alone: rows that repeat an id don't share a fate, and a null id counts as greater than all others.
+    Of exact repetitions with an id one stays.
     """
-    linked = jaccard.link(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = cut(linked)
-    kept = lookup_join(docs, gone, "doc_id", "left_anti")
-    twice = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    twice = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
     n = twice.count()
     if not n:
-        return kept.select(docs.columns)
+        linked = jaccard.link(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
+        return lookup_join(docs, cut(linked), "doc_id", "left_anti").select(docs.columns)
+    # Ids don't tell rows apart here: rows get keys, stored with them so that every later reading sees the same.
+    rows = stored(docs.withColumn("_key", F.monotonically_increasing_id()))
+    linked = jaccard.link(rows, k=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
+    placed = cut(rows.select("_key", "doc_id").join(linked, "_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).getField("_key")
+    groups = cut(placed.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), first.alias("_first")).where("n > 1"))
+    gone = cut(lookup_join(placed, groups, "_group").where("_key <> _first").select("_key"))
+    kept = lookup_join(rows, gone, "_key", "left_anti")
     once = lookup_join(kept, twice, "doc_id", "left_anti", n)
-    repeated = lookup_join(kept, twice, "doc_id", "left_semi", n).dropDuplicates()
-    return once.select(docs.columns).union(repeated.select(docs.columns))
+    repeated = lookup_join(kept, twice, "doc_id", "left_semi", n).select(docs.columns).dropDuplicates()
+    return once.select(docs.columns).union(repeated)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold at least 80 percent of a test item's five-word shingles."""
-    found = decontam.contained(docs, table(spark, sf_dir, "benchmark"), k=5, percent=80)
-    return lookup_join(docs, cut(found.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    """Drops rows whose own text holds at least 80 percent of a test item's five-word shingles, with whatever id or none."""
+    return decontam.without(docs, table(spark, sf_dir, "benchmark"), k=5, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,20 +135,43 @@ def _search(docs: DataFrame, sketches: Sketches) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc_id long, item_id long, n_shared long, n_item long")
 
 
-def contained(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) for every document that holds `percent` of an item's shingles."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, k: int, percent: int, block: int) -> Iterator[Sketches]:
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = F.regexp_count(F.col("text"), F.lit(r"\S+"))
     blocks = max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // block))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    out = None
     for b in range(blocks):
-        own = _search(docs, Sketches([tuple(r) for r in dealt.where(F.col("block") == b).select("item_id", "text").collect()], k, percent))
+        yield Sketches([tuple(r) for r in dealt.where(F.col("block") == b).select("item_id", "text").collect()], k, percent)
+
+
+def contained(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) for every document that holds `percent` of an item's shingles."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for sketches in _blocks(benchmark, k, percent, block):
+        own = _search(docs, sketches)
         out = own if out is None else out.union(own)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def without(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of documents whose own text holds `percent` of no item's shingles, whatever their ids are."""
+    place = documents.columns.index("text")
+    fields = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes)
+    out = documents
+    for sketches in _blocks(benchmark, k, percent, block):
+        shared = documents.sparkSession.sparkContext.broadcast(sketches)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[row for row, *_ in _found(shared.value, batch.column(place))]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(tidy(run), fields)
+    return out
+
+
 #: For op2 with k = 5 and 80 percent.
 ORACLE_SQL = r"""
 WITH item_words AS (SELECT item_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL),

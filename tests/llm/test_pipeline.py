@@ -48,6 +48,20 @@ def test_contaminated_documents_go(spark):
     assert decontam.words_of(item["text"])
 
 
+def test_rows_with_null_or_repeated_ids_are_decided_alone(spark):
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choice("theinganor") for _ in range(6)) for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, a), (None, a + " more"), (4, a), (7, b), (7, c), (6, b), (None, d), (None, d + " more"), (8, None), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], DOC)
+    kept = sorted(((x["doc_id"], x["text"]) for x in pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert [x for x in kept if x[1] and x[1].startswith(d)] in ([(None, d)], [(None, d + " more")])
+    assert [x for x in kept if not (x[1] and x[1].startswith(d))] == sorted([(4, a), (6, b), (7, c), (8, None), (None, None)], key=str)
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in [(None, item), (None, a), (3, item), (3, b)]], DOC)
+    assert sorted((x["text"] for x in pipeline.decontaminate(spark, docs, SF).collect())) == sorted([a, b])
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows)
