@@ -14,11 +14,14 @@ from terraquill.llm.runtime import cut, lookup_join, new_folder, small_batches,
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told (no letter); `lang` becomes the predicted language where it is null."""
+    """Drops documents whose language can't be told (no letter); `lang` becomes the predicted language where it is null.
+
+    It stays null where the text shares no n-gram with any profile (score 0): the nearest language is then no finding.
+    """
     small_batches(spark)
     profiles = langid.learn(docs.select("doc_id", "text", "lang"), "text", "lang")
     found = langid.predict(docs, profiles)
-    kept = found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    kept = found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", F.when(F.col("score") > 0, F.col("lang_pred"))))
     return kept.select(docs.columns)
 
 

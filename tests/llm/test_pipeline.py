@@ -41,6 +41,12 @@ def test_stages(spark, docs):
     assert fourth[54]["text"].startswith("mail <EMAIL> now") and fourth[54]["n_chars"] == len(fourth[54]["text"])
 
 
+def test_language_stays_null_for_a_script_not_learned(spark):
+    rows = [(i, t, lang, "s", 1) for i, (t, lang) in enumerate([("the words of one language", "en")] * 9 + [("the words of this", None), ("これはペンです", None)])]
+    got = {r["doc_id"]: r["lang"] for r in pipeline.identify_language(spark, spark.createDataFrame(rows, DOC), SF).collect()}
+    assert got[9] == "en" and got[10] is None and len(got) == 11
+
+
 def test_contaminated_documents_go(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()
     docs = spark.createDataFrame([(1, f"before {item['text']} after", "en", "s", 1), (2, "clean words stay here", "en", "s", 1)], DOC)
