@@ -8,17 +8,19 @@
    those too. Where m exceeds SLICES, the first SLICES slices do: H differences leave each untouched with probability
    above 1 / e, and the chance that none of SLICES is (they are negatively associated) is below 2^-64, that of an equal
    64-bit hash. Small bands use the first |s| - ceil(t |s|) + 1 shingles in hash order (linked sets share one of these).
-3. Tiles with one set vanish. Each set of a tile is first held against the tile's least set (a star, linear in rows);
-   then tiles whose sets are still in several components are solved in pairs of blocks, pairs in one component skipped.
+3. Tiles with one set vanish, and of tiles with the same sets one stays. A tile of more sets than a block holds is cut
+   into blocks by a hash, and first only its first block is held against the others (linear in its rows). Of what is then
+   still in several components, blocks are held against blocks, but never two blocks of the tile's greatest component.
 4. A pair is held against each other by hashed parity bitmaps, at most 1/8 of the set's bytes: bits that differ are at most
    the shingles that differ, so their count bounds the overlap from above. Tiles carry the bitmaps only. Distinct pairs
-   that pass get the exact intersection of the sorted arrays, streamed past the pair's lesser set. A block tile joins its
-   passing pairs at once; if the exact test then refuses one of them, all passing pairs of that tile that are still in
-   different components are tested, so an array moves once for a pair and not for every tile that the pair shares.
+   that pass get the exact intersection of the sorted arrays, streamed past the pair's lesser set. A tile joins its passing
+   pairs at once; if the exact test then refuses one of them, all passing pairs of that tile that are still in different
+   components are tested, so an array moves once for a pair and not for every tile that the pair shares.
 5. Links become components by star contraction. Only links that join components are kept; none is lost between them.
 
-Equal sets are one node throughout. Hot tiles: equal sets are emitted once per task, stars are salted by the number of
-their members, blocks are bounded in bytes and sets. No cap drops a pair. Nothing is collected to the driver.
+Equal sets are one node throughout. Hot tiles: a task emits equal sets once, and of a tile that it meets more than HOT times
+all but two sets travel packed, dealt out evenly, so no task gathers a tile to find that it is shared; blocks are bounded in
+bytes and sets, stars are salted by the number of their members. No cap drops a pair. Nothing is collected to the driver.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing; repeated rows link with each
 other (all have the same id, if the id repeats); a null id has a null component; an empty table gives an empty result.
@@ -32,13 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from terraquill.llm import textkit
-from terraquill.llm.components import components
-from terraquill.llm.runtime import cut, lookup_join, shared_dir, tidy
+from terraquill.llm.components import Forest, components
+from terraquill.llm.runtime import counted, cut, lookup_join, shared_dir, stored, tidy
 
 _U = np.uint64
 SPARE = 2
@@ -52,8 +54,10 @@ BITS = 1.0
 HELD = 1 << 18
 #: Members of one star that a task handles.
 STAR = 512
-#: Digests that a task remembers to emit equal sets once.
-SEEN = 500_000
+#: Digests that a task remembers to emit equal sets once; tile rows that it looks through at a time.
+SEEN, LOOKED = 500_000, 1 << 20
+#: Sets of one tile among those, beyond which they travel packed, and the most in a pack.
+HOT, PACK = 64, 4096
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -138,22 +142,51 @@ def _sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, n
 
 
 def identities(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, a, b): the size and the 128-bit identity of each row's set; a and b null for empty sets."""
+    """(doc_id, n_shingles, a, b, s): each row's set by size, 128-bit identity and bitmap; a, b and s null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, u, offsets in _sets_of(batch, k):
                 n, (a, b) = np.diff(offsets), _mixed(u, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(a, mask=n == 0), pa.array(b, mask=n == 0)], ["doc_id", "n_shingles", "a", "b"])
+                bits = [bitmap(u[offsets[r] : offsets[r + 1]], width_of(int(n[r]))).tobytes() if n[r] else None for r in range(len(n))]
+                own = [batch.column(0).slice(lo, len(n)), pa.array(n, pa.int64()), pa.array(a, mask=n == 0), pa.array(b, mask=n == 0), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, ["doc_id", "n_shingles", "a", "b", "s"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, a long, b long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, a long, b long, s binary")
+
+
+def packed(tile: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Rows (tile, a) as plain rows and packs [tile, a, a, ...]: of a tile with more than HOT rows two rows stay plain."""
+    order = np.argsort(tile, kind="stable")
+    tile, a = tile[order], a[order]
+    first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(tile)))
+    plain, packs = np.ones(len(tile), bool), []
+    for lo, n in zip(first[count > HOT].tolist(), count[count > HOT].tolist()):
+        plain[lo + 2 : lo + n] = False
+        packs += [[int(tile[lo]), *a[at : min(at + PACK, lo + n)].tolist()] for at in range(lo + 2, lo + n, PACK)]
+    return tile[plain], a[plain], packs
 
 
 def _tiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(tile, a): in which tiles the set of identity a stands; a task emits equal sets once."""
+    """(tile, a, pack): in which tiles the set of identity a stands; a task emits equal sets once. pack: see `packed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def looked() -> Iterator[pa.RecordBatch]:
+            tile, a, packs = packed(*(np.concatenate(x) for x in zip(*held)))
+            # A pack's own key spreads it and meets no tile.
+            keys = textkit.mix(np.array([p[0] ^ p[1] for p in packs], np.int64).view(_U)).view(np.int64)
+            held.clear()
+            for at in range(0, len(tile), 1 << 16):
+                x = tile[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(a[at : at + (1 << 16)]), pa.nulls(len(x), pa.list_(pa.int64()))], ["tile", "a", "pack"])
+            for at in range(0, len(packs), 256):
+                x = keys[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(x), pa.array(packs[at : at + 256], pa.list_(pa.int64()))], ["tile", "a", "pack"])
+
         for batch in batches:
             for _, u, offsets in _sets_of(batch, k):
                 a, b = _mixed(u, offsets)
@@ -165,13 +198,27 @@ def _tiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if len(seen) > SEEN:
                     seen.clear()
                 tiles, counts = bands.tiles(u, offsets, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(tiles.view(np.int64)), pa.array(np.repeat(a[rows], counts))], ["tile", "a"])
+                held.append((tiles.view(np.int64), np.repeat(a[rows], counts)))
+                if sum(len(x) for x, _ in held) >= LOOKED:
+                    yield from looked()
+        if held:
+            yield from looked()
 
-    return docs.mapInArrow(tidy(run), "tile long, a long")
+    return docs.mapInArrow(tidy(run), "tile long, a long, pack array<bigint>")
+
+
+def shared_tiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(tile, a) without repetitions, of tiles with more than one set."""
+    w = W.partitionBy("tile")
+    all_rows = _tiles(docs, k, percent).select("tile", "a", "pack", F.min("a").over(w).alias("least"), F.max("a").over(w).alias("most"))
+    kept = all_rows.where("pack IS NOT NULL OR least < most")
+    here = F.when(F.col("pack").isNull(), F.array("a")).otherwise(F.slice("pack", F.lit(2), F.size("pack")))
+    kept = kept.select(F.when(F.col("pack").isNull(), F.col("tile")).otherwise(F.get("pack", F.lit(0))).alias("tile"), F.explode(here).alias("a"))
+    return kept.distinct()
 
 
-def _arrays(docs: DataFrame, nodes: DataFrame, k: int, bits: bool) -> DataFrame:
-    """(node, n, s): the sizes, and the sets or their bitmaps, of the given nodes (node, a), computed anew from their texts."""
+def _arrays(docs: DataFrame, nodes: DataFrame, k: int, rows: int) -> DataFrame:
+    """(node, n, s): the sizes and sets of the given nodes (node, a), computed anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,13 +227,10 @@ def _arrays(docs: DataFrame, nodes: DataFrame, k: int, bits: bool) -> DataFrame:
             for lo, u, offsets in _sets_of(batch, k):
                 n, (a, _) = np.diff(offsets), _mixed(u, offsets)
                 keep = (n > 0) & (a == want[lo : lo + len(n)])
-                if bits:
-                    own = pa.array([bitmap(u[offsets[r] : offsets[r + 1]], width_of(int(n[r]))).tobytes() for r in np.flatnonzero(keep).tolist()], pa.binary())
-                else:
-                    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets * 8), pa.py_buffer(u)]).filter(pa.array(keep)).cast(pa.binary())
+                own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets * 8), pa.py_buffer(u)]).filter(pa.array(keep)).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([node.slice(lo, len(n)).filter(pa.array(keep)), pa.array(n[keep], pa.int64()), own], ["node", "n", "s"])
 
-    own = lookup_join(docs, nodes.select(F.col("node").alias("doc_id"), "a"), "doc_id")
+    own = lookup_join(docs, nodes.select(F.col("node").alias("doc_id"), "a"), "doc_id", rows=rows)
     return own.select("doc_id", "text", "a").mapInArrow(tidy(run), "node long, n long, s binary")
 
 
@@ -222,14 +266,7 @@ def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int,
     Side 0 is held against side 1, or, where there is a side 2 only, all against all. Pairs inside one component are
     skipped; if joining, so are those whose components an earlier link of the tile joins.
     """
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := root.get(x, x)) != x:
-            root[x] = root.get(y, y)
-            x = y
-        return x
-
+    forest = Forest()
     n = np.array([r[3] for r in rows])
     words = min(width_of(int(x)) for x in n) // 64
     bits = np.stack([bitmap(r[4], words * 64) if exact else folded(r[4], words) for r in rows])
@@ -248,10 +285,10 @@ def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int,
         bound = (n[others] + a - differ) // 2
         near = np.flatnonzero(bound >= -(-percent * (n[others] + a) // (100 + percent)))
         for j in others[near[np.argsort(-bound[near], kind="stable")]].tolist():
-            x, y = find(row[2]), find(rows[j][2])
-            if x != y and (not exact or _overlap(row[4], rows[j][4]) >= least_overlap(int(a), int(n[j]), percent)):
+            x, y = row[2], rows[j][2]
+            if forest.root(x) != forest.root(y) and (not exact or _overlap(row[4], rows[j][4]) >= least_overlap(int(a), int(n[j]), percent)):
                 if joining:
-                    root[max(x, y)] = min(x, y)
+                    forest.join(x, y)
                 yield row[1], rows[j][1]
 
 
@@ -297,69 +334,100 @@ def _star_rows(pairs: DataFrame) -> DataFrame:
     return members.union(hubs).withColumn("component", F.col("node"))
 
 
-def _block_rows(rows: DataFrame, each: float) -> DataFrame:
-    """(t0, t1, t2, side, node, component) for (tile, node, component, n): each pair of a tile's blocks once.
+def _fit(n: Column) -> Column:
+    """How many sets a block of a tile holds whose greatest set has n shingles."""
+    return F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.floor(F.lit(BLOCK_BYTES) / (n * BITS + 64))))
 
-    each: bytes for a shingle. A tile is one block, and no row is repeated, up to BLOCK_BYTES or BLOCK_MOST sets.
-    """
-    fit = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.floor(F.lit(BLOCK_BYTES) / (F.max("n") * each + 64))))
-    counts = rows.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / fit).cast("int").alias("blocks"))
-    dealt = rows.join(counts, "tile").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+def _placed(rows: DataFrame, own: Column, others: Column) -> DataFrame:
+    """(t0, t1, t2, side, node, component) for (tile, node, component): a row in each pair of its own and other blocks."""
+    dealt = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(others))
     low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     return dealt.select(F.col("tile").alias("t0"), low.alias("t1"), high.alias("t2"), side.alias("side"), "node", "component")
 
 
+def _upto(n: Column) -> Column:
+    return F.sequence(F.lit(0), n.cast("int") - 1)
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """For (tile, node, blocks): the first block of a tile against each block."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    return _placed(rows.withColumn("component", F.col("node")), own, F.when(own == 0, _upto(F.col("blocks"))).otherwise(F.array(F.lit(0))))
+
+
+def _further_rows(rows: DataFrame) -> DataFrame:
+    """For (tile, node, n, component): all blocks of a tile in pairs, but for those of its greatest component alone.
+
+    The greatest component's blocks stand after the `rest` others; a tile that fits into one block is one.
+    """
+    groups = rows.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    sizes = groups.groupBy("tile").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max(F.struct("c", "component")).alias("most"))
+    fit, much = _fit(F.col("n")), F.col("most.c")
+    rest = F.when(F.col("c") <= fit, 1).otherwise(F.ceil((F.col("c") - much) / fit))
+    sizes, state = counted(sizes.select("tile", rest.alias("rest"), F.when(F.col("c") <= fit, 0).otherwise(F.ceil(much / fit)).alias("more"), F.col("most.component").alias("main")))
+    dealt = lookup_join(rows, sizes, "tile", rows=state.rows)
+    last = (F.col("component") == F.col("main")) & (F.col("more") > 0)
+    h = F.xxhash64("node")
+    own = F.when(last, F.col("rest") + F.pmod(h, F.greatest("more", F.lit(1)))).otherwise(F.pmod(h, F.col("rest")))
+    return _placed(dealt, own, F.when(last, _upto(F.col("rest"))).otherwise(_upto(F.col("rest") + F.col("more"))))
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")).distinct()
 
 
+def _open_rows(rows: DataFrame, tiles: DataFrame, reached: DataFrame) -> DataFrame:
+    """(tile, node, n, component) of those tiles that hold several components; of tiles with the same sets one is enough."""
+    tiles, state = counted(tiles)
+    rows = lookup_join(rows, tiles, "tile", rows=state.rows).join(reached, "node", "left")
+    rows = cut(rows.select("tile", "a", "node", "n", F.coalesce("component", "node").alias("component")))
+    still = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("a")).alias("x"))
+    still, state = counted(still.where("lo < hi").groupBy("c", "x").agg(F.min("tile").alias("tile")).select("tile"))
+    return cut(lookup_join(rows, still, "tile", rows=state.rows).drop("a"))
+
+
 def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row: the least id reachable by links of `percent` Jaccard."""
     shared_dir(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    who = cut(identities(docs, k))
+    who = stored(identities(docs, k))
     named = who.where("a IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")))
-    names = classes.select("node", "a")
-
-    def solve(rows: DataFrame, exact: bool, joining: bool = True) -> DataFrame:
-        rows = cut(rows)
-        nodes = cut(rows.select("node").distinct().join(names, "node"))
-        return cut(_solve(rows.join(_arrays(docs, nodes, k, not exact), "node"), percent, exact, joining))
-
-    shared = _tiles(docs.where("doc_id IS NOT NULL"), k, percent)
-    w = W.partitionBy("tile")
-    shared = shared.select("tile", "a", F.min("a").over(w).alias("hub"), F.max("a").over(w).alias("last")).where("hub < last")
-    shared = cut(shared.select("tile", "a", "hub").distinct())
-    ids = names.select(F.col("a").alias("hub"), F.col("node").alias("hub_node"))
-    pairs = shared.where("a <> hub").select("hub", "a").distinct().join(names, "a").join(ids, "hub").select(F.col("hub_node").alias("hub"), "node")
-    near = solve(_star_rows(cut(pairs)), False)
-    links = solve(_star_rows(_pairs(near)), True).select("u", "v")
-    reached = cut(components(links))
-
-    def open_rows(tiles: DataFrame) -> DataFrame:
-        """(tile, node, n, component) of tiles that hold several components; of tiles with the same sets one is enough."""
-        rows = tiles.join(reached, "node", "left").select("tile", "node", "n", F.coalesce("component", "node").alias("component"))
-        rows = cut(rows)
-        still = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
-        still = still.where("lo < hi AND c > 2").groupBy("c", "x").agg(F.min("tile").alias("tile"))
-        return rows.join(still.select("tile"), "tile")
-
-    rows = cut(open_rows(shared.select("tile", "a").join(classes.select("node", "a", "n"), "a").select("tile", "node", "n")))
-    near = solve(_block_rows(rows, BITS), False)
-    true = solve(_star_rows(_pairs(near)), True).select("u", "v")
-    links = cut(links.union(true))
-    reached = cut(components(links))
+    classes = stored(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"), F.first("s").alias("s")))
+    names, bits = classes.select("node", "a"), classes.select("node", "n", "s")
+
+    def near_pairs(placed: DataFrame, joining: bool = True) -> DataFrame:
+        """(tile, u, v) that the bitmaps let pass."""
+        return cut(_solve(placed.join(bits, "node"), percent, False, joining))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (hub, node) that link, but for those that others of a hub's pairs make needless."""
+        rows = cut(_star_rows(pairs))
+        nodes, state = counted(rows.select("node").distinct().join(names, "node"))
+        return cut(_solve(rows.join(_arrays(docs, nodes, k, state.rows), "node"), percent, True)).select("u", "v")
+
+    shared = shared_tiles(docs.where("doc_id IS NOT NULL"), k, percent)
+    members = cut(shared.join(classes.select("node", "a", "n"), "a").select("tile", "a", "node", "n"))
+    found = members.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("a")).alias("x"), F.max("n").alias("n"))
+    blocks = F.ceil(F.col("c") / _fit(F.max("n"))).cast("int")
+    tiles, state = counted(found.groupBy("c", "x").agg(F.min("tile").alias("tile"), blocks.alias("blocks")), F.max("blocks").alias("most"))
+    near = near_pairs(_first_rows(lookup_join(members, tiles.select("tile", "blocks"), "tile", rows=state.rows)))
+    true = linked(cut(_pairs(near)))
+    links, reached = true, cut(components(true))
+    if (state.most or 0) > 1:
+        more = near_pairs(_further_rows(_open_rows(members, tiles.where("blocks > 1").select("tile"), reached)))
+        true = linked(cut(_pairs(more)))
+        near, links = near.union(more), cut(links.union(true))
+        reached = cut(components(links))
     # Tiles in which the exact test refused a pair: later pairs may have been skipped for it, so all that pass are tested.
     pair = [F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")]
-    refused = cut(near.select("tile", *pair).join(true.select(*pair), ["hub", "node"], "left_anti"))
-    open_again = open_rows(rows.select("tile", "node", "n").join(refused.select("tile").distinct(), "tile"))
-    again = _pairs(solve(_block_rows(open_again, BITS), False, joining=False)).join(refused.select("hub", "node").distinct(), ["hub", "node"], "left_anti")
-    true = solve(_star_rows(cut(again)), True).select("u", "v")
-    reached = components(links.union(true))
+    refused = cut(near.select("tile", *pair).join(links.select(*pair), ["hub", "node"], "left_anti"))
+    again = _pairs(near_pairs(_further_rows(_open_rows(members, refused.select("tile").distinct(), reached)), joining=False))
+    again, state = counted(again.join(refused.select("hub", "node").distinct(), ["hub", "node"], "left_anti"))
+    if state.rows:
+        reached = components(links.union(linked(again)))
     of = classes.join(reached, "node", "left").select("a", "b", F.coalesce("component", "node").alias("least"), "node", "rows").where("rows > 1 OR least <> node")
-    of = cut(of.select("a", "b", "least"))
-    out = lookup_join(who, of, ["a", "b"], "left")
+    of, state = counted(of.select("a", "b", "least"))
+    out = lookup_join(who.drop("s"), of, ["a", "b"], "left", rows=state.rows)
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))

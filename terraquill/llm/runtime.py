@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast; beyond it the same join is shuffled.
@@ -59,10 +59,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a cut table that one task reads, at least.
+TASK_ROWS = 100_000
+
+
+def counted(df: DataFrame, *more: Column) -> tuple[DataFrame, Row]:
+    """As `cut`, with the number of rows as `rows`, and further aggregates, seen while they are written."""
+    shared_dir(df.sparkSession)
+    seen = Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("rows"), *more).checkpoint(eager=True)
+    state = Row(**seen.get)
+    # A shuffle writes files for each task: tasks are as many as the rows need, and at least one for each core.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-state.rows // TASK_ROWS))
+    return kept.coalesce(tasks), state
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return counted(df)[0]
 
 
 def stored(df: DataFrame) -> DataFrame:
