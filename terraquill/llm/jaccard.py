@@ -241,8 +241,9 @@ def width_of(n: int) -> int:
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
     """width / 64 words; a bit is the parity of the elements that hash to it."""
-    odd = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(_U)
+    words = np.zeros(width // 64, _U)
+    np.bitwise_xor.at(words, ((s & _U(width - 1)) >> _U(6)).astype(np.int64), _U(1) << (s & _U(63)))
+    return words
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
