@@ -8,20 +8,29 @@
    q x = q p + q (x - p) <= q p + |q| r, and q x <= |q| |x|, a vector of cell j can matter to a query of cell i only if
    r >= min over the cell's q of (t - q p_j) / |q| and |x| >= min of t / |q|. These summaries (cells x cells numbers) come
    to the driver and are broadcast; their size doesn't depend on the input.
-4. A vector is sent to those query cells only where both hold. A cell with many queries is cut into blocks of QUERIES, and
-   the data sent to a block into SHARD_ROWS parts by a hash of their id, so no task holds more than a block of queries and
-   a batch of data; parts are solved by matrix products and merged by rank.
+4. Query cells that need much the same data become one group, as long as its queries are few enough for a task: two groups
+   are joined where the sample's vectors that either needs are at most JOINED of those that both are sent apart.
+5. A vector is sent once to each group of which a cell needs it. A cell of very many queries is cut into blocks of QUERIES,
+   and the data sent to a block into shards by a hash of their id, so no task holds more than a block of queries and a
+   batch of data; shards are solved by matrix products and merged by rank.
+
+How often a vector is sent depends on the data: where the bounds hold nothing back (directions spread evenly over many
+dimensions), all vectors go to all groups, of which there are queries / QUERIES.
 
 Results are exact: bounds are widened by more than rounding can do, and products are exact integers (64-bit floats while
-they stay below 2^53, else 64-bit integers). Shorter vectors count as having zeros at their end. Defined results: vectors
-that are null, empty or hold null or non-finite components take no part; ties go to the smaller id; a row is never its own
-query's candidate (nor are rows that repeat its id); fewer candidates than k give fewer rows; null ids take no part.
+they stay below 2^53, else 64-bit or longer integers). Shorter vectors count as having zeros at their end. Defined results:
+vectors that are null, empty or hold null or non-finite components take no part, nor do those with a component of 2^57 or
+more, whose integer has more than 64 bits; scores beyond 64 bits become the greatest or least long; ties go to the smaller
+id; null ids take no part. Rows equal in id and integers count once, as queries and as candidates. An id with several
+vectors has a query and a candidate for each, and none of them is a candidate of that id's queries. Fewer candidates than
+k give fewer rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from terraquill.llm.runtime import cut
+from terraquill.llm.runtime import counted, cut
 
-QUERIES, SHARD_ROWS, SAMPLE, SCALE = 4096, 500_000, 2048, 64
+QUERIES, SHARD_ROWS, LEAST_ROWS, SAMPLE, SCALE, JOINED = 4096, 500_000, 4096, 2048, 64, 0.8
 _BATCH = 2048
 
 
@@ -45,9 +54,9 @@ def _integers(vectors: DataFrame, width: int) -> DataFrame:
                 if i is None or not v or None in v:
                     continue
                 x = np.floor(np.array(v, np.float64) * SCALE)
-                if not np.isfinite(x).all():
-                    continue
                 top = np.abs(x).max()
+                if not top < 1 << 63:
+                    continue
                 kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
                 n = np.zeros(width, kind)
                 n[: len(x)] = x.astype(kind)
@@ -70,9 +79,13 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of int64 rows."""
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)), np.int64)
-    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
+    most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * q.shape[1]
+    if most < 2**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+    if most < 2**62:
+        return q @ x.T
+    whole = np.array(q.tolist(), object) @ np.array(x.tolist(), object).T
+    return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 class Cells:
@@ -81,7 +94,36 @@ class Cells:
     def __init__(self, pivots: np.ndarray):
         self.p = pivots.astype(np.float64)
         self.square = np.square(self.p).sum(axis=1)
-        self.reach = self.long = self.blocks = None
+        self.reach = self.long = self.blocks = self.group = None
+
+    def wanted(self, x: np.ndarray) -> np.ndarray:
+        """By rows: which query cells a vector may matter to."""
+        cell, r = self.nearest(x)
+        size = np.sqrt(np.square(x.astype(np.float64)).sum(axis=1))
+        slack = 1e-9 * (1 + size + r)
+        return ((r + slack)[:, None] >= self.reach[:, cell].T) & ((size + slack)[:, None] >= self.long[None, :])
+
+    def merge(self, sample: np.ndarray, counts: np.ndarray) -> None:
+        """Groups of cells with queries, and how many blocks of queries each has."""
+        want = self.wanted(sample)
+        groups = [[[int(i)], want[:, i], int(counts[i])] for i in np.flatnonzero(counts)]
+        while len(groups) > 1:
+            best = None
+            for i, (_, a, n) in enumerate(groups):
+                for j in range(i):
+                    _, b, m = groups[j]
+                    apart = int(a.sum()) + int(b.sum())
+                    if n + m <= QUERIES and (share := int((a | b).sum()) / max(1, apart)) <= JOINED and (best is None or share < best[0]):
+                        best = share, i, j
+            if best is None:
+                break
+            i, j = best[1:]
+            a = groups.pop(i)
+            b = groups[j]
+            groups[j] = [b[0] + a[0], b[1] | a[1], b[2] + a[2]]
+        self.group, self.blocks = np.full(len(self.p), -1), np.array([max(1, -(-n // QUERIES)) for *_, n in groups], np.int64)
+        for g, (cells, *_) in enumerate(groups):
+            self.group[cells] = g
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = x.astype(np.float64)
@@ -126,7 +168,7 @@ def _summaries(queries: DataFrame, cells: Cells, sample: tuple, width: int, k: i
 
 
 def _dealt(df: DataFrame, cells: Cells, width: int, kind: int, shards: int) -> DataFrame:
-    """(i, b, s, kind, vec_id, v): queries to their block in every shard, data to the blocks that may need them."""
+    """(i, b, s, kind, vec_id, v): queries to their group's block in every shard, data to the groups that may need them."""
     shared = df.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +178,13 @@ def _dealt(df: DataFrame, cells: Cells, width: int, kind: int, shards: int) -> D
                 part = batch.slice(at, _BATCH)
                 held = part.column(1).to_pylist()
                 x, ids = matrix(held, width), part.column(0).to_numpy()
-                cell, r = cells.nearest(x)
                 if kind == 0:
                     row = np.repeat(np.arange(len(ids)), shards)
-                    i, s = cell[row], np.tile(np.arange(shards), len(ids))
+                    i, s = cells.group[cells.nearest(x)[0]][row], np.tile(np.arange(shards), len(ids))
                     b = (ids[row] // 20) % cells.blocks[i]
                 else:
-                    size = np.sqrt(np.square(x.astype(np.float64)).sum(axis=1))
-                    slack = 1e-9 * (1 + size + r)
-                    want = (r + slack)[:, None] >= cells.reach[:, cell].T
-                    want &= (size + slack)[:, None] >= cells.long[None, :]
-                    row, i = np.nonzero(want)
+                    want = cells.wanted(x)
+                    row, i = np.nonzero(np.stack([want[:, cells.group == g].any(axis=1) for g in range(len(cells.blocks))], axis=1))
                     times = cells.blocks[i]
                     b = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     row, i = np.repeat(row, times), np.repeat(i, times)
@@ -158,11 +196,16 @@ def _dealt(df: DataFrame, cells: Cells, width: int, kind: int, shards: int) -> D
     return df.mapInArrow(run, "i long, b long, s long, kind long, vec_id long, v binary")
 
 
+def _names(held: list[bytes]) -> np.ndarray:
+    """Tells vectors of one id apart."""
+    return np.array([int.from_bytes(blake2b(v, digest_size=8).digest(), "little", signed=True) for v in held], np.int64)
+
+
 class _Best:
     """The k best (score, id) of a block of queries."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, ids: np.ndarray, names: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.names, self.q, self.k = ids, names, q, k
         self.top = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
         self.least = np.full(len(ids), np.iinfo(np.int64).min)
 
@@ -189,7 +232,7 @@ def _solve(dealt: DataFrame, width: int, k: int) -> DataFrame:
             if held:
                 x, n = matrix(held, width), np.array(ids, np.int64)
                 if queries:
-                    best = _Best(n, x, k)
+                    best = _Best(n, _names(held), x, k)
                 elif best is not None:
                     best.add(n, x)
             ids, held = [], []
@@ -197,7 +240,7 @@ def _solve(dealt: DataFrame, width: int, k: int) -> DataFrame:
         def done() -> Iterator[pa.RecordBatch]:
             flush()
             if best is not None and (n := [len(t[0]) for t in best.top]) and sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, n)), pa.array(np.concatenate([t[1] for t in best.top])), pa.array(np.concatenate([t[0] for t in best.top]))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, n)), pa.array(np.repeat(best.names, n)), pa.array(np.concatenate([t[1] for t in best.top])), pa.array(np.concatenate([t[0] for t in best.top]))], ["query_id", "query", "vec_id", "score"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(6)]
@@ -215,7 +258,7 @@ def _solve(dealt: DataFrame, width: int, k: int) -> DataFrame:
 
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = dealt.repartition(parts, "i", "b", "s").sortWithinPartitions("i", "b", "s", "kind")
-    return placed.mapInArrow(run, "query_id long, vec_id long, score long")
+    return placed.mapInArrow(run, "query_id long, query long, vec_id long, score long")
 
 
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, cells: int | None = None) -> DataFrame:
@@ -223,12 +266,12 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, cells: int | None
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
     width = max(width, 1)
-    vectors = cut(_integers(rows, width))
+    vectors = cut(_integers(rows, width).distinct())
     first, each = W.partitionBy("v", "_part").orderBy("vec_id"), W.partitionBy("v").orderBy("vec_id")
     salted = vectors.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
-    data = cut(salted.withColumn("_n", F.row_number().over(each)).where(F.col("_n") <= k + 1).select("vec_id", "v"))
+    data, state = counted(salted.withColumn("_n", F.row_number().over(each)).where(F.col("_n") <= k + 1).select("vec_id", "v"))
     queries = vectors.where(F.col("vec_id") % every == 0)
-    n = data.count()
+    n = state.rows
     cells = cells or max(1, min(128, int(math.sqrt(n) / 12)))
     picked = data.withColumn("_h", F.xxhash64("v", "vec_id")).orderBy("_h", "vec_id").limit(SAMPLE).collect()
     x = matrix([bytes(r["v"]) for r in picked], width)
@@ -239,17 +282,18 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, cells: int | None
         known.reach[i, j], known.long[i], counts[i] = reach, long, count
     known.reach -= 1e-7 * (1 + np.abs(np.nan_to_num(known.reach, posinf=0, neginf=0)))
     known.long -= 1e-7 * (1 + np.abs(np.nan_to_num(known.long, posinf=0, neginf=0)))
-    known.blocks = np.maximum(1, -(-counts // QUERIES))
-    shards = max(1, -(-n // SHARD_ROWS))
+    known.merge(x, counts)
+    spread = min(2 * embeddings.sparkSession.sparkContext.defaultParallelism / max(1, int(known.blocks.sum())), n / LEAST_ROWS)
+    shards = max(1, math.ceil(spread), -(-n // SHARD_ROWS))
     found = _solve(_dealt(queries, known, width, 0, shards).union(_dealt(data, known, width, 1, shards)), width, k)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: For op6; floor(64 x) as double, products of integers.
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.e, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
