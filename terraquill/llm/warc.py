@@ -1,16 +1,19 @@
 """WARC archives of captures, and their index by external merge of sorted runs.
 
-Writing: each capture becomes a WARC/1.1 record. Of equal payloads the one of the least id is a response and the others
-are revisits that refer to it (identical payload digest; from `least` bytes on, smaller payloads are always responses).
-Which they are is decided on (id, digest) rows alone, pre-aggregated by digest, so a payload that a third of all rows share
-is a few rows; pages themselves move once, compressed, by their id and digest. Records go through Spark's own text writer (its line separator is
-the record separator), so commits, retries and any file system that Spark knows work as for other tables. Within a file
-captures are sorted by URL key and time: the file's index is a sorted run.
-
-Reading: files are parsed record by record by their Content-Length; each response's payload digest is computed anew and
-must equal the record's. The index rows (no payloads) are dealt out by ranges of (URL key, time, id) taken from a sample;
-each range merges the sorted runs that reach it by a k-way loser tree, so the ranges in order are one global capture history.
-A URL with very many captures is split, as time and id are part of the range.
+Writing: each capture becomes a WARC/1.1 record, a gzip member of its own. Of equal payloads the one of the least id is a
+response and the others are revisits that refer to it (identical payload digest; from `least` bytes on, smaller payloads are
+always responses). Digests that repeat are looked up by a join (broadcast where they are counted to be few, else shuffled,
+which Spark splits where one digest is hot); pages then move once, compressed and revisits without payload, to the task that
+writes their file. Files hold about FILE_BYTES of records, all kinds counted. Records go through Spark's own text writer, so
+commits, retries and any file system that Spark knows work as for other tables: a member ends with the four bytes of its
+size, of which the last is zero below 16 MiB, and this zero is the writer's line separator. A longer record is several
+members in a row. Within a file captures are sorted by URL key and time.
+
+Reading: files are read member by member; each response's payload digest is computed anew and must equal the record's. The
+index rows of a file (no payloads) are sorted: a run. The runs are stored, and dealt out by ranges of (URL key, time, id)
+taken from a sample, RANGE_ROWS rows to a range; each range merges its slices of all runs by a k-way loser tree, so the
+ranges in order are one global capture history. A task holds one range. A URL with very many captures is split, as time and
+id are part of the range.
 
 Defined results: null html is an empty payload; a null url has an empty key; a null id is read back as null; repeated rows
 with the least id of a payload are all responses; an empty table gives an empty result.
@@ -19,7 +22,9 @@ with the least id of a payload are all responses; an empty table gives an empty
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -28,13 +33,18 @@ from uuid import UUID
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm.runtime import new_folder, stored
+from terraquill.llm.runtime import counted, lookup_join, new_folder, stored
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
-FILE_BYTES = 16 << 20
+#: Bytes of records in a file, before compression; about those of a record without payload.
+FILE_BYTES, HEAD_BYTES = 64 << 20, 640
+#: Index rows that a task merges.
+RANGE_ROWS = 200_000
+#: Most bytes of a gzip member whose stated size ends with a zero byte.
+MEMBER = (1 << 24) - 1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -73,10 +83,9 @@ def _clean(value: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value or "")
 
 
-def record(page_id: int | None, url: str | None, seconds: int, html: str | None, payload_bytes: int, sha1: str, refers_to: int | None, revisit: bool) -> str:
-    """A record without its closing separator."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n"
-    body = http if revisit else http + (html or "")
+def record(page_id: int | None, url: str | None, seconds: int, payload: bytes, payload_bytes: int, sha1: str, refers_to: int | None, revisit: bool) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
+    body = http if revisit else http + payload
     date = (EPOCH + timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
@@ -84,27 +93,52 @@ def record(page_id: int | None, url: str | None, seconds: int, html: str | None,
     head.append(f"WARC-Payload-Digest: sha1:{sha1}")
     if revisit:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body.encode())}"]
-    return "\r\n".join(head) + "\r\n\r\n" + body
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a file: headers by lower-case name, payload, offset and length."""
+def squeezed(data: bytes) -> bytes:
+    """data as gzip members without the last byte, a zero that the writer adds."""
+    return b"".join(gzip.compress(data[at : at + MEMBER], 6, mtime=0) for at in range(0, len(data), MEMBER))[:-1]
+
+
+def members(data: bytes, step: int = 1 << 14) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, end, content) of the gzip members of a file."""
     at = 0
     while at < len(data):
-        split = data.index(b"\r\n\r\n", at)
-        lines = data[at:split].decode().split("\r\n")
+        begin, out, one = at, [], zlib.decompressobj(31)
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError(f"a member that begins at byte {begin} and doesn't end")
+            out.append(one.decompress(data[at : at + step]))
+            at = min(at + step, len(data)) - len(one.unused_data)
+        yield begin, at, b"".join(out)
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """The records of a file: headers by lower-case name, payload, offset and length."""
+    parts = members(data)
+    for at, end, content in parts:
+        split = content.index(b"\r\n\r\n")
+        lines = content[:split].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         head = dict((k.lower(), v) for k, _, v in (x.partition(": ") for x in lines[1:]))
-        body = data[split + 4 : split + 4 + int(head["content-length"])]
-        end = split + 4 + len(body)
-        if data[end : end + 4] != b"\r\n\r\n":
+        size = split + 4 + int(head["content-length"])
+        more = [content]
+        while sum(map(len, more)) < size + 4:
+            _, end, content = next(parts)
+            more.append(content)
+        content = b"".join(more)
+        if content[size:] != b"\r\n\r\n":
             raise ValueError(f"a record that doesn't end at byte {end}")
-        http, _, payload = body.partition(b"\r\n\r\n")
-        size = next(int(x[16:]) for x in http.decode().split("\r\n") if x.lower().startswith("content-length: "))
-        yield {"head": head, "payload": payload, "size": size, "offset": at, "length": end + 4 - at}
-        at = end + 4
+        http, _, payload = content[split + 4 : size].partition(b"\r\n\r\n")
+        stated = next(int(x[16:]) for x in http.decode().split("\r\n") if x.lower().startswith("content-length: "))
+        yield {"head": head, "payload": payload, "size": stated, "offset": at, "length": end - at}
+
+
+def _payload(html: pa.Scalar) -> bytes:
+    return (html.as_py() or "").encode()
 
 
 def _facts(pages: DataFrame) -> DataFrame:
@@ -112,7 +146,7 @@ def _facts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [(x.as_py() or "").encode() for x in batch.column(1)]
+            held = [_payload(x) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array([digest(x) for x in held], pa.string())], ["page_id", "payload_bytes", "sha1"])
 
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, payload_bytes long, sha1 string")
@@ -120,53 +154,55 @@ def _facts(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds") -> None:
     """Writes pages (page_id, url, html, seconds) as WARC files below path."""
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.col(seconds).cast("long").alias("seconds"))
-    facts = stored(_facts(pages).distinct())
-    firsts = facts.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first"))
-    roles = facts.join(firsts, ["sha1", "payload_bytes"]).withColumn("revisit", (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()))
-    roles = stored(roles)
-    total = roles.where("NOT revisit").agg(F.sum("payload_bytes")).first()[0] or 0
     spark = pages.sparkSession
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES)) if total > FILE_BYTES else 4
-    # html moves once, compressed: to the task that meets its role and writes its file. Rows that repeat an id with other
-    # payloads meet their own digest only.
-    roles = roles.select(_place("page_id", "sha1"), "payload_bytes", "first", "revisit")
-    own = _with_digest(pages).select(_place("page_id", "sha1"), "page_id", "url", "packed", "seconds").repartition(files, "place")
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.col(seconds).cast("long").alias("seconds"))
+    each = F.when(F.col("payload_bytes") >= least, 1).otherwise(F.col("n"))
+    sizes = [F.sum(F.col("payload_bytes") * each + F.col("n") * HEAD_BYTES).alias("total"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("again")]
+    firsts, state = counted(_facts(pages).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), *sizes)
+    total = state.total or 0
+    files = max(1, -(-total // FILE_BYTES), min(spark.sparkContext.defaultParallelism, total >> 20))
+    own = lookup_join(_with_digest(pages), firsts.where("n > 1").drop("n"), ["sha1", "payload_bytes"], "left", rows=state.again or 0)
+    own = own.withColumn("revisit", (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()))
+    own = own.select("page_id", "url", "seconds", F.when(~F.col("revisit"), F.col("packed")).alias("packed"), "payload_bytes", "sha1", "first", "revisit")
+    own = own.repartition(files, F.xxhash64("page_id", "url", "sha1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                pa.array([url_key(r["url"]) for r in rows], pa.string()), batch.column(2), batch.column(0),
-                pa.array([record(r["page_id"], r["url"], r["seconds"], zlib.decompress(r["packed"]).decode() if r["packed"] else None, r["payload_bytes"], r["sha1"], r["first"], r["revisit"]) for r in rows], pa.string()),
-            ], ["key", "seconds", "page_id", "value"])
+            made = [squeezed(record(r["page_id"], r["url"], r["seconds"], _unpacked(r["packed"], r["payload_bytes"]), r["payload_bytes"], r["sha1"], r["first"], r["revisit"])) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(r["url"]) for r in rows], pa.string()), batch.column(2), batch.column(0), pa.array(made, pa.binary())], ["key", "seconds", "page_id", "value"])
 
-    ready = own.join(roles.hint("shuffle_hash"), "place")
-    ready = ready.select("page_id", "url", "seconds", F.when(~F.col("revisit"), F.col("packed")).alias("packed"), "payload_bytes", F.substring_index("place", ":", 1).alias("sha1"), "first", "revisit")
-    made = ready.mapInArrow(run, "key string, seconds long, page_id long, value string")
-    made.sortWithinPartitions("key", "seconds", "page_id").select("value").write.option("lineSep", "\r\n\r\n").text(path)
+    made = own.mapInArrow(run, "key string, seconds long, page_id long, value binary")
+    made = made.sortWithinPartitions("key", "seconds", "page_id").select(F.col("value").cast("string").alias("value"))
+    made.write.option("lineSep", "\0").text(path)
 
 
-def _place(page_id: str, sha1: str) -> Column:
-    """One key, never null, for an id and a digest."""
-    return F.concat_ws(":", sha1, F.col(page_id).cast("string")).alias("place")
+def _unpacked(packed: bytes | None, size: int) -> bytes:
+    return pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if packed else b""
 
 
 def _with_digest(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for batch in batches:
-            held = [(x.as_py() or "").encode() for x in batch.column(2)]
-            packed = pa.array([zlib.compress(x, 6) for x in held], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3), pa.array([digest(x) for x in held], pa.string())], ["page_id", "url", "packed", "seconds", "sha1"])
+            held = [_payload(x) for x in batch.column(2)]
+            packed = pa.array([codec.compress(x, asbytes=True) if x else None for x in held], pa.binary())
+            own = [batch.column(0), batch.column(1), packed, batch.column(3), pa.array([digest(x) for x in held], pa.string()), pa.array([len(x) for x in held], pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, ["page_id", "url", "packed", "seconds", "sha1", "payload_bytes"])
+
+    return pages.mapInArrow(run, "page_id long, url string, packed binary, seconds long, sha1 string, payload_bytes long")
+
 
-    return pages.mapInArrow(run, "page_id long, url string, packed binary, seconds long, sha1 string")
+_INDEX = "key string, seconds long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long, run_pos long"
 
 
-_INDEX = "key string, seconds long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
+def _order(key: str | None, seconds: int | None, page_id: int | None) -> tuple:
+    """Nulls come first, as in Spark's ranges."""
+    return key is not None, key or "", seconds is not None, seconds or 0, page_id is not None, page_id or 0
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows of all records in WARC files below path."""
+    """Index rows of all records in WARC files below path, a sorted run for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _INDEX.split(", ")]
@@ -182,6 +218,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     seconds = int((datetime.strptime(h["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc) - EPOCH).total_seconds())
                     refers = page_of(h["warc-refers-to"]) if revisit else None
                     rows.append((url_key(h.get("warc-target-uri")), seconds, page_of(h["warc-record-id"]), r["size"], sha1, h["warc-type"], refers, file, r["offset"], r["length"]))
+                rows = [(*r, place) for place, r in enumerate(sorted(rows, key=lambda r: _order(*r[:3])))]
                 if rows:
                     types = [pa.int64() if x.endswith(" long") else pa.string() for x in _INDEX.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -225,39 +262,38 @@ class LoserTree:
             self._play(self.winner)
 
 
-def merged(index: DataFrame) -> DataFrame:
+def merged(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The index with range_no and range_pos: in this order captures stand by URL key, time and id."""
     names = index.columns
     kinds = dict(index.dtypes)
     order = ["key", "seconds", "page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        runs = []
+        number, held, runs, last = TaskContext.get().partitionId(), [], [], None
+        at = 0
         for batch in batches:
-            # A batch is a run: sorted here, as a shuffle doesn't promise the order of the rows it brings.
-            runs.append(batch.take(pa.compute.sort_indices(pa.table(batch), [(k, "ascending") for k in order])))
-        keys = [zip(*(r.column(r.schema.get_field_index(k)).to_pylist() for k in order), [i] * len(r), range(len(r))) for i, r in enumerate(runs)]
-        starts = [0]
-        for r in runs:
-            starts.append(starts[-1] + len(r))
-        # Nulls sort as absent ids, after others, as Arrow puts them.
-        plain = [((k or "", s is None, s or 0, p is None, p or 0, i, j) for k, s, p, i, j in x) for x in keys]
-        places = [starts[i] + j for *_, i, j in LoserTree(plain)]
+            held.append(batch)
+            for file, *key in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ["file", *order])):
+                if file != last:
+                    runs.append([])
+                    last = file
+                runs[-1].append((_order(*key), at))
+                at += 1
+        places = [place for _, place in LoserTree(runs)]
         if places:
-            out = pa.Table.from_batches(runs).take(pa.array(places)).combine_chunks().to_batches()[0]
+            out = pa.Table.from_batches(held).take(pa.array(places)).combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array([number] * len(out), pa.int32()), pa.array(range(len(out)), pa.int64())], [*names, "range_no", "range_pos"])
 
-    ranges = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = index.repartitionByRange(ranges, *order)
+    # In a range the slices of the runs stand one after the other, each in its run's own order.
+    dealt = index.repartitionByRange(max(1, math.ceil(index.count() / range_rows)), *order).sortWithinPartitions("file", "run_pos")
     return dealt.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", range_no int, range_pos long")
 
 
-def archive(pages: DataFrame, least: int = 0) -> DataFrame:
+def archive(pages: DataFrame, least: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Writes pages as WARC files in the shared folder, reads them back, and returns a row per record in global order."""
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     seconds = F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31)).alias("seconds")
     write(pages.select("page_id", "url", "html", seconds), path, least)
-    index = merged(stored(read(spark, path)))
+    index = merged(stored(read(spark, path)), range_rows)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "seconds", "file", "offset", "length", "range_no", "range_pos")
