@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="terraquill-")
         spark.sparkContext.setCheckpointDir(named)
@@ -101,27 +103,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, blocks: int = 64) -> DataFrame:
-    """Adds a gapless long number from 0 within each group, without gathering a group in one task.
+#: Rows that one task numbers, about.
+BLOCK_ROWS = 200_000
 
-    Rows are dealt to blocks by a hash of `order`; each block is numbered alone and starts where the blocks before it in
-    its group end. The table of block starts has at most (groups x blocks) rows. `order` should identify rows: equal rows
-    share a block, and which of them comes first is left open.
+
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows: int) -> DataFrame:
+    """Adds a gapless long number from 0 within each group, without gathering a group, or rows equal in `order`, in one task.
+
+    df, a table of `rows` rows that has been cut (its rows keep their places), is dealt to blocks by a hash of `order` and of
+    the row's place. Each block is numbered alone and starts where the blocks before it in its group end. The table of block
+    starts has at most (groups x blocks) rows.
     """
     from pyspark.sql import Window as W
 
-    b, c, s = "_block", "_count", "_start"
-    df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    b, c, s, m = "_block", "_count", "_start", "_row"
+    blocks = max(64, -(-rows // BLOCK_ROWS))
+    df = df.withColumn(m, F.monotonically_increasing_id()).withColumn(b, F.pmod(F.xxhash64(*order, m), F.lit(blocks)).cast("int"))
     counts = df.groupBy(*group, b).agg(F.count(F.lit(1)).alias(c))
     before = W.partitionBy(*group).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(*group, b, F.coalesce(F.sum(c).over(before), F.lit(0)).alias(s))
     keys = [*group, b]
-    own = W.partitionBy(*keys).orderBy(*order)
+    own = W.partitionBy(*keys).orderBy(*order, m)
     got = df.withColumn(out, F.row_number().over(own).cast("long") - 1)
-    left, right = got.alias("l"), F.broadcast(starts).alias("r")
+    left, right = got.alias("l"), (F.broadcast(starts) if blocks <= BROADCAST_ROWS // 100 else starts).alias("r")
     same = None
     for k in keys:
         e = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
         same = e if same is None else same & e
-    kept = [F.col(f"l.{x}").alias(x) for x in got.columns if x not in (b, out)]
+    kept = [F.col(f"l.{x}").alias(x) for x in got.columns if x not in (b, out, m)]
     return left.join(right, same).select(*kept, (F.col(f"l.{out}") + F.col(f"r.{s}")).alias(out))

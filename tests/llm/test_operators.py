@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraquill.llm import components, decontam, jaccard, knn, langid, packing, pii, quality, queries, sharding, textkit, tokens, warc
-from terraquill.llm.runtime import table
+from terraquill.llm.runtime import counted, numbered, table
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -240,29 +240,67 @@ def test_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(30, 6, replace=False)) for _ in range(60)]
     y = np.array([1.0 if 3 in x or 7 in x else -1.0 for x in rows])
-    w = quality.dual_coordinate_descent(rows, y, np.ones(30), np.full(60, 1.0), rounds=400)
+    y[:6] *= -1  # not separable: some multipliers reach the cost
+    cost = np.where(y > 0, 0.7, 1.5)
+    w = quality.dual_coordinate_descent(rows, y, np.ones(30), cost, rounds=3000)
     x = np.zeros((60, 31))
     for i, row in enumerate(rows):
         x[i, row], x[i, 30] = 1 / np.sqrt(6), 1
-    v = np.zeros(31)  # plain gradient descent on the primal
-    for _ in range(20_000):
-        v -= 0.002 * (v - 2 * ((y * np.maximum(0, 1 - y * (x @ v))) @ x))
-    assert np.abs(w - v).max() < 0.05
+    primal = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    v, best = np.zeros(31), np.inf  # subgradient descent on the primal
+    for t in range(40_000):
+        v = v - (v - ((cost * y * (y * (x @ v) < 1)) @ x)) / (t + 30)
+        best = min(best, primal(v))
+    assert primal(w) <= best + 1e-3
+
+
+def brute_indicators(text):
+    data = (text or "").encode()
+    grams = {data[i : i + n] for n in (1, 2, 3) for i in range(len(data) - n + 1)}
+    words, run, most = WORD.findall((text or "").translate(FOLD)), 1, 1
+    for a, b in zip(words, words[1:]):
+        run = run + 1 if a == b else 1
+        most = max(most, run)
+    return {quality.bucket_of(g) for g in grams} | {quality.BUCKETS + n - 2 for n in range(2, min(most, quality.SAME) + 1)}
+
+
+def test_indicators_and_scores_match_brute_force(spark):
+    r = random.Random(4)
+    texts = [None, "", "a", "é", "aa AA aa b b", "w " * 40] + ["".join(r.choice("ab é\nß!") for _ in range(r.randint(0, 60))) for _ in range(60)]
+    got = list(quality.indicators(pa.array(texts)))
+    assert [set(x.tolist()) for x in got] == [brute_indicators(t) for t in texts] and all((np.diff(x) > 0).all() for x in got)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(66)], "doc_id long, quality int")
+    rows = {x["doc_id"]: x for x in quality.assess(documents(spark, texts), labels).collect()}
+    taught = [i for i in range(66) if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = np.zeros((2, quality.WIDTH))
+    for i in taught:
+        counts[int(i % 3 > 0), sorted(brute_indicators(texts[i]))] += 1
+    ratio = quality.log_count_ratios(*counts)
+    w = quality.learn(spark.createDataFrame([(int(i % 3 > 0), texts[i], i) for i in taught], "y int, text string, doc_id long"))
+    assert np.allclose(w.scale, ratio)
+    weights = w.combined / np.where(ratio == 0, 1, ratio)
+    for i, t in enumerate(texts):
+        x = sorted(brute_indicators(t))
+        norm = np.sqrt(sum(ratio[j] ** 2 for j in x))
+        margin = w.bias + (sum(weights[j] * ratio[j] / norm for j in x) if norm > 0 else 0)
+        assert np.isclose(rows[i]["score"], 1 / (1 + np.exp(-2 * margin)), atol=1e-6) and rows[i]["held_out"] == (i not in taught)
 
 
 def test_quality_sample_is_bounded_with_copies_and_nulls(spark, monkeypatch):
-    """Of 1,200 labelled rows a third are copies of a text and a third null: each is drawn by its share."""
+    """Of 1,200 labelled rows a third are copies of a text and a third null; a class of 12 rows stays whole."""
     r = random.Random(5)
     own = [" ".join(r.choice(["good", "plain", "words", "buy", "now"]) + str(r.randint(0, 99)) for _ in range(9)) for _ in range(400)]
     texts = own + ["a copied text of words"] * 400 + [None] * 400
-    labels = spark.createDataFrame([(i, i % 2) for i in range(1200)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i % 100 > 0)) for i in range(1200)], "doc_id long, quality int")
     seen = []
     fit = quality.dual_coordinate_descent
-    monkeypatch.setattr(quality, "dual_coordinate_descent", lambda rows, *a, **b: (seen.append(rows), fit(rows, *a, **b))[1])
+    monkeypatch.setattr(quality, "dual_coordinate_descent", lambda rows, y, *a, **b: (seen.append((rows, y)), fit(rows, y, *a, **b))[1])
     assert quality.assess(documents(spark, texts), labels, rows=240).count() == 1200
-    empty = sum(not len(x) for x in seen[0])
-    most = Counter(x.tobytes() for x in seen[0] if len(x)).most_common(1)[0][1]
-    assert 160 < len(seen[0]) < 320 and 40 < empty < 120 and 40 < most < 120
+    rows, y = seen[0]
+    rare = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(0, 1200, 100))
+    empty = sum(not len(x) for x in rows)
+    most = Counter(x.tobytes() for x in rows if len(x)).most_common(1)[0][1]
+    assert (y < 0).sum() == rare and 80 < (y > 0).sum() <= 120 and 20 < empty < 60 and 20 < most < 60
 
 
 def test_quality_edges(spark, odd):
@@ -301,6 +339,33 @@ def test_warc_repeated_rows_and_null_ids(spark):
     assert sum(got.values()) == 5 and got[1, "response", None, 1] == 2 and got[2, "revisit", 1, 1] == 1 and got[2, "response", None, 1] == 1
 
 
+def test_warc_files_follow_all_records(spark, monkeypatch):
+    """Equal and empty pages weigh their headers; ranges are sized by rows and merge runs of several files."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    n = 20_000
+    for html, size in ((F.lit(""), 0), (F.lit("x" * 900), 900)):
+        pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/"), (F.col("id") * 7919 % n).cast("string")).alias("url"), html.alias("html"))
+        rows = sorted(warc.archive(pages, range_rows=3000).collect(), key=lambda r: (r["range_no"], r["range_pos"]))
+        assert len(rows) == n and sum(r["record_type"] == "response" for r in rows) == 1
+        assert {r["refers_to"] for r in rows} == {None, 0} and {r["payload_bytes"] for r in rows} == {size}
+        keys = [(r["url_key"], r["seconds"], r["page_id"]) for r in rows]
+        assert keys == sorted(keys) and len({r["file"] for r in rows}) >= 12
+        assert max(Counter(r["range_no"] for r in rows).values()) < 9000
+
+
+def test_warc_members_can_be_read_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER", 700)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "é" * i * 100, i) for i in range(12)], "page_id long, url string, html string, seconds long")
+    warc.write(pages, str(tmp_path / "w"))
+    rows = warc.read(spark, str(tmp_path / "w")).collect()
+    assert len(rows) == 12
+    for r in rows:
+        with open(r["file"].removeprefix("file:"), "rb") as f:
+            f.seek(r["offset"])
+            (own,) = warc.parse(f.read(r["length"]))
+        assert own["payload"] == ("é" * r["page_id"] * 100).encode()
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in (0, 1, 2, 5, 16):
@@ -327,6 +392,49 @@ def test_top_k_matches_brute_force(spark, cells):
     assert knn.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_with_repeated_rows_and_ids(spark):
+    """Equal rows count once; of an id with several vectors each is a query and a candidate, never of its own id."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(90)] + [(20, rng.integers(-3, 4, 4).astype(float).tolist()) for _ in range(3)]
+    rows += [(40, [2.0, 1.0, 0.0, 0.0])] * 30 + [(i, [2.0, 1.0, 0.0, 0.0]) for i in range(200, 230)] + [rows[60], rows[61], rows[61]]
+    got = sorted(tuple(r) for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cells=5).collect())
+    distinct = sorted({(i, tuple(int(64 * x) for x in v)) for i, v in rows})
+    want = []
+    for q, v in distinct:
+        if q % 20 == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in distinct if i != q)[:20]
+            want += [(q, n, i, -x) for n, (x, i) in enumerate(s, 1)]
+    assert got == sorted(want)
+
+
+def test_top_k_where_integers_are_long(spark):
+    rows = [(0, [2.0**50, 1.0]), (1, [2.0**50, 3.0]), (2, [-(2.0**50), 5.0]), (3, [1.0, 7.0]), (4, [2.0**57, 0.0]), (5, [1e300, 0.0])]
+    got = [tuple(r)[2:] for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**62 + 64 * 448), (2, -(2**63))]
+
+
+def test_cells_are_grouped_by_what_they_need(spark):
+    """Queries of far clusters stay apart and are sent little; queries that need everything become one group."""
+    rng = np.random.default_rng(2)
+    for spread, most in ((0.05, 0.5), (50.0, 1.01)):
+        centres = np.eye(8)[rng.integers(0, 8, 4000)] * 10
+        data = centres + rng.normal(0, spread, (4000, 8))
+        x = np.floor(64 * data).astype(np.int64)
+        cells = knn.Cells(np.unique(x[:16], axis=0))
+        q = x[::20]
+        t = knn._floors(q, np.arange(0, 4000, 20), x[:1000], np.arange(1000), 20)
+        cell, _ = cells.nearest(q)
+        n = len(cells.p)
+        cells.reach, cells.long = np.full((n, n), np.inf), np.full(n, np.inf)
+        size = np.sqrt(np.square(q.astype(float)).sum(axis=1))
+        np.minimum.at(cells.reach, cell, (t[:, None] - q.astype(float) @ cells.p.T) / size[:, None])
+        np.minimum.at(cells.long, cell, t / size)
+        cells.merge(x[:1000], np.bincount(cell, minlength=n))
+        want = cells.wanted(x)
+        sent = sum(want[:, cells.group == g].any(axis=1).sum() for g in range(len(cells.blocks))) / len(x)
+        assert sent <= most * (len(cells.blocks) if spread < 1 else 1)
+
+
 # 7
 
 
@@ -397,6 +505,40 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+@pytest.mark.parametrize("most", [8, 8192])
+def test_jaccard_in_a_large_group_of_near_copies(spark, monkeypatch, most):
+    """Hundreds of near copies about the threshold, and many texts that share a passage: blocks of any size, packed tiles."""
+    monkeypatch.setattr(jaccard, "BLOCK_MOST", most)
+    monkeypatch.setattr(jaccard, "BLOCK_LEAST", min(most, jaccard.BLOCK_LEAST))
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    base, passage, texts = [word() for _ in range(80)], [word() for _ in range(30)], []
+    for _ in range(260):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4, 6])):
+            w[r.randrange(80)] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(passage + [word() for _ in range(r.randint(3, 20))]) for _ in range(160)]
+    r.shuffle(texts)
+    sets = {i: shingle_set(t, 3) for i, t in enumerate(texts)}
+    want = brute_components(sets, 85)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.link(documents(spark, texts).coalesce(1), 3, 85).collect()}
+    assert got == want and 1 < len(set(want.values())) < 400
+
+
+def test_packs_hold_hot_tiles_whole():
+    rng = np.random.default_rng(1)
+    tile = np.concatenate([np.full(9000, 7), np.full(65, -3), np.full(64, 5), rng.integers(100, 10**6, 500)])
+    a = rng.integers(-(2**62), 2**62, len(tile))
+    t, x, packs = jaccard.packed(tile, a)
+    got = Counter(zip(t.tolist(), x.tolist()))
+    for p in packs:
+        got.update((p[0], y) for y in p[1:])
+    assert got == Counter(zip(tile.tolist(), a.tolist())) and max(map(len, packs)) <= jaccard.PACK + 1
+    plain = Counter(t.tolist())
+    assert plain[7] == plain[-3] == 2 and plain[5] == 64
+
+
 # 8
 
 
@@ -408,7 +550,8 @@ def test_bounds_match_brute_force():
         m, k = r.randint(1, 8), r.randint(1, 4)
         top = np.array(sorted(r.sample(range(1, 60), m)))
         count = np.array([r.randint(1, 9) for _ in range(m)])
-        ends, pad = packing.bounds(count, top, top * count, k)
+        ends, pad = packing.bounds(top.tolist(), count.tolist(), k)
+        ends = [top.tolist().index(e) for e in ends]
 
         def padding(cuts):
             return sum(int(c) * (int(top[min(e for e in cuts if e >= i)]) - int(top[i])) for i, c in enumerate(count))
@@ -431,6 +574,33 @@ def test_packing(spark, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packing_matches_brute_force(spark):
+    """Counts, optimal buckets, batches and places of the query, on lengths far above and below 512."""
+    r = random.Random(6)
+    texts = ["\u00e9\t".join("w" for _ in range(r.choice([1, 2, 9, 40, 300, 513, 700, 1400, 3000]) + r.randint(0, 9))) for _ in range(150)] + [None, "", " \n"]
+    rows = packing.pack_documents(documents(spark, texts), buckets=5, budget=4000).collect()
+    n = {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+    assert {x["doc_id"]: x["n_tokens"] for x in rows} == n
+    lengths = sorted(Counter(n.values()).items())
+    least = {(0, 0): 0}  # (lengths done, buckets) -> padding
+    for j in range(1, len(lengths) + 1):
+        for k in range(1, 6):
+            least[j, k] = min((least[i, k - 1] + sum(c * (lengths[j - 1][0] - x) for x, c in lengths[i:j]) for i in range(j) if (i, k - 1) in least), default=1 << 60)
+    assert sum(x["padding"] for x in rows) == min(least[len(lengths), k] for k in range(1, 6))
+    for bucket in {x["bucket"] for x in rows}:
+        own = [x for x in rows if x["bucket"] == bucket]
+        (bound,) = {x["bucket_len"] for x in own}
+        each = max(1, 4000 // max(1, bound))
+        assert bound == max(x["n_tokens"] for x in own) and all(x["padding"] == bound - x["n_tokens"] for x in own)
+        assert sorted(x["batch"] * each + x["place"] for x in own) == list(range(len(own)))
+
+
+def test_numbers_of_a_hot_key_are_dealt_out(spark):
+    df, state = counted(spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.lit(1).alias("g")))
+    got = numbered(df, ["g"], ["k"], "at", state.rows)
+    assert sorted(r["at"] for r in got.collect()) == list(range(3000))
+
+
 # 9
 
 PATTERNS = {
