@@ -142,3 +142,13 @@ def gib(n: Column) -> Column:
 def trimmed_tokens(prompt: Column, out: Column) -> Column:
     """Generated token ids without the echoed prompt."""
     return F.slice(out, F.size(prompt) + 1, F.greatest(F.size(out) - F.size(prompt), F.lit(0)))
+
+
+def reversed_size(size: Column) -> Column:
+    """(width, height) as (height, width)."""
+    return F.reverse(size)
+
+
+def fixed(c: Column, places: int) -> Column:
+    """A number as text for reports. For display only: on ties Java rounds half up."""
+    return F.format_string(f"%.{places}f", c)

@@ -95,6 +95,19 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def unpng(data: bytes) -> np.ndarray:
+    """The BGR or one-channel image of a PNG that `png` made."""
+    width, height, _, kind = struct.unpack(">IIBB", data[16:26])
+    at, packed = 8, b""
+    while at < len(data):
+        size, name = struct.unpack(">I4s", data[at : at + 8])
+        packed += data[at + 8 : at + 8 + size] if name == b"IDAT" else b""
+        at += size + 12
+    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, -1)[:, 1:]
+    image = rows.reshape(height, width, 3 if kind == 2 else 1)
+    return image[..., ::-1] if kind == 2 else image
+
+
 def array_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, channels)[..., : 3 if channels >= 3 else 1]
 

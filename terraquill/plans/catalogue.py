@@ -342,15 +342,18 @@ def union_sources(spark, sf):
 # Images
 
 
-def _folder(spark: SparkSession) -> str:
+def _shared(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local one only where there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/images" if named else f"{tempfile.gettempdir()}/terraquill-images"
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named.rstrip("/") if named else f"file://{tempfile.gettempdir()}/terraquill"
 
 
 def sample_folder(spark: SparkSession) -> str:
     """A folder with three small PNGs, a broken JPEG and a text file, written through Spark's file system."""
     jvm = spark._jvm
-    folder = _folder(spark)
+    folder = f"{_shared(spark)}/images"
     y, x = np.mgrid[0:12, 0:16]
     files = {
         "flat.png": kernels.png(np.full((8, 8, 3), 90, np.uint8)),
@@ -399,4 +402,28 @@ def preprocess(spark, sf):
 
 @query
 def pipeline_e2e(spark, sf):
-    return pipeline.run(spark, sample_folder(spark)).select("image_name", "ok", "prompt", F.to_json("metadata").alias("metadata"))
+    rows = pipeline.run(spark, sample_folder(spark), _shared(spark))
+    return rows.select("image_name", "ok", "error", "prompt", F.col("metadata.output_caption").alias("output_caption"), F.col("metadata.output").alias("output"))
+
+
+@query
+def benchmark_e2e(spark, sf):
+    """Each captioning model on the sample images, without the times, which differ from run to run."""
+    done = pipeline.benchmark(spark, sample_folder(spark), _shared(spark))
+    return done.seen.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_images"), F.sum(F.col("is_error").cast("long")).alias("n_errors"), F.sum("keyword_count").alias("keywords"), F.round(F.avg("overall"), 9).alias("avg_quality"))
+
+
+@query
+def number_format(spark, sf):
+    """Numbers as reports show them; tenths and quarters have no ties that two engines round apart."""
+    n = F.col("l_quantity")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", expr.fixed(n, 1).alias("one"), expr.fixed(n / 4 + F.lit(0.001), 2).alias("two"), expr.gib(F.col("l_partkey").cast("double") * (1 << 30)).alias("gib"))
+
+
+@query
+def token_trim(spark, sf):
+    """Generated ids without the echoed prompt, and the reversal of a size."""
+    ids = F.transform(F.split("text", " "), lambda w: F.char_length(w))
+    rows = table(spark, sf, "documents").select("doc_id", ids.alias("out"), F.slice(ids, 1, 3).alias("asked"))
+    size = expr.reversed_size(F.array("doc_id", F.size("asked").cast("long")))
+    return rows.select("doc_id", F.array_join(F.transform(expr.trimmed_tokens(F.col("asked"), F.col("out")), lambda x: x.cast("string")), ",").alias("said"), size[0].alias("first"), size[1].alias("last"))

@@ -116,4 +116,7 @@ ORACLE: dict[str, str] = {
     "metadata_json": f"WITH {CAP} SELECT image_id, CAST(to_json(struct_pack(source := concat('in/image_', image_id, '.jpg'), output := concat('outputs/images/image_', image_id, '_generated.png'), output_caption := concat('caption of image_', image_id), generation_prompt := concat('Aerial view: image_', image_id), models := struct_pack({_MODEL_JSON}))) AS VARCHAR) AS metadata FROM cap WHERE NOT is_error",
     "limit_images": "SELECT doc_id, concat('image_', doc_id, CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END) AS path FROM documents ORDER BY doc_id % 2, path LIMIT 5",
     "union_sources": "SELECT concat('d', doc_id, '.jpg') AS path, 0 AS ord FROM documents UNION ALL SELECT concat('p', page_id, '.png'), 1 FROM pages",
+    "number_format": "SELECT l_orderkey, l_linenumber, printf('%.1f', l_quantity) AS one, printf('%.2f', l_quantity / 4 + 0.001::DOUBLE) AS two, l_partkey::DOUBLE AS gib FROM lineitem",
+    "token_trim": """WITH ids AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS said FROM documents)
+SELECT doc_id, array_to_string(said[4:], ',') AS said, least(len(said), 3)::BIGINT AS first, doc_id AS last FROM ids""",
 }

@@ -1,36 +1,192 @@
-"""From an image directory to prompts and metadata, with providers for the models."""
+"""From an image directory to generated images and their metadata, and the benchmark of captioning models.
+
+Two passes see pixels. The first decodes an image once, enlarges it, asks captioner, detector and localizer, and makes the
+control image; the second generates from prompt and control image and describes the result. Between them only names, texts,
+boxes and the control image (compressed) move. The first pass is kept as Parquet, so no branch computes it again.
+
+Error rules, each with its reason in a column instead of a printed trace: an image that can't be decoded fails; one that
+can't be enlarged goes on as it is; no caption gives a fixed one; a detector that can't be opened or fails gives no
+detections; a localizer that fails gives no location of that image; a generator that fails gives no metadata, and what was
+written before stays. Captioner, localizer and generator that can't be opened end the job.
+
+Images are told apart by their path. Their files are named after the stem, so of two images with the same stem in one
+folder the files of one stay.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquill import providers, vocab
 from terraquill.functions import expr, kernels
-from terraquill.operators import detect, prompts
+from terraquill.operators import evaluate, prompts
+from terraquill.providers import Provider
+from terraquill.sinks import files
 from terraquill.sources import images
 
 
+@dataclass(frozen=True)
+class Models:
+    captioner: Callable[[], Provider] = providers.Captioner
+    detector: Callable[[], Provider] = providers.Detector
+    localizer: Callable[[], Provider] = providers.Localizer
+    generator: Callable[[], Provider] = providers.Generator
+    upscale: Callable[[np.ndarray], np.ndarray] = kernels.upscale
+
+
 def metadata(source: Column, output: Column, caption: Column, prompt: Column) -> Column:
     models = F.struct(*[F.lit(v).alias(k) for k, v in vocab.STAGE_MODELS.items()])
     return F.struct(source.alias("source"), output.alias("output"), caption.alias("output_caption"), prompt.alias("generation_prompt"), models.alias("models"))
 
 
-def run(spark: SparkSession, path: str, captioner=providers.StubCaptioner, detector=providers.StubDetector, root: str = "outputs") -> DataFrame:
-    """(image_name, ok, error, prompt, metadata): every file a row; failed ones have ok false and no metadata.
+def _caption(captioner: Provider, image: np.ndarray) -> tuple[str | None, str | None]:
+    """The caption, null only if the captioner failed, and why."""
+    ((got, error),) = providers.ask(captioner, [{"image": image}])
+    return (got.get("caption") or "", None) if error is None else (None, error)
+
+
+_FOUND = "origin string, image_name string, img_h int, img_w int, caption string, det array<struct<det_idx:int,label:string,score:double,center_x:int,center_y:int,area:long>>, control binary, error string, notes array<string>"
+
+
+def annotate(decoded: DataFrame, models: Models = Models(), root: str | None = None) -> DataFrame:
+    """A row for each decoded row: size after enlarging, caption (null if it failed), confident detections with what the
+    localizer found of them, the control image as PNG, a reason where the image fails, and notes on what failed else."""
+
+    def seen(r, captioner: Provider, detector: Provider, localizer: Provider) -> tuple:
+        notes = []
+        if r.height < 1:
+            return (r.origin, r.image_name, None, None, None, [], None, "not an image", notes)
+        try:
+            image = kernels.array_of(r.height, r.width, r.n_channels, r.data)
+            try:
+                big = models.upscale(image)
+            except Exception as e:  # noqa: BLE001
+                big = image
+                notes.append(f"upscale: {e}")
+            if root:
+                files.put(f"{root}/images/{r.image_name}_upscaled.png", kernels.png(big))
+            caption, why = _caption(captioner, big)
+            notes += [f"caption: {why}"] * (why is not None)
+            ((got, why),) = providers.ask(detector, [{"image": big}])
+            notes += [f"detect: {why}"] * (why is not None)
+            sure = [x for x in zip(got.get("boxes", []), got.get("scores", []), got.get("labels", [])) if x[1] >= vocab.SCORE_LEAST]
+            ((got, why),) = providers.ask(localizer, [{"image": big, "boxes": [b for b, *_ in sure]}])
+            notes += [f"locate: {why}"] * (why is not None)
+            where = {i: g for i, *g in got.get("locations", [])}
+            det = [(i, label, float(score), *where.get(i, (None, None, None))) for i, (_, score, label) in enumerate(sure)]
+            names = ("det_idx", "label", "score", "center_x", "center_y", "area")
+            control = kernels.png(kernels.resize(kernels.control_map(big), vocab.OUTPUT_SIZE, vocab.OUTPUT_SIZE))
+            return (r.origin, r.image_name, big.shape[0], big.shape[1], caption, [dict(zip(names, d)) for d in det], control, None, notes)
+        except Exception as e:  # noqa: BLE001  a bad image must not end the job
+            return (r.origin, r.image_name, None, None, None, [], None, str(e) or type(e).__name__, notes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = [m() for m in (models.captioner, models.detector, models.localizer)]
+        for m in opened:
+            m.open()
+        columns = [x.split(" ")[0] for x in _FOUND.split(", ")]
+        try:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    out = pd.DataFrame([seen(r, *opened)], columns=columns)
+                    yield out.astype({"img_h": "Int32", "img_w": "Int32"})
+        finally:
+            for m in opened:
+                m.close()
+
+    return decoded.select("origin", "image_name", "height", "width", "n_channels", "data").mapInPandas(run, _FOUND)
 
-    Pixels leave the plan as soon as the models have seen them, so only names, texts and boxes are shuffled.
+
+def generate(made: DataFrame, models: Models = Models(), root: str | None = None, out: str = "outputs") -> DataFrame:
+    """(origin, ok, output, output_caption, error) of (origin, image_name, prompt, control)."""
+    base = root or out
+
+    def painted(r, generator: Provider, captioner: Provider) -> tuple:
+        try:
+            output = f"{base}/images/{r.image_name}_generated.png"
+            if root:
+                files.put(f"{base}/images/{r.image_name}_generated_control.png", bytes(r.control))
+            ((got, why),) = providers.ask(generator, [{"prompt": r.prompt, "control": kernels.unpng(bytes(r.control))}])
+            if why is not None:
+                return (r.origin, False, None, None, f"generate: {why}")
+            if root:
+                files.put(output, kernels.png(got["image"]))
+            return (r.origin, True, output, _caption(captioner, got["image"])[0], None)
+        except Exception as e:  # noqa: BLE001
+            return (r.origin, False, None, None, str(e) or type(e).__name__)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generator, captioner = models.generator(), models.captioner()
+        generator.open(), captioner.open()
+        try:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    yield pd.DataFrame([painted(r, generator, captioner)], columns=["origin", "ok", "output", "output_caption", "error"])
+        finally:
+            generator.close(), captioner.close()
+
+    return made.select("origin", "image_name", "prompt", "control").mapInPandas(run, "origin string, ok boolean, output string, output_caption string, error string")
+
+
+def run(spark: SparkSession, path: str, work: str, models: Models = Models(), root: str | None = None, limit: int | None = None) -> DataFrame:
+    """(origin, image_name, ok, error, notes, prompt, metadata): every file a row; failed ones have ok false, no metadata.
+
+    work: a folder that all executors share, for the two passes' rows. root: where the images' files go; none are written
+    without it. limit: as many files as that, in the scan's order.
     """
-    big = kernels.apply(images.decode(spark, path), kernels.upscale)
-    size = big.select("origin", "image_name", F.col("height").alias("img_h"), F.col("width").alias("img_w"), "error")
-    names = size.where("error IS NULL").select("origin", "image_name", "img_h", "img_w")
-    spoken = providers.apply(names, captioner, "caption string", ["caption"]).select("origin", "image_name", "img_h", "img_w", F.coalesce(expr.clean_caption(F.col("caption")), F.lit(vocab.FAILED_CAPTION)).alias("caption"))
-    seen = providers.apply(names, detector, "boxes array<array<double>>, scores array<double>, labels array<string>", ["boxes", "scores", "labels"])
-    boxes = detect.long_form(seen.select("image_name", "boxes", "scores", "labels"))
-    side = lambda i, j, n: F.floor((F.col("box")[i] + F.col("box")[j]) / 2 * F.col(n)).cast("long")
-    area = ((F.col("box")[2] - F.col("box")[0]) * F.col("img_w") * (F.col("box")[3] - F.col("box")[1]) * F.col("img_h")).cast("long")
-    det = boxes.join(names, "image_name").select(F.col("image_name").alias("image_id"), "det_idx", "label", "score", side(0, 2, "img_w").alias("center_x"), side(1, 3, "img_h").alias("center_y"), area.alias("area"), "img_w", "img_h")
-    made = prompts.prompts(spoken.select(F.col("image_name").alias("image_id"), "origin", "caption"), det)
-    output = expr.output_path(root, "images", F.col("image_id"), "_generated.png")
-    good = made.select(F.col("image_id").alias("image_name"), "prompt", metadata(F.col("origin"), output, F.col("caption"), F.col("prompt")).alias("metadata"))
-    return size.select("image_name", "error").join(good, "image_name", "left").select("image_name", F.col("metadata").isNotNull().alias("ok"), "error", "prompt", "metadata")
+    work = f"{work.rstrip('/')}/run-{uuid.uuid4().hex}"
+    decoded = images.decode(spark, path)
+    if limit:
+        decoded = decoded.join(F.broadcast(images.scan(spark, path, limit).select(F.regexp_replace("path", "^file:/+", "file:///").alias("origin"))), "origin", "left_semi")
+    annotate(decoded, models, root and root.rstrip("/")).write.parquet(f"{work}/found")
+    found = spark.read.schema(_FOUND).parquet(f"{work}/found")
+    good = found.where("error IS NULL")
+    said = lambda c: F.when(F.col(c).isNull(), vocab.FAILED_CAPTION).otherwise(expr.clean_caption(F.col(c)))
+    spoken = good.select(F.col("origin").alias("image_id"), said("caption").alias("caption"))
+    det = good.select(F.col("origin").alias("image_id"), "img_w", "img_h", F.explode("det").alias("d")).select("image_id", "img_w", "img_h", "d.*")
+    prompted = prompts.prompts(spoken, det).select(F.col("image_id").alias("origin"), "prompt")
+    generate(good.select("origin", "image_name", "control").join(prompted, "origin"), models, root and root.rstrip("/")).write.parquet(f"{work}/made")
+    made = spark.read.parquet(f"{work}/made").withColumnRenamed("error", "why").join(prompted, "origin")
+    rows = found.select("origin", "image_name", "error", "notes").join(made, "origin", "left")
+    full = F.when(F.coalesce("ok", F.lit(False)), metadata(F.col("origin"), F.col("output"), said("output_caption"), F.col("prompt")))
+    done = rows.select("origin", "image_name", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("error", "why").alias("error"), "notes", "prompt", full.alias("metadata"))
+    if root:
+        files.write_metadata(done.where("ok"), f"{root.rstrip('/')}/metadata")
+    return done
+
+
+@dataclass(frozen=True)
+class Benchmark:
+    seen: DataFrame
+    failed: DataFrame
+    summary: DataFrame
+    ranking: DataFrame
+
+    def write(self, folder: str, name: str | None = None) -> str:
+        return files.write_report(files.benchmark_results(self.seen, self.failed), self.summary, folder, name)
+
+    def console(self) -> list[str]:
+        return files.console(self.ranking, self.failed)
+
+
+def benchmark(spark: SparkSession, path: str, work: str, models: dict[str, Callable[[], Provider]] | None = None, limit: int | None = 5) -> Benchmark:
+    """Each model of the registry on the first `limit` images. A model that can't be opened keeps no observation."""
+    models = providers.REGISTRY if models is None else models
+    work = f"{work.rstrip('/')}/benchmark-{uuid.uuid4().hex}"
+    decoded = images.decode(spark, path)
+    order = images.scan(spark, path, limit).select(F.regexp_replace("path", "^file:/+", "file:///").alias("origin"), "ord")
+    providers.benchmark(decoded.join(F.broadcast(order) if limit else order, "origin", "left_semi"), models).write.parquet(f"{work}/replies")
+    replies = spark.read.parquet(f"{work}/replies")
+    failed = replies.where("model_error IS NOT NULL").groupBy("model_key").agg(F.min("model_error").alias("error"))
+    named = evaluate.models_table(spark).select("model_ord", F.col("model").alias("model_key"))
+    kept = replies.join(F.broadcast(failed.select("model_key")), "model_key", "left_anti").join(F.broadcast(named), "model_key")
+    seen = evaluate.observations(kept.select("model_key", "model_ord", F.col("origin").alias("image_id"), "caption", "inference_time", F.col("error").isNotNull().alias("is_error")))
+    summary = evaluate.summary(seen)
+    return Benchmark(seen, failed, summary, evaluate.ranking(summary))

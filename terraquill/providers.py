@@ -1,20 +1,29 @@
-"""Models as providers: opened once for each task, fed batches of rows, closed at its end. No weights come with this."""
+"""Models as providers: opened once for each task, fed rows with pixels, closed at its end.
+
+A provider holds what belongs to a model's use (question, options, treatment of the reply, error rules); the model itself is
+a backend, made in open(). No weights come with this: the backends here compute plain answers from the pixels alone, so
+every path runs and can be tested. A backend for weights has the same methods.
+"""
 
 from __future__ import annotations
 
+import gc
 import time
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from terraquill import vocab
+from terraquill.functions import expr, kernels
 
 
 class Provider(Protocol):
-    """open() may raise and so end the job; what predict() raises becomes the rows' error."""
+    """open() may raise; what predict() raises becomes the rows' error."""
 
     def open(self) -> None: ...
 
@@ -23,76 +32,224 @@ class Provider(Protocol):
     def close(self) -> None: ...
 
 
-class StubCaptioner:
-    """A caption that depends on the image's name alone."""
+# Backends
+
+
+class PixelTalker:
+    """Replies that depend on the pixels alone; as models do, it repeats the question's tokens before its own."""
+
+    def _text(self, x: np.ndarray) -> str:
+        seed = zlib.crc32(np.ascontiguousarray(x).tobytes())
+        pick = lambda terms, shift: terms[(seed >> shift) % len(terms)]
+        return f"The image shows {seed % 9} {pick(vocab.AERIAL_KEYWORDS, 3)} near the {pick(vocab.SPATIAL_TERMS, 9)}."
+
+    def generate(self, image: np.ndarray, question: str, **options) -> tuple[list[int], list[int]]:
+        """Token ids of the question, and of the question and the reply."""
+        asked = list(question.encode())
+        return asked, asked + list(self._text(image).encode())[: 8 * options["max_new_tokens"]]
+
+    def decode(self, ids: list[int]) -> str:
+        return bytes(ids).decode(errors="replace")
+
+    def chat(self, tensor: np.ndarray, question: str, **options) -> str:
+        return self._text(tensor)
+
+
+class PixelBoxes:
+    """A box for each ninth of the image that is brighter than the whole, as fractions of width and height."""
+
+    def detect(self, image: np.ndarray, classes: str) -> dict:
+        names, bright = classes.split(" . "), image.mean(axis=2)
+        out: dict = {"boxes": [], "scores": [], "labels": []}
+        for row in range(3):
+            for column in range(3):
+                part = bright[row * bright.shape[0] // 3 : (row + 1) * bright.shape[0] // 3, column * bright.shape[1] // 3 : (column + 1) * bright.shape[1] // 3]
+                if part.size and (more := float(part.mean() - bright.mean())) > 0:
+                    out["boxes"].append([column / 3, row / 3, (column + 1) / 3, (row + 1) / 3])
+                    out["scores"].append(min(1.0, more / 64))
+                    out["labels"].append(names[int(part.mean()) % len(names)])
+        return out
+
+
+class PixelMasks:
+    """Three masks a box: its pixels brighter than the image's mean, all of it, and none."""
+
+    def masks(self, image: np.ndarray, box: list[float]) -> np.ndarray:
+        bright, inside = image.mean(axis=2), np.zeros(image.shape[:2])
+        x0, y0, x1, y1 = (int(v) for v in box)
+        inside[y0:y1, x0:x1] = 1.0
+        return np.stack([inside * (bright > bright.mean()), inside, np.zeros_like(inside)])
 
-    def open(self) -> None: ...
+
+class PixelPainter:
+    """The control image, coloured by the prompt."""
+
+    def paint(self, prompt: str, control: np.ndarray, **options) -> np.ndarray:
+        seed = zlib.crc32(prompt.encode())
+        colour = np.array([seed & 255, seed >> 8 & 255, seed >> 16 & 255], np.float64)
+        strength = options["controlnet_conditioning_scale"]
+        return np.clip(strength * control + (1 - strength) * colour, 0, 255).astype(np.uint8)
+
+
+# Providers
+
+
+class Captioner:
+    """A caption from an image; the echoed question is cut off."""
+
+    question, options = vocab.SCENE_QUESTION, vocab.SCENE_OPTIONS
+
+    def __init__(self, backend: Callable[[], object] = PixelTalker):
+        self.backend, self.model = backend, None
+
+    def open(self) -> None:
+        self.model = self.backend()
+
+    def reply(self, image: np.ndarray) -> str:
+        asked, said = self.model.generate(image, self.question, **self.options)
+        return self.model.decode(said[len(asked) :])
 
     def predict(self, rows: list[dict]) -> list[dict]:
-        pick = lambda r, terms, salt: terms[zlib.crc32(f"{salt}{r['image_name']}".encode()) % len(terms)]
-        return [{"caption": f"The image shows {pick(r, vocab.AERIAL_KEYWORDS, 1)} near the {pick(r, vocab.SPATIAL_TERMS, 2)}."} for r in rows]
+        return [{"caption": self.reply(r["image"])} for r in rows]
 
-    def close(self) -> None: ...
+    def close(self) -> None:
+        self.model = None
+        gc.collect()
 
 
-class StubDetector:
-    """Up to six boxes that depend on the image's name alone."""
+class DetailCaptioner(Captioner):
+    question, options = vocab.DETAIL_QUESTION, vocab.DETAIL_OPTIONS
 
-    def open(self) -> None: ...
+
+class ChatCaptioner(Captioner):
+    """Asks with a preprocessed tensor. What goes wrong while the model replies becomes the caption, and counts as one."""
+
+    question, options = "<image>\n" + vocab.DETAIL_QUESTION, vocab.CHAT_OPTIONS
+
+    def reply(self, image: np.ndarray) -> str:
+        tensor = kernels.preprocess(image)
+        try:
+            return self.model.chat(tensor, self.question, **self.options)
+        except Exception as e:  # noqa: BLE001
+            return f"[Generation failed: {str(e)[:50]}]"
+
+
+class TemplateCaptioner(Captioner):
+    """Reads the reply from the whole conversation, after its last `assistant`."""
+
+    question, options = vocab.DETAIL_QUESTION, vocab.CHAT_OPTIONS
+
+    def reply(self, image: np.ndarray) -> str:
+        asked, said = self.model.generate(image, f"user {self.question} assistant ", **self.options)
+        whole = self.model.decode(said)
+        return whole.split("assistant")[-1].strip() if "assistant" in whole.lower() else whole
+
+
+class Detector:
+    """Boxes in pixels, scores and labels. A backend that can't be made leaves every image without detections."""
+
+    def __init__(self, backend: Callable[[], object] = PixelBoxes):
+        self.backend, self.model = backend, None
+
+    def open(self) -> None:
+        try:
+            self.model = self.backend()
+        except Exception:  # noqa: BLE001  the detector alone may be missing
+            self.model = None
 
     def predict(self, rows: list[dict]) -> list[dict]:
-        out = []
-        for r in rows:
-            seed = zlib.crc32(r["image_name"].encode())
-            n = seed % 7
-            h = [zlib.crc32(f"{i}{r['image_name']}".encode()) for i in range(n)]
-            out.append({
-                "boxes": [[x % 50 / 100, (x >> 8) % 50 / 100, (x % 50 + 30) / 100, ((x >> 8) % 50 + 30) / 100] for x in h],
-                "scores": [(x >> 16) % 100 / 100 for x in h], "labels": [vocab.DETECT_CLASSES[(x >> 4) % 8] for x in h],
-            })
-        return out
+        none: dict = {"boxes": [], "scores": [], "labels": []}
+        return [self._scaled(self.model.detect(r["image"], " . ".join(vocab.DETECT_CLASSES)), r["image"].shape[1::-1]) if self.model else none for r in rows]
 
-    def close(self) -> None: ...
+    @staticmethod
+    def _scaled(found: dict, size: tuple[int, int]) -> dict:
+        """Boxes from fractions to pixels. size is (width, height), for x and y of both corners."""
+        return found | {"boxes": [[v * n for v, n in zip(b, size * 2)] for b in found["boxes"]]}
 
+    def close(self) -> None:
+        self.model = None
+        gc.collect()
 
-class TableCaptioner:
-    """Captions made before: a mapping from image name to caption, of a size that fits a task."""
 
-    def __init__(self, captions: dict[str, str]):
-        self.captions = captions
+class Localizer:
+    """(index, centre, area) of each box whose first mask isn't empty; one call of the model for each box."""
 
-    def open(self) -> None: ...
+    def __init__(self, backend: Callable[[], object] = PixelMasks):
+        self.backend, self.model = backend, None
+
+    def open(self) -> None:
+        self.model = self.backend()
 
     def predict(self, rows: list[dict]) -> list[dict]:
-        return [{"caption": self.captions[r["image_name"]]} for r in rows]
+        return [{"locations": [(i, *g) for i, b in enumerate(r["boxes"]) if (g := kernels.mask_geometry(self.model.masks(r["image"], b)[0]))]} for r in rows]
 
-    def close(self) -> None: ...
+    def close(self) -> None:
+        self.model = None
+        gc.collect()
 
 
-REGISTRY: dict[str, Callable[[], Provider]] = {m.key: StubCaptioner for m in vocab.MODELS} | {"detector": StubDetector}
+class Generator:
+    """An image from a prompt and a control image."""
 
+    options = vocab.GENERATION_OPTIONS
 
-def apply(df: DataFrame, make: Callable[[], Provider], schema: str, fields: list[str], size: int = 8) -> DataFrame:
-    """df with the provider's fields, `inference_time` (seconds a row, around predict only) and `error`."""
-    kept = df.columns
-    types = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    def __init__(self, backend: Callable[[], object] = PixelPainter):
+        self.backend, self.model = backend, None
+
+    def open(self) -> None:
+        self.model = self.backend()
+
+    def predict(self, rows: list[dict]) -> list[dict]:
+        return [{"image": self.model.paint(r["prompt"], r["control"], negative_prompt=vocab.NEGATIVE_PROMPT, **self.options)} for r in rows]
+
+    def close(self) -> None:
+        self.model = None
+        gc.collect()
+
+
+#: The captioner of each model of a benchmark.
+REGISTRY: dict[str, Callable[[], Provider]] = {"qwen2vl_2b": DetailCaptioner, "internvl2_4b": ChatCaptioner, "llava_onevision_7b": TemplateCaptioner, "internvl3_8b": ChatCaptioner}
+
+
+def from_table(images: DataFrame, captions: DataFrame) -> DataFrame:
+    """Captions made before, (image_name, caption), in place of a model's: a join, of any size; none gives an error."""
+    known = captions.select("image_name", F.col("caption").cast("string").alias("caption")).dropDuplicates(["image_name"])
+    rows = images.join(known, "image_name", "left")
+    return rows.withColumn("inference_time", F.lit(0.0)).withColumn("error", F.when(F.col("caption").isNull(), F.lit("no caption")))
+
+
+def ask(provider: Provider, rows: list[dict]) -> list[tuple[dict, str | None]]:
+    """What the provider says to each row, and why not. Where rows fail together, each is tried alone."""
+    try:
+        return [(got, None) for got in provider.predict(rows)]
+    except Exception as e:  # noqa: BLE001  a bad row must not end the job
+        return [({}, str(e) or type(e).__name__)] if len(rows) == 1 else [x for r in rows for x in ask(provider, [r])]
+
+
+def benchmark(decoded: DataFrame, models: dict[str, Callable[[], Provider]]) -> DataFrame:
+    """(origin, image_name, model_key, caption, inference_time, error, model_error): each model on each decoded image.
+
+    A model is opened once for each task and on its own, as only one may fit into memory. If that fails, its rows have
+    model_error. The time is that of the reply alone. Pixels never leave their task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = make()
-        provider.open()
-        try:
-            for pdf in batches:
-                for at in range(0, len(pdf), size):
-                    rows = pdf.iloc[at : at + size].to_dict("records")
+        for pdf in batches:
+            images = [(r.origin, r.image_name, kernels.array_of(r.height, r.width, r.n_channels, r.data) if r.height > 0 else None) for r in pdf.itertuples(index=False)]
+            for key, make in models.items():
+                rows, broken, provider = [], None, None
+                try:
+                    provider = make()
+                    provider.open()
+                except Exception as e:  # noqa: BLE001
+                    broken = str(e) or type(e).__name__
+                for origin, name, image in images:
                     began = time.perf_counter()
-                    try:
-                        got, error = provider.predict(rows), None
-                    except Exception as e:  # noqa: BLE001  a bad row must not end the job
-                        got, error = [{} for _ in rows], str(e)
-                    each = (time.perf_counter() - began) / max(1, len(rows))
-                    out = [r | {f: g.get(f) for f in fields} | {"inference_time": each, "error": error} for r, g in zip(rows, got)]
-                    yield pd.DataFrame(out, columns=[*kept, *fields, "inference_time", "error"])
-        finally:
-            provider.close()
-
-    return df.mapInPandas(run, f"{types}, {schema}, inference_time double, error string")
+                    (got, error), = [({}, broken)] if broken else [({}, "not an image")] if image is None else ask(provider, [{"image": image}])
+                    rows.append((origin, name, key, got.get("caption"), time.perf_counter() - began, error, broken))
+                if provider and not broken:
+                    provider.close()
+                yield pd.DataFrame(rows, columns=["origin", "image_name", "model_key", "caption", "inference_time", "error", "model_error"])
+
+    out = decoded.select("origin", "image_name", "height", "width", "n_channels", "data").mapInPandas(run, "origin string, image_name string, model_key string, caption string, inference_time double, error string, model_error string")
+    return out.withColumn("caption", F.coalesce("caption", expr.error_caption(F.col("error"))))

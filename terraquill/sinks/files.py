@@ -1,62 +1,89 @@
-"""PNG and JSON files. Writers are idempotent: a file is written under a name of its own, then renamed."""
+"""PNG, JSON and report files, one by one, in any file system that pyarrow knows (local, hdfs://, s3://, gs://).
+
+Writing is idempotent: a file is written under a name of its own in its folder, then moved to its name. Executors write the
+images' files themselves, so the folder must be one that all of them reach.
+"""
 
 from __future__ import annotations
 
-import os
+import json
+import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquill.functions import kernels
+from terraquill.functions import expr
 
 
-def _put(path: str, data: bytes) -> None:
-    local = path.removeprefix("file://").removeprefix("file:")
-    os.makedirs(os.path.dirname(local), exist_ok=True)
-    own = f"{local}.{uuid.uuid4().hex}"
-    with open(own, "wb") as f:
+def put(path: str, data: bytes) -> None:
+    """Makes the folder where it is missing."""
+    local = re.sub(r"^file:/+", "/", path)
+    system, at = fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
+    folder, _, name = at.rpartition("/")
+    system.create_dir(folder or ".", recursive=True)
+    own = f"{folder or '.'}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as f:
         f.write(data)
-    os.replace(own, local)
+    system.move(own, at)
 
 
-def write_png(images: DataFrame, folder: str, ending: str) -> DataFrame:
-    """(image_name, output): one PNG a row at folder/{image_name}{ending}; the folder must be one that executors share."""
+def write_metadata(made: DataFrame, folder: str) -> None:
+    """One pretty-printed JSON file for each row (image_name, metadata)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for r in pdf.itertuples(index=False):
-                path = f"{folder}/{r.image_name}{ending}"
-                _put(path, kernels.png(kernels.array_of(r.height, r.width, r.n_channels, r.data)))
-                rows.append((r.image_name, path))
-            yield pd.DataFrame(rows, columns=["image_name", "output"])
+                put(f"{folder}/{r.image_name}.json", json.dumps(json.loads(r.text), indent=2).encode())
+            yield pdf[["image_name"]]
+
+    made.select("image_name", F.to_json("metadata").alias("text")).mapInPandas(run, "image_name string").write.format("noop").mode("overwrite").save()
+
+
+def report_name(now: datetime | None = None) -> str:
+    return f"benchmark_results_{now or datetime.now():%Y%m%d_%H%M%S}.json"
+
 
-    good = images.where("height > 0").select("image_name", "height", "width", "n_channels", "data")
-    return good.mapInPandas(run, "image_name string, output string")
+def benchmark_results(seen: DataFrame, failed: DataFrame) -> DataFrame:
+    """(model_key, result): a JSON text for each model; of those in failed (model_key, error) only their error.
 
+    A model's observations become arrays in image order; a benchmark has few images for each model.
+    """
+    row = F.struct("image_id", "caption", "inference_time", F.struct("length", "quantification", "spatial", "structures", "overall").alias("quality"), "keyword_count")
+    each = seen.join(failed.select("model_key"), "model_key", "left_anti").groupBy("model_key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    column = lambda name, c: F.transform("rows", lambda x: x[c]).alias(name)
+    lists = F.struct(column("captions", "caption"), column("inference_times", "inference_time"), column("quality_scores", "quality"), column("aerial_keywords", "keyword_count"))
+    good = each.select("model_key", F.to_json(lists).alias("result"))
+    return good.unionByName(failed.select("model_key", F.to_json(F.struct("error")).alias("result")))
 
-def write_metadata(metadata: DataFrame, path: str) -> None:
-    """One JSON object a line."""
-    metadata.select("metadata.*").write.mode("overwrite").json(path)
 
+def write_report(results: DataFrame, summarised: DataFrame, folder: str, name: str | None = None) -> str:
+    """Writes {results, summary} as one JSON file and returns its path. A benchmark's models are a fixed few."""
+    by = {r["model_key"]: json.loads(r["result"]) for r in results.collect()}
+    summary = [r.asDict() for r in summarised.orderBy("model_ord").drop("model_ord").collect()]
+    for r in summary:
+        by[r["model"]] = {"model_name": r["model_name"], "memory_gb": r["memory_gb"]} | by[r["model"]]
+    path = f"{folder.rstrip('/')}/{name or report_name()}"
+    put(path, json.dumps({"results": by, "summary": summary}, indent=2).encode())
+    return path
 
-def benchmark_report(seen: DataFrame, summarised: DataFrame, failed: dict[str, str] | None = None) -> DataFrame:
-    """One row with the report {results, summary}: a failed model has its error only. A benchmark's rows are few."""
-    item = F.struct("image_id", "caption", "inference_time", "overall", "keyword_count")
-    own = seen.where(~F.col("model_key").isin(*failed)) if failed else seen
-    good = own.groupBy("model_key").agg(F.array_sort(F.collect_list(item)).alias("observations")).withColumn("error", F.lit(None).cast("string"))
-    if failed:
-        bad = seen.sparkSession.createDataFrame(list(failed.items()), "model_key string, error string")
-        good = good.unionByName(bad, allowMissingColumns=True)
-    results = good.agg(F.collect_list(F.struct("model_key", "error", "observations")).alias("results"))
-    total = summarised.agg(F.array_sort(F.collect_list(F.struct("model_ord", "model", "combined_score", "avg_quality", "avg_keywords", "avg_time_s"))).alias("summary"))
-    return results.join(total, F.lit(True)).select(F.to_json(F.struct("results", "summary")).alias("report"))
 
+def console(ranked: DataFrame, failed: DataFrame) -> list[str]:
+    """The lines of a benchmark's report: failures, averages, ranking and the best model."""
+    n = lambda c, places: expr.fixed(F.col(c), places).alias(c)
+    rows = ranked.orderBy("rank").select("rank", "model", "model_name", n("memory_gb", 2), n("avg_time_s", 2), n("avg_quality", 3), n("avg_keywords", 1), n("combined_score", 3)).collect()
+    out = [f"{r['model_key']}: FAILED - {r['error']}" for r in failed.orderBy("model_key").collect()]
+    for r in rows:
+        out += [f"{r['model']}: {r['model_name']}, GPU memory {r['memory_gb']} GB, {r['avg_time_s']} s, quality {r['avg_quality']}, aerial keywords {r['avg_keywords']}"]
+    out += [f"{r['rank']}. {r['model']} (combined score {r['combined_score']})" for r in rows]
+    return out + [f"best model: {r['model']} ({r['model_name']})" for r in rows[:1]]
 
-def report_name() -> str:
-    from datetime import datetime
 
-    return f"benchmark_results_{datetime.now():%Y%m%d_%H%M%S}.json"
+def totals(results: DataFrame) -> str:
+    """`successful / all` of a run's rows."""
+    r = results.agg(F.coalesce(F.sum(F.col("ok").cast("long")), F.lit(0)).alias("good"), F.count(F.lit(1)).alias("n")).first()
+    return f"{r['good']}/{r['n']}"
