@@ -4,7 +4,7 @@ Writing: each capture becomes a WARC/1.1 record, a gzip member of its own. Of eq
 response and the others are revisits that refer to it (identical payload digest; from `least` bytes on, smaller payloads are
 always responses). Digests that repeat are looked up by a join (broadcast where they are counted to be few, else shuffled,
 which Spark splits where one digest is hot); pages then move once, compressed and revisits without payload, to the task that
-writes their file. Files hold about FILE_BYTES of records, all kinds counted. Records go through Spark's own text writer, so
+writes their file. Files hold about `file_bytes` of records, all kinds counted. Records go through Spark's own text writer, so
 commits, retries and any file system that Spark knows work as for other tables: a member ends with the four bytes of its
 size, of which the last is zero below 16 MiB, and this zero is the writer's line separator. A longer record is several
 members in a row. Within a file captures are sorted by URL key and time.
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from terraquill.llm.runtime import counted, lookup_join, new_folder, stored
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
-#: Bytes of records in a file, before compression; about those of a record without payload.
-FILE_BYTES, HEAD_BYTES = 64 << 20, 640
+#: Bytes of records in a file, before compression, unless a caller wants other files; about those of a record without payload.
+FILE_BYTES, HEAD_BYTES = 16 << 20, 640
 #: Index rows that a task merges.
 RANGE_ROWS = 200_000
 #: Most bytes of a gzip member whose stated size ends with a zero byte.
@@ -152,19 +152,19 @@ def _facts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, payload_bytes long, sha1 string")
 
 
-def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds") -> None:
-    """Writes pages (page_id, url, html, seconds) as WARC files below path."""
+def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds", file_bytes: int = FILE_BYTES) -> None:
+    """Writes pages (page_id, url, html, seconds) as WARC files of about file_bytes below path."""
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.col(seconds).cast("long").alias("seconds"))
     each = F.when(F.col("payload_bytes") >= least, 1).otherwise(F.col("n"))
     sizes = [F.sum(F.col("payload_bytes") * each + F.col("n") * HEAD_BYTES).alias("total"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("again")]
     firsts, state = counted(_facts(pages).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), *sizes)
     total = state.total or 0
-    files = max(1, -(-total // FILE_BYTES), min(spark.sparkContext.defaultParallelism, total >> 20))
+    files = max(1, -(-total // file_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
     own = lookup_join(_with_digest(pages), firsts.where("n > 1").drop("n"), ["sha1", "payload_bytes"], "left", rows=state.again or 0)
     own = own.withColumn("revisit", (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()))
     own = own.select("page_id", "url", "seconds", F.when(~F.col("revisit"), F.col("packed")).alias("packed"), "payload_bytes", "sha1", "first", "revisit")
-    own = own.repartition(files, F.xxhash64("page_id", "url", "sha1"))
+    own = own.repartition(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,11 +289,11 @@ def merged(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", range_no int, range_pos long")
 
 
-def archive(pages: DataFrame, least: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+def archive(pages: DataFrame, least: int = 0, range_rows: int = RANGE_ROWS, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes pages as WARC files in the shared folder, reads them back, and returns a row per record in global order."""
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     seconds = F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31)).alias("seconds")
-    write(pages.select("page_id", "url", "html", seconds), path, least)
+    write(pages.select("page_id", "url", "html", seconds), path, least, file_bytes=file_bytes)
     index = merged(stored(read(spark, path)), range_rows)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "seconds", "file", "offset", "length", "range_no", "range_pos")
