@@ -4,7 +4,8 @@
    query's k best, so no more of them are dealt out, however many there are.
 2. Pivots, a hashed sample of the vectors, cut the space into cells; queries and data go to their nearest pivot's. Data
    keep r = |x - pivot|.
-3. A sample of the data gives each query q a floor t: its k-th best score there, which the true one can't be below. As
+3. A sample of the data gives each query q a floor t: its k-th best score there, which the true one can't be below; where
+   queries are solved, it also holds back all lower scores from the first batch on. As
    q x = q p + q (x - p) <= q p + |q| r, and q x <= |q| |x|, a vector of cell j can matter to a query of cell i only if
    r >= min over the cell's q of (t - q p_j) / |q| and |x| >= min of t / |q|. These summaries (cells x cells numbers) come
    to the driver and are broadcast; their size doesn't depend on the input.
@@ -131,10 +132,16 @@ class Cells:
         return cell, np.sqrt(np.square(x - self.p[cell]).sum(axis=1))
 
 
+_NONE = np.iinfo(np.int64).min
+
+
 def _floors(q: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
-    s = products(q, sample).astype(np.float64)
-    s[ids[:, None] == sample_ids[None, :]] = -np.inf
-    return np.partition(s, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k] if len(sample_ids) >= k else np.full(len(q), -np.inf)
+    """Of each query the k-th best score in the sample, which its k-th best of all is not below."""
+    if len(sample_ids) < k:
+        return np.full(len(q), _NONE)
+    s = products(q, sample)
+    s[ids[:, None] == sample_ids[None, :]] = _NONE
+    return np.partition(s, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k]
 
 
 def _summaries(queries: DataFrame, cells: Cells, sample: tuple, width: int, k: int) -> list:
@@ -150,6 +157,7 @@ def _summaries(queries: DataFrame, cells: Cells, sample: tuple, width: int, k: i
                 q = matrix(part.column(1).to_pylist(), width)
                 cell, _ = cells.nearest(q)
                 t = _floors(q, part.column(0).to_numpy(), x_s, ids_s, k)
+                t = np.where(t == _NONE, -np.inf, t.astype(np.float64))
                 size = np.sqrt(np.square(q.astype(np.float64)).sum(axis=1))
                 zero = size == 0
                 size[zero] = 1
@@ -202,28 +210,27 @@ def _names(held: list[bytes]) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) of a block of queries."""
+    """The k best (score, id) of a block of queries. least: of each, a score that its k-th best is not below."""
 
-    def __init__(self, ids: np.ndarray, names: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.names, self.q, self.k = ids, names, q, k
-        self.top = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
-        self.least = np.full(len(ids), np.iinfo(np.int64).min)
+    def __init__(self, ids: np.ndarray, names: np.ndarray, q: np.ndarray, k: int, least: np.ndarray):
+        self.ids, self.names, self.q, self.k, self.least = ids, names, q, k, least
+        self.row = self.score = self.who = np.zeros(0, np.int64)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         s = products(self.q, x)
-        own = self.ids[:, None] == ids[None, :]
-        good = (s >= self.least[:, None]) & ~own
-        for row in np.flatnonzero(good.any(axis=1)).tolist():
-            new = np.flatnonzero(good[row])
-            score = np.concatenate([self.top[row][0], s[row, new]])
-            who = np.concatenate([self.top[row][1], ids[new]])
-            order = np.lexsort((who, -score))[: self.k]
-            self.top[row] = score[order], who[order]
-            if len(order) == self.k:
-                self.least[row] = score[order[-1]]
-
-
-def _solve(dealt: DataFrame, width: int, k: int) -> DataFrame:
+        row, new = np.nonzero((s >= self.least[:, None]) & (self.ids[:, None] != ids[None, :]))
+        row, score, who = np.concatenate([self.row, row]), np.concatenate([self.score, s[row, new]]), np.concatenate([self.who, ids[new]])
+        order = np.lexsort((who, ~score, row))
+        row, score, who = row[order], score[order], who[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last, kept = place == self.k - 1, place < self.k
+        self.least[row[last]] = score[last]
+        self.row, self.score, self.who = row[kept], score[kept], who[kept]
+
+
+def _solve(dealt: DataFrame, sample: tuple, width: int, k: int) -> DataFrame:
+    shared = dealt.sparkSession.sparkContext.broadcast(sample)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, best, ids, held, queries = None, None, [], [], True
 
@@ -232,15 +239,16 @@ def _solve(dealt: DataFrame, width: int, k: int) -> DataFrame:
             if held:
                 x, n = matrix(held, width), np.array(ids, np.int64)
                 if queries:
-                    best = _Best(n, _names(held), x, k)
+                    least = [_floors(x[at : at + _BATCH], n[at : at + _BATCH], shared.value[1], shared.value[0], k) for at in range(0, len(n), _BATCH)]
+                    best = _Best(n, _names(held), x, k, np.concatenate(least))
                 elif best is not None:
                     best.add(n, x)
             ids, held = [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             flush()
-            if best is not None and (n := [len(t[0]) for t in best.top]) and sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, n)), pa.array(np.repeat(best.names, n)), pa.array(np.concatenate([t[1] for t in best.top])), pa.array(np.concatenate([t[0] for t in best.top]))], ["query_id", "query", "vec_id", "score"])
+            if best is not None and len(best.row):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (best.ids[best.row], best.names[best.row], best.who, best.score)], ["query_id", "query", "vec_id", "score"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(6)]
@@ -278,14 +286,15 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, cells: int | None
     known = Cells(np.unique(x, axis=0)[:: max(1, len(x) // cells)][:cells] if len(x) else np.zeros((1, width), np.int64))
     shape = len(known.p)
     known.reach, known.long, counts = np.full((shape, shape), np.inf), np.full(shape, np.inf), np.zeros(shape, np.int64)
-    for i, j, reach, long, count in _summaries(queries, known, (np.array([r["vec_id"] for r in picked], np.int64), x), width, k):
+    sample = np.array([r["vec_id"] for r in picked], np.int64), x
+    for i, j, reach, long, count in _summaries(queries, known, sample, width, k):
         known.reach[i, j], known.long[i], counts[i] = reach, long, count
     known.reach -= 1e-7 * (1 + np.abs(np.nan_to_num(known.reach, posinf=0, neginf=0)))
     known.long -= 1e-7 * (1 + np.abs(np.nan_to_num(known.long, posinf=0, neginf=0)))
     known.merge(x, counts)
     spread = min(2 * embeddings.sparkSession.sparkContext.defaultParallelism / max(1, int(known.blocks.sum())), n / LEAST_ROWS)
     shards = max(1, math.ceil(spread), -(-n // SHARD_ROWS))
-    found = _solve(_dealt(queries, known, width, 0, shards).union(_dealt(data, known, width, 1, shards)), width, k)
+    found = _solve(_dealt(queries, known, width, 0, shards).union(_dealt(data, known, width, 1, shards)), sample, width, k)
     order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
