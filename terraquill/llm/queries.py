@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from terraquill.llm import decontam, jaccard, knn, langid, packing, pii, quality, sharding, tokens, warc
 from terraquill.llm.runtime import table
 
@@ -63,5 +62,5 @@ QUERIES = {
         op9_pii,
         op10_language_id,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontam.ORACLE_SQL, "op6_exact_top_k": knn.ORACLE_SQL}

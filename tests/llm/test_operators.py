@@ -339,13 +339,12 @@ def test_warc_repeated_rows_and_null_ids(spark):
     assert sum(got.values()) == 5 and got[1, "response", None, 1] == 2 and got[2, "revisit", 1, 1] == 1 and got[2, "response", None, 1] == 1
 
 
-def test_warc_files_follow_all_records(spark, monkeypatch):
+def test_warc_files_follow_all_records(spark):
     """Equal and empty pages weigh their headers; ranges are sized by rows and merge runs of several files."""
-    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
     n = 20_000
     for html, size in ((F.lit(""), 0), (F.lit("x" * 900), 900)):
         pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/"), (F.col("id") * 7919 % n).cast("string")).alias("url"), html.alias("html"))
-        rows = sorted(warc.archive(pages, range_rows=3000).collect(), key=lambda r: (r["range_no"], r["range_pos"]))
+        rows = sorted(warc.archive(pages, range_rows=3000, file_bytes=1 << 20).collect(), key=lambda r: (r["range_no"], r["range_pos"]))
         assert len(rows) == n and sum(r["record_type"] == "response" for r in rows) == 1
         assert {r["refers_to"] for r in rows} == {None, 0} and {r["payload_bytes"] for r in rows} == {size}
         keys = [(r["url_key"], r["seconds"], r["page_id"]) for r in rows]
