@@ -8,8 +8,8 @@ MinHash sketch) a document that holds it has at least HITS. Each partition is on
 a document probes a partition with those of its hashes that are below that. Candidates, which have HITS hits (or as many as
 the sketch can demand), are then tested by exact shingle containment. No item is missed.
 
-Documents are read once per block of items, never shuffled. A block holds at most BLOCK_SHINGLES shingles and is broadcast,
-a size that is counted first; more items make more blocks.
+Documents are read once per block of items, never shuffled. Items are dealt by a hash to as many blocks as make about
+BLOCK_SHINGLES shingles each, counted first by the items' own words; a block is broadcast. One item is never split.
 
 Defined results: items or documents that are null or have no word match nothing; an item of fewer than k words is one
 shingle, its whole sequence, and matches where these words stand in a row; repeated rows match each; empty tables give an
@@ -137,7 +137,8 @@ def _search(docs: DataFrame, sketches: Sketches) -> DataFrame:
 
 def _blocks(benchmark: DataFrame, k: int, percent: int, block: int) -> Iterator[Sketches]:
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = F.regexp_count(F.col("text"), F.lit(r"\S+"))
+    # Words, counted by the pattern that items are cut by, are at least as many as shingles.
+    size = F.regexp_count(F.col("text"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     blocks = max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // block))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for b in range(blocks):

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 
 from terraquill.llm import textkit
 from terraquill.llm.components import Forest, components
-from terraquill.llm.runtime import counted, cut, lookup_join, shared_dir, stored, tidy
+from terraquill.llm.runtime import counted, cut, discard, lookup_join, shared_dir, stored, tidy
 
 _U = np.uint64
 SPARE = 2
@@ -393,9 +393,10 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     """(doc_id, n_shingles, component_id), a row for each row: the least id reachable by links of `percent` Jaccard."""
     shared_dir(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    who = stored(identities(docs, k))
+    held: list[str] = []
+    who = stored(identities(docs, k), held)
     named = who.where("a IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"), F.first("s").alias("s")))
+    classes = stored(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"), F.first("s").alias("s")), held)
     names, bits = classes.select("node", "a"), classes.select("node", "n", "s")
 
     def near_pairs(placed: DataFrame, joining: bool = True) -> DataFrame:
@@ -431,4 +432,6 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     of = classes.join(reached, "node", "left").select("a", "b", F.coalesce("component", "node").alias("least"), "node", "rows").where("rows > 1 OR least <> node")
     of, state = counted(of.select("a", "b", "least"))
     out = lookup_join(who.drop("s"), of, ["a", "b"], "left", rows=state.rows)
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    out = cut(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")))
+    discard(documents.sparkSession, held)
+    return out

@@ -8,7 +8,8 @@ by its possible maximum.
 
 A language's profile ranks the n-gram counts of its training rows: those whose crc32(doc_id as text) mod 5 is not 0, with
 text and language. Of each language about `rows` training rows, chosen by a hash, are counted: the documented bound of the
-fit. Prediction takes whole texts of all rows and needs no shuffle; the profiles (size x languages) are broadcast.
+fit. Prediction takes whole texts of all rows and needs no shuffle; the profiles (size x languages) are broadcast. More
+than MOST languages, as in a column that holds something else, are an error and not gathered.
 
 Defined results: null text or text without a letter is `und` with score 0, and so is everything if there is nothing to
 learn from; repeated rows get equal results; an empty table gives an empty result.
@@ -27,6 +28,7 @@ from pyspark.sql import Window as W
 from terraquill.llm.runtime import tidy
 
 _PIECE = 1 << 19
+MOST = 4096
 _letters: list[np.ndarray] = []
 
 
@@ -107,15 +109,15 @@ def learn(training: DataFrame, text: str, lang: str, size: int = 400, rows: int
     Rows are chosen by a hash of all columns of `training`: with an id among them, copies of a text are chosen one by one.
     """
     known = training.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).withColumn("_pick", F.pmod(F.xxhash64(*training.columns), F.lit(1 << 30)))
-    there = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = known.groupBy(F.col(lang).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_k", F.least(F.lit(1 << 30), F.floor(F.lit(float(1 << 30) * rows) / F.col("_n"))).cast("long").alias("_below"))
+    there = sizes.limit(MOST + 1).collect()
+    if len(there) > MOST:
+        raise ValueError(f"more than {MOST} languages")
     if not there:
         return Profiles({}, size)
-    share = None
-    for k, n in there.items():
-        if n > rows:
-            below = F.when(F.col(lang) == k, F.lit((1 << 30) * rows // n))
-            share = below if share is None else share.when(F.col(lang) == k, F.lit((1 << 30) * rows // n))
-    picked = known if share is None else known.where(F.col("_pick") < F.coalesce(share, F.lit(1 << 30)))
+    below = F.broadcast(training.sparkSession.createDataFrame(there, sizes.schema))
+    picked = known.join(below, F.col(lang) == F.col("_k")).where("_pick < _below")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -81,13 +81,22 @@ def cut(df: DataFrame) -> DataFrame:
     return counted(df)[0]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As `cut`, as Parquet: smaller where values repeat, such as file names."""
+def stored(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """As `cut`, as Parquet: smaller where values repeat, such as file names. Its path is added to `paths`."""
     path = new_folder(df.sparkSession, "stored")
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def lookup_join(df: DataFrame, table: DataFrame, on: list[str] | str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join with a table that is broadcast only if its counted rows are few; otherwise Spark shuffles both sides."""
     rows = table.count() if rows is None else rows

@@ -179,6 +179,13 @@ def test_capitals_are_lowered_alike_in_items_and_documents(spark):
     assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in got) == [(0, 0, 1.0), (1, 1, 1.0)]
 
 
+def test_blocks_count_the_words_that_items_have(spark):
+    """Runs of letters and digits, not runs between blanks: 5 of these would make one block of 10,000 words."""
+    bench = spark.createDataFrame([(i, ",".join(f"w{i}x{j}" for j in range(2000))) for i in range(5)], "item_id long, text string")
+    held = [sum(len(s) for _, s in x.exact) for x in decontam._blocks(bench, 5, 80, 2500)]
+    assert len(held) == 4 and sum(held) == 5 * 1996
+
+
 # 3
 
 
@@ -732,3 +739,11 @@ def test_language_edges(spark, odd):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd).collect()}
     assert got[0] == got[1] == got[2] == got[7] == "und" and got[5] == "en"
     assert langid.identify(odd.limit(0)).count() == 0
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST", 3)
+    rows = spark.createDataFrame([(i, "some text", f"l{i % 4}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.learn(rows, "text", "lang")
+    assert langid.learn(rows.where("lang <> 'l3'"), "text", "lang", rows=2).names == ["l0", "l1", "l2"]
