@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from tests_llm_support import brute_kept
 from terraquill.llm import decontam, pii
@@ -68,6 +70,29 @@ def test_rows_with_null_or_repeated_ids_are_decided_alone(spark):
     assert sorted((x["text"] for x in pipeline.decontaminate(spark, docs, SF).collect())) == sorted([a, b])
 
 
+CLASH = ("_key", "Score", "lang_pred", "spans", "masked", "n_email", "n", "_group", "component_id", "tile", "a", "base_sha256", "_first")
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_columns_with_clashing_names_and_very_long_texts(spark, docs, repeated):
+    long = " ".join(f"word{i} a.b{i}@x.org" if i % 50 == 0 else f"other{i}" for i in range(60_000))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(100, long, None, "s", len(long)), (101, "y" * 300_000 + " end", "en", None, None), (102, long + " " + item, "en", "s", 1)]
+    own = docs.dropDuplicates(["doc_id"]).union(spark.createDataFrame(rows, DOC))
+    own = own.union(own.where("doc_id = 100")) if repeated else own
+    for c in CLASH:
+        own = own.withColumn(c, F.concat(F.lit(f"{c}-"), "doc_id"))
+    kept = own
+    for _, stage in pipeline.STAGES[:4]:
+        kept = stage(spark, kept, SF).cache()
+        assert kept.columns == own.columns
+    got = {r["doc_id"]: r for r in kept.collect()}
+    assert 100 in got and 101 in got and kept.where("doc_id = 100").count() == 1
+    assert all(r[c] == f"{c}-{i}" for i, r in got.items() for c in CLASH)
+    assert got[100]["text"].count("<EMAIL>") == 1200 and "@" not in got[100]["text"] and got[100]["n_chars"] == len(got[100]["text"])
+    assert 102 not in got  # a near copy of 100
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows)
