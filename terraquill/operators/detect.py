@@ -39,11 +39,28 @@ def _text(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["label"])), ", ")
 
 
-def texts(det: DataFrame, k: int = vocab.TOP_LABELS) -> DataFrame:
+def label_counts(cells: Column) -> Column:
+    """From an image's cells (ord, label, n, position): (ord, label, n) by label, in order of appearance."""
+
+    def one(label: Column) -> Column:
+        own = F.filter(cells, lambda c: c["label"] == label)
+        n = F.aggregate(own, F.lit(0).cast("long"), lambda s, c: s + c["n"])
+        return F.struct(F.array_min(F.transform(own, lambda c: c["ord"])).alias("ord"), label.alias("label"), n.alias("n"))
+
+    return F.array_sort(F.transform(F.array_distinct(F.transform(cells, lambda c: c["label"])), one))
+
+
+def counts_text(labels: Column) -> Column:
+    return _text(labels)
+
+
+def summary_text(labels: Column, k: int = vocab.TOP_LABELS) -> Column:
+    """The k labels with most detections, ties in order of appearance."""
+    most = F.array_sort(F.transform(labels, lambda x: F.struct((-x["n"]).alias("less"), x["ord"].alias("ord"), x["label"].alias("label"), x["n"].alias("n"))))
+    return _text(F.slice(most, 1, k))
+
+
+def texts(det: DataFrame) -> DataFrame:
     """(image_id, total, counts_text, summary) in one pass over the label counts."""
-    per_image = counts(det).groupBy("image_id").agg(
-        F.sum("n").alias("total"),
-        F.array_sort(F.collect_list(F.struct("ord", "label", "n"))).alias("first"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "ord", "label", "n"))).alias("most"),
-    )
-    return per_image.select("image_id", "total", _text(F.col("first")).alias("counts_text"), _text(F.slice("most", 1, k)).alias("summary"))
+    per_image = counts(det).groupBy("image_id").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("ord", "label", "n"))).alias("labels"))
+    return per_image.select("image_id", "total", counts_text(F.col("labels")).alias("counts_text"), summary_text(F.col("labels")).alias("summary"))

@@ -12,9 +12,18 @@ from terraquill.vocab import Template
 
 
 def image_facts(det: DataFrame) -> DataFrame:
-    """(image_id, total, counts_text, summary, spatial_description): confident detections; locations may be missing."""
-    sure = detect.confident(det)
-    return detect.texts(sure).join(spatial.descriptions(spatial.located(sure)), "image_id", "left")
+    """(image_id, total, counts_text, summary, spatial_description): confident detections; locations may be missing.
+
+    One grouped pass for texts and locations: an image's detections become a cell for each label and position, of which
+    there are few, and both texts are made from its cells.
+    """
+    rows = detect.confident(det)
+    where = expr.grid_position(F.col("center_x"), F.col("center_y"), F.col("img_w"), F.col("img_h"))
+    rows = rows.select("image_id", "det_idx", "label", F.when(F.col("area") > 0, where).alias("position"))
+    cells = rows.groupBy("image_id", "label", "position").agg(F.count(F.lit(1)).alias("n"), F.min("det_idx").alias("ord"))
+    images = cells.groupBy("image_id").agg(F.sum("n").alias("total"), F.collect_list(F.struct("ord", "label", "n", "position")).alias("cells"))
+    labels = detect.label_counts(F.col("cells"))
+    return images.select("image_id", "total", detect.counts_text(labels).alias("counts_text"), detect.summary_text(labels).alias("summary"), spatial.description(F.col("cells")).alias("spatial_description"))
 
 
 def prompts(captions: DataFrame, det: DataFrame, template: Template = vocab.PRODUCTION) -> DataFrame:

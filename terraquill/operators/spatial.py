@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraquill import vocab
@@ -33,13 +33,32 @@ def position_counts(locations: DataFrame) -> DataFrame:
     return locations.groupBy("image_id", "position", "object").agg(F.count(F.lit(1)).alias("n"), F.min("det_idx").alias("ord"))
 
 
+def _place_text(position: Column, objects: Column) -> Column:
+    """One position with its objects (ord, object, n), in order of appearance."""
+    named = lambda o: F.concat(o["n"].cast("string"), F.lit(" "), o["object"], F.when(o["n"] > 1, "s").otherwise(""))
+    one, place = objects[0], F.concat(F.lit(" in "), position)
+    single = F.when(one["n"] == 1, F.concat(one["object"], place)).otherwise(F.concat(named(one), place))
+    return F.when(F.size(objects) == 1, single).otherwise(F.concat(F.array_join(F.transform(objects, named), ", "), place))
+
+
+def _listed(parts: Column, most: int) -> Column:
+    """Texts (ord, text) of the first positions in order of appearance."""
+    return F.array_join(F.transform(F.slice(F.array_sort(parts), 1, most), lambda p: p["text"]), "; ")
+
+
+def description(cells: Column, most: int = vocab.TOP_POSITIONS) -> Column:
+    """From an image's cells (ord, label, n, position); null where no cell has a position."""
+    there = F.filter(cells, lambda c: c["position"].isNotNull())
+
+    def part(position: Column) -> Column:
+        own = F.array_sort(F.transform(F.filter(there, lambda c: c["position"] == position), lambda c: F.struct(c["ord"].alias("ord"), c["label"].alias("object"), c["n"].alias("n"))))
+        return F.struct(own[0]["ord"].alias("ord"), _place_text(position, own).alias("text"))
+
+    return F.when(F.size(there) > 0, _listed(F.transform(F.array_distinct(F.transform(there, lambda c: c["position"])), part), most))
+
+
 def descriptions(locations: DataFrame, most: int = vocab.TOP_POSITIONS) -> DataFrame:
     """(image_id, spatial_description): the first positions in order of appearance, each with its objects."""
-    named = lambda o: F.concat(o["n"].cast("string"), F.lit(" "), o["object"], F.when(o["n"] > 1, "s").otherwise(""))
     groups = position_counts(locations).groupBy("image_id", "position").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", "object", "n"))).alias("objects"))
-    one, place = F.col("objects")[0], F.concat(F.lit(" in "), F.col("position"))
-    single = F.when(one["n"] == 1, F.concat(one["object"], place)).otherwise(F.concat(named(one), place))
-    several = F.concat(F.array_join(F.transform("objects", named), ", "), place)
-    parts = groups.select("image_id", F.struct("ord", F.when(F.size("objects") == 1, single).otherwise(several).alias("text")).alias("part"))
-    listed = parts.groupBy("image_id").agg(F.slice(F.array_sort(F.collect_list("part")), 1, most).alias("parts"))
-    return listed.select("image_id", F.array_join(F.transform("parts", lambda p: p["text"]), "; ").alias("spatial_description"))
+    parts = groups.select("image_id", F.struct("ord", _place_text(F.col("position"), F.col("objects")).alias("text")).alias("part"))
+    return parts.groupBy("image_id").agg(_listed(F.collect_list("part"), most).alias("spatial_description"))

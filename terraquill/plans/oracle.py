@@ -19,7 +19,7 @@ MODELS = "(VALUES " + ", ".join(f"({i}, {_q(m.key)}, {_q(m.name)}, {m.memory_gb}
 CAP = f"""cap AS (SELECT doc_id AS image_id, doc_id % 4 AS model_ord, {_list(m.key for m in vocab.MODELS)}[doc_id % 4 + 1] AS model_key,
  concat('The image shows ', doc_id % 7, ' ', {KW}[doc_id % 28 + 1], ' near the ', {SP}[doc_id % 10 + 1], ' and ', doc_id % 5, ' ', {KW}[(doc_id * 5 + 3) % 28 + 1], '. ', text) AS caption,
  n_chars / 1000.0::DOUBLE AS inference_time, doc_id % 17 = 3 AS is_error FROM documents)"""
-DET = f"""det AS (SELECT l_orderkey % 1000 AS image_id, row_number() OVER (PARTITION BY l_orderkey % 1000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS det_idx,
+DET = f"""det AS (SELECT l_orderkey // 16 AS image_id, row_number() OVER (PARTITION BY l_orderkey // 16 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS det_idx,
  {CLS}[l_partkey % 32 + 1] AS label, l_quantity / 50.0::DOUBLE AS score, (l_partkey * 37) % 1024 AS center_x, (l_suppkey * 53) % 1024 AS center_y,
  CASE WHEN l_discount = 0 THEN 0::BIGINT ELSE floor(l_extendedprice * 4)::BIGINT END AS area FROM lineitem),
 sure AS (SELECT * FROM det WHERE score >= 0.25)"""
