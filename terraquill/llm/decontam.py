@@ -4,9 +4,10 @@ A test item is the set of its distinct k-word shingles (words: lower-cased runs
 must hold at least `percent` in a hundred. Items are partitioned by size, as items are short and documents long: Jaccard
 similarity says nothing there, and the number of minimal hashes that is enough depends on the item's size alone. An item
 of s shingles may miss at most s - ceil(s * percent / 100) of them, so of its s - ceil(...) + HITS smallest hashes (its
-MinHash sketch) a document that holds it has at least HITS. Each partition is one sorted sketch with its own greatest hash;
-a document probes a partition with those of its hashes that are below that. Candidates, which have HITS hits (or as many as
-the sketch can demand), are then tested by exact shingle containment. No item is missed.
+MinHash sketch) a document that holds it has at least HITS. Each partition is one sorted table of its items' sketches, whose
+greatest hash is the partition's bound; a document's own sketch there is made of all its hashes up to that bound, so it is
+as long as the document needs and neither side's size spoils the other's. Candidates share HITS sketch hashes (or as many
+as the item's sketch can demand), and are then tested by exact shingle containment. No item is missed.
 
 Documents are read once per block of items, never shuffled. Items are dealt by a hash to as many blocks as make about
 BLOCK_SHINGLES shingles each, counted first by the items' own words; a block is broadcast. One item is never split.

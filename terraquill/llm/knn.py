@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from terraquill.llm.runtime import counted, cut
+from terraquill.llm.runtime import counted, cut, tidy
 
 QUERIES, SHARD_ROWS, LEAST_ROWS, SAMPLE, SCALE, JOINED = 4096, 500_000, 4096, 2048, 64, 0.8
 _BATCH = 2048
@@ -64,7 +64,7 @@ def _integers(vectors: DataFrame, width: int) -> DataFrame:
                 ids.append(i), held.append(bytes([n.itemsize]) + n.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["vec_id", "v"])
 
-    return vectors.mapInArrow(run, "vec_id long, v binary")
+    return vectors.mapInArrow(tidy(run), "vec_id long, v binary")
 
 
 def matrix(held: list[bytes], width: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def _summaries(queries: DataFrame, cells: Cells, sample: tuple, width: int, k: i
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(reach[i, j]), pa.array(long[i]), pa.array(count[i])], ["i", "j", "reach", "long", "count"])
 
-    made = queries.mapInArrow(run, "i long, j long, reach double, long double, count long")
+    made = queries.mapInArrow(tidy(run), "i long, j long, reach double, long double, count long")
     return made.groupBy("i", "j").agg(F.min("reach"), F.min("long"), F.sum("count")).collect()
 
 
@@ -201,7 +201,7 @@ def _dealt(df: DataFrame, cells: Cells, width: int, kind: int, shards: int) -> D
                     v = part.column(1).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (i, b, s, np.full(len(row), kind), ids[row])] + [v], ["i", "b", "s", "kind", "vec_id", "v"])
 
-    return df.mapInArrow(run, "i long, b long, s long, kind long, vec_id long, v binary")
+    return df.mapInArrow(tidy(run), "i long, b long, s long, kind long, vec_id long, v binary")
 
 
 def _names(held: list[bytes]) -> np.ndarray:
@@ -266,7 +266,7 @@ def _solve(dealt: DataFrame, sample: tuple, width: int, k: int) -> DataFrame:
 
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = dealt.repartition(parts, "i", "b", "s").sortWithinPartitions("i", "b", "s", "kind")
-    return placed.mapInArrow(run, "query_id long, query long, vec_id long, score long")
+    return placed.mapInArrow(tidy(run), "query_id long, query long, vec_id long, score long")
 
 
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, cells: int | None = None) -> DataFrame:

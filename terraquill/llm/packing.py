@@ -9,7 +9,7 @@
 3. In each bucket documents are numbered without a gap in the order of a hash, and every floor(budget / bound) of them (at
    least one) make a batch: a batch never has more than `budget` tokens, padding included, unless it is one longer document.
 
-Tokens are white-space words, or those of `tokens` where `pack` is given their counts.
+Tokens are white-space words, or those of a vocabulary file where one is given.
 
 Defined results: null, empty or wordless text has 0 tokens; documents longer than the budget stay whole, one to a batch;
 repeated rows have places of their own; an empty table gives an empty result.
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquill.llm import textkit
-from terraquill.llm.runtime import counted, numbered
+from terraquill.llm import textkit, tokens
+from terraquill.llm.runtime import counted, numbered, tidy
 
 
 def lengths(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,7 +35,7 @@ def lengths(df: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(textkit.word_counts(batch.column(1)), pa.int64())], [key, "n_tokens"])
 
-    return df.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens long")
+    return df.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(tidy(run), f"`{key}` {dict(df.dtypes)[key]}, n_tokens long")
 
 
 def bounds(length: list[int], count: list[int], buckets: int) -> tuple[list[int], int]:
@@ -89,6 +89,7 @@ def pack(df: DataFrame, key: str, length: str, buckets: int = 16, budget: int =
     )
 
 
-def pack_documents(documents: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFrame:
-    """`pack` of the documents by their white-space words."""
-    return pack(lengths(documents, "doc_id", "text"), "doc_id", "n_tokens", buckets, budget)
+def pack_documents(documents: DataFrame, buckets: int = 16, budget: int = 65536, vocabulary: str | None = None) -> DataFrame:
+    """`pack` of the documents by their white-space words, or by the tokens of a vocabulary file (see `tokens`)."""
+    counts = tokens.count(documents.select("doc_id", "text"), "text", vocabulary).drop("n_words") if vocabulary else lengths(documents, "doc_id", "text")
+    return pack(counts, "doc_id", "n_tokens", buckets, budget)

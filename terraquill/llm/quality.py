@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraquill.llm import textkit
-from terraquill.llm.runtime import lookup_join
+from terraquill.llm.runtime import lookup_join, tidy
 
 BUCKETS = 1 << 17
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -86,7 +86,7 @@ def _counts(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         there = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(held[0, there]), pa.array(held[1, there])], ["bucket", "c0", "c1"])
 
-    counted = training.mapInArrow(run, "bucket int, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas()
+    counted = training.mapInArrow(tidy(run), "bucket int, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas()
     out = np.zeros((2, WIDTH))
     out[0, counted["bucket"]], out[1, counted["bucket"]] = counted["c0"], counted["c1"]
     return out[0], out[1]
@@ -159,7 +159,7 @@ def learn(training: DataFrame, rows: int = 8000, nbytes: int = 48 << 20, cost: f
     held, labels = [], []
     for y in (0, 1):
         drawn = training.where((F.col("y") == y) & (h < int(share[y] * (1 << 30)))).select("y", h.alias("h"), "text")
-        own = drawn.mapInArrow(run, "y int, h long, x binary").orderBy("h", "x").limit(most).toPandas()
+        own = drawn.mapInArrow(tidy(run), "y int, h long, x binary").orderBy("h", "x").limit(most).toPandas()
         held += [np.frombuffer(x, np.int32) for x in own["x"]]
         labels += [2.0 * y - 1] * len(own)
     y = np.array(labels)
@@ -183,7 +183,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             s = np.array([shared.value.score(x) for x in indicators(batch.column(len(kept)))])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return df.select(*kept, text).mapInArrow(run, f"{fields}score double, predicted int")
+    return df.select(*kept, text).mapInArrow(tidy(run), f"{fields}score double, predicted int")
 
 
 def assess(documents: DataFrame, labels: DataFrame, **bounds) -> DataFrame:

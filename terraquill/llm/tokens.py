@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from terraquill.llm.runtime import tidy
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 NODES, LONG, BLOCK = 800_000, 64, 1 << 16
 START = "▁"
@@ -188,7 +190,7 @@ def count(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> Da
                 words.append(w), tokens.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [*kept, "n_words", "n_tokens"])
 
-    return df.select(*kept, text).mapInArrow(run, f"{fields}n_words long, n_tokens long")
+    return df.select(*kept, text).mapInArrow(tidy(run), f"{fields}n_words long, n_tokens long")
 
 
 def count_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

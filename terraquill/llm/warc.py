@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm.runtime import counted, lookup_join, new_folder, stored
+from terraquill.llm.runtime import counted, lookup_join, new_folder, stored, tidy
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 #: Bytes of records in a file, before compression, unless a caller wants other files; about those of a record without payload.
@@ -149,7 +149,7 @@ def _facts(pages: DataFrame) -> DataFrame:
             held = [_payload(x) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array([digest(x) for x in held], pa.string())], ["page_id", "payload_bytes", "sha1"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, payload_bytes long, sha1 string")
+    return pages.select("page_id", "html").mapInArrow(tidy(run), "page_id long, payload_bytes long, sha1 string")
 
 
 def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds", file_bytes: int = FILE_BYTES) -> None:
@@ -172,7 +172,7 @@ def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds",
             made = [squeezed(record(r["page_id"], r["url"], r["seconds"], _unpacked(r["packed"], r["payload_bytes"]), r["payload_bytes"], r["sha1"], r["first"], r["revisit"])) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([url_key(r["url"]) for r in rows], pa.string()), batch.column(2), batch.column(0), pa.array(made, pa.binary())], ["key", "seconds", "page_id", "value"])
 
-    made = own.mapInArrow(run, "key string, seconds long, page_id long, value binary")
+    made = own.mapInArrow(tidy(run), "key string, seconds long, page_id long, value binary")
     made = made.sortWithinPartitions("key", "seconds", "page_id").select(F.col("value").cast("string").alias("value"))
     made.write.option("lineSep", "\0").text(path)
 
@@ -190,7 +190,7 @@ def _with_digest(pages: DataFrame) -> DataFrame:
             own = [batch.column(0), batch.column(1), packed, batch.column(3), pa.array([digest(x) for x in held], pa.string()), pa.array([len(x) for x in held], pa.int64())]
             yield pa.RecordBatch.from_arrays(own, ["page_id", "url", "packed", "seconds", "sha1", "payload_bytes"])
 
-    return pages.mapInArrow(run, "page_id long, url string, packed binary, seconds long, sha1 string, payload_bytes long")
+    return pages.mapInArrow(tidy(run), "page_id long, url string, packed binary, seconds long, sha1 string, payload_bytes long")
 
 
 _INDEX = "key string, seconds long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long, run_pos long"
@@ -223,7 +223,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     types = [pa.int64() if x.endswith(" long") else pa.string() for x in _INDEX.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _INDEX)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(run), _INDEX)
 
 
 class LoserTree:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terraquill.llm import components, decontam, jaccard, knn, langid, packing, pii, quality, queries, sharding, textkit, tokens, warc
+from terraquill.llm import components, decontam, jaccard, knn, langid, packing, pii, quality, queries, runtime, sharding, textkit, tokens, warc
 from terraquill.llm.runtime import counted, numbered, table
 
 SF = "/root/testdata/sf0.001"
@@ -160,7 +160,10 @@ def test_containment_matches_brute_force(spark):
                 if 100 * n >= 80 * len(s):
                     want.append((d, i, n, len(s)))
     for block in (1_000_000, 40):  # one block, and several
-        got = decontam.contained(documents(spark, docs), bench, block=block)
+        clash = documents(spark, docs)
+        for c in ("item_id", "n_shared", "n_item", "containment", "block"):
+            clash = clash.withColumn(c, F.lit("clash"))
+        got = decontam.contained(clash, bench.withColumn("doc_id", F.lit("clash")), block=block)
         assert sorted((r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in got.collect()) == want
     assert want
     assert decontam.contained(documents(spark, docs), bench.limit(0)).count() == 0
@@ -601,6 +604,22 @@ def test_packing_matches_brute_force(spark):
         assert sorted(x["batch"] * each + x["place"] for x in own) == list(range(len(own)))
 
 
+def test_packing_by_tokens(spark):
+    docs = table(spark, SF, "documents").limit(40)
+    want = {r["doc_id"]: r["n_tokens"] for r in tokens.count_documents(docs).collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in packing.pack_documents(docs, vocabulary=tokens.VOCABULARY).collect()} == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Only on one machine is a local folder made."""
+    from types import SimpleNamespace as N
+
+    unset = N(get=lambda key, other=None: "2000" if "Records" in key else other)
+    spark = N(conf=unset, sparkContext=N(master="spark://host", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(spark)
+
+
 def test_numbers_of_a_hot_key_are_dealt_out(spark):
     df, state = counted(spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.lit(1).alias("g")))
     got = numbered(df, ["g"], ["k"], "at", state.rows)
