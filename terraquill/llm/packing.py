@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraquill.llm import textkit, tokens
-from terraquill.llm.runtime import counted, numbered, tidy
+from terraquill.llm.runtime import numbered, tidy, with_places
 
 
 def lengths(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,13 +75,13 @@ def bounds(length: list[int], count: list[int], buckets: int) -> tuple[list[int]
 
 def pack(df: DataFrame, key: str, length: str, buckets: int = 16, budget: int = 65536) -> DataFrame:
     """(key, length, bucket, bucket_len, batch, place, padding), a row for each row of df; null lengths count as 0."""
-    rows, state = counted(df.select(key, F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("_n")))
+    rows, n = with_places(df.select(key, F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("_n")))
     found = rows.groupBy("_n").agg(F.count(F.lit(1)).alias("_c")).toPandas().sort_values("_n")
     ends = bounds(found["_n"].tolist(), found["_c"].tolist(), buckets)[0] if len(found) else [0]
     bound = F.array(*[F.lit(x).cast("long") for x in ends])
     rows = rows.withColumn("bucket", F.size(F.filter(bound, lambda x: x < F.col("_n"))).cast("int"))
     rows = rows.withColumn("bucket_len", F.element_at(bound, F.col("bucket") + 1))
-    rows = numbered(rows.withColumn("_h", F.xxhash64(key)), ["bucket"], ["_h", key], "_i", state.rows)
+    rows = numbered(rows.withColumn("_h", F.xxhash64(key)), ["bucket"], ["_h", key], "_i", n)
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1)))).cast("long")
     return rows.select(
         key, F.col("_n").alias(length), "bucket", "bucket_len", F.floor(F.col("_i") / each).cast("long").alias("batch"),

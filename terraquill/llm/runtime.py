@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Rows of a lookup table that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 400_000
@@ -116,28 +117,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BLOCK_ROWS = 200_000
 
 
+ROW = "_row"
+
+
+def with_places(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, cut, with a long `_row` of its own for each row, and the number of rows; `_row` is kept, not computed again."""
+    df, state = counted(df.withColumn(ROW, F.monotonically_increasing_id()))
+    return df, state.rows
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows: int) -> DataFrame:
     """Adds a gapless long number from 0 within each group, without gathering a group, or rows equal in `order`, in one task.
 
-    df, a table of `rows` rows that has been cut (its rows keep their places), is dealt to blocks by a hash of `order` and of
-    the row's place. Each block is numbered alone and starts where the blocks before it in its group end. The table of block
-    starts has at most (groups x blocks) rows.
+    df, a table of `rows` rows from `with_places`, is dealt to blocks by a hash of `order` and `_row`, which it loses. Each
+    block is numbered alone and starts where the blocks before it in its group end. The table of block starts has at most
+    (groups x blocks) rows.
     """
-    from pyspark.sql import Window as W
-
-    b, c, s, m = "_block", "_count", "_start", "_row"
+    b, c, s = "_block", "_count", "_start"
     blocks = max(64, -(-rows // BLOCK_ROWS))
-    df = df.withColumn(m, F.monotonically_increasing_id()).withColumn(b, F.pmod(F.xxhash64(*order, m), F.lit(blocks)).cast("int"))
+    df = df.withColumn(b, F.pmod(F.xxhash64(*order, ROW), F.lit(blocks)).cast("int"))
     counts = df.groupBy(*group, b).agg(F.count(F.lit(1)).alias(c))
     before = W.partitionBy(*group).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(*group, b, F.coalesce(F.sum(c).over(before), F.lit(0)).alias(s))
     keys = [*group, b]
-    own = W.partitionBy(*keys).orderBy(*order, m)
+    own = W.partitionBy(*keys).orderBy(*order, ROW)
     got = df.withColumn(out, F.row_number().over(own).cast("long") - 1)
     left, right = got.alias("l"), (F.broadcast(starts) if blocks <= BROADCAST_ROWS // 100 else starts).alias("r")
     same = None
     for k in keys:
         e = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
         same = e if same is None else same & e
-    kept = [F.col(f"l.{x}").alias(x) for x in got.columns if x not in (b, out, m)]
+    kept = [F.col(f"l.{x}").alias(x) for x in got.columns if x not in (b, out, ROW)]
     return left.join(right, same).select(*kept, (F.col(f"l.{out}") + F.col(f"r.{s}")).alias(out))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquill.llm.runtime import counted, numbered
+from terraquill.llm.runtime import numbered, with_places
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -56,8 +56,8 @@ def assign(df: DataFrame, key: str, shards: int) -> DataFrame:
 
 def slots(df: DataFrame, key: str) -> DataFrame:
     """df with `slot`: a long, gapless from 0 in each shard. Blocks of each shard are numbered in parallel."""
-    df, state = counted(df)
-    return numbered(df, ["shard"], [key], "slot", state.rows)
+    df, rows = with_places(df)
+    return numbered(df, ["shard"], [key], "slot", rows)
 
 
 def write(df: DataFrame, key: str, shards: int, path: str) -> None:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraquill.llm import components, decontam, jaccard, knn, langid, packing, pii, quality, queries, runtime, sharding, textkit, tokens, warc
-from terraquill.llm.runtime import counted, numbered, table
+from terraquill.llm.runtime import numbered, table, with_places
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -621,9 +621,9 @@ def test_a_cluster_needs_a_shared_folder():
 
 
 def test_numbers_of_a_hot_key_are_dealt_out(spark):
-    df, state = counted(spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.lit(1).alias("g")))
-    got = numbered(df, ["g"], ["k"], "at", state.rows)
-    assert sorted(r["at"] for r in got.collect()) == list(range(3000))
+    df, rows = with_places(spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.lit(1).alias("g")))
+    got = numbered(df, ["g"], ["k"], "at", rows)
+    assert got.columns == ["k", "g", "at"] and sorted(r["at"] for r in got.collect()) == list(range(3000))
 
 
 # 9
