@@ -95,22 +95,30 @@ class PixelPainter:
 
 
 class Captioner:
-    """A caption from an image; the echoed question is cut off."""
+    """A caption from an image, and the seconds that the model took to reply; the echoed question is cut off."""
 
     question, options = vocab.SCENE_QUESTION, vocab.SCENE_OPTIONS
 
     def __init__(self, backend: Callable[[], object] = PixelTalker):
-        self.backend, self.model = backend, None
+        self.backend, self.model, self.seconds = backend, None, 0.0
 
     def open(self) -> None:
         self.model = self.backend()
 
+    def timed(self, ask: Callable, *args) -> object:
+        """What the model replies. Only its own time counts, not what is done to the image before."""
+        began = time.perf_counter()
+        try:
+            return ask(*args, **self.options)
+        finally:
+            self.seconds = time.perf_counter() - began
+
     def reply(self, image: np.ndarray) -> str:
-        asked, said = self.model.generate(image, self.question, **self.options)
+        asked, said = self.timed(self.model.generate, image, self.question)
         return self.model.decode(said[len(asked) :])
 
     def predict(self, rows: list[dict]) -> list[dict]:
-        return [{"caption": self.reply(r["image"])} for r in rows]
+        return [{"caption": self.reply(r["image"]), "inference_time": self.seconds} for r in rows]
 
     def close(self) -> None:
         self.model = None
@@ -129,7 +137,7 @@ class ChatCaptioner(Captioner):
     def reply(self, image: np.ndarray) -> str:
         tensor = kernels.preprocess(image)
         try:
-            return self.model.chat(tensor, self.question, **self.options)
+            return self.timed(self.model.chat, tensor, self.question)
         except Exception as e:  # noqa: BLE001
             return f"[Generation failed: {str(e)[:50]}]"
 
@@ -140,7 +148,7 @@ class TemplateCaptioner(Captioner):
     question, options = vocab.DETAIL_QUESTION, vocab.CHAT_OPTIONS
 
     def reply(self, image: np.ndarray) -> str:
-        asked, said = self.model.generate(image, f"user {self.question} assistant ", **self.options)
+        _, said = self.timed(self.model.generate, image, f"user {self.question} assistant ")
         whole = self.model.decode(said)
         return whole.split("assistant")[-1].strip() if "assistant" in whole.lower() else whole
 
@@ -230,7 +238,7 @@ def benchmark(decoded: DataFrame, models: dict[str, Callable[[], Provider]]) ->
     """(origin, image_name, model_key, caption, inference_time, error, model_error): each model on each decoded image.
 
     A model is opened once for each task and on its own, as only one may fit into memory. If that fails, its rows have
-    model_error. The time is that of the reply alone. Pixels never leave their task.
+    model_error. Pixels never leave their task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,9 +252,8 @@ def benchmark(decoded: DataFrame, models: dict[str, Callable[[], Provider]]) ->
                 except Exception as e:  # noqa: BLE001
                     broken = str(e) or type(e).__name__
                 for origin, name, image in images:
-                    began = time.perf_counter()
                     (got, error), = [({}, broken)] if broken else [({}, "not an image")] if image is None else ask(provider, [{"image": image}])
-                    rows.append((origin, name, key, got.get("caption"), time.perf_counter() - began, error, broken))
+                    rows.append((origin, name, key, got.get("caption"), got.get("inference_time", 0.0), error, broken))
                 if provider and not broken:
                     provider.close()
                 yield pd.DataFrame(rows, columns=["origin", "image_name", "model_key", "caption", "inference_time", "error", "model_error"])

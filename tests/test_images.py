@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 from collections import Counter
 from datetime import datetime
 
@@ -204,6 +205,16 @@ def test_captioners():
         provider.close()
     text, tensor = providers.PixelTalker()._text(image), providers.PixelTalker()._text(kernels.preprocess(image))
     assert said == {"qwen2vl_2b": text, "internvl2_4b": tensor, "llava_onevision_7b": text, "internvl3_8b": tensor, "scene": text}
+    class Slow(providers.PixelTalker):
+        def chat(self, *a, **b):
+            time.sleep(0.05)
+            return "late"
+
+    slow = providers.ChatCaptioner(Slow)
+    slow.open()
+    began = time.perf_counter()
+    (got,) = slow.predict([{"image": image}])
+    assert got["caption"] == "late" and 0.05 <= got["inference_time"] < time.perf_counter() - began
     chat = providers.ChatCaptioner(fails("x" * 90))
     chat.open()
     assert chat.predict([{"image": image}])[0]["caption"] == f"[Generation failed: {'x' * 50}]"
