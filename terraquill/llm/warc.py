@@ -7,7 +7,8 @@ which Spark splits where one digest is hot); pages then move once, compressed an
 writes their file. Files hold about `file_bytes` of records, all kinds counted. Records go through Spark's own text writer, so
 commits, retries and any file system that Spark knows work as for other tables: a member ends with the four bytes of its
 size, of which the last is zero below 16 MiB, and this zero is the writer's line separator. A longer record is several
-members in a row. Within a file captures are sorted by URL key and time.
+members in a row. A file begins with a warcinfo record, which has no key and so sorts first; its captures are sorted by URL
+key and time.
 
 Reading: files are read member by member; each response's payload digest is computed anew and must equal the record's. The
 index rows of a file (no payloads) are sorted: a run. The runs are stored, and dealt out by ranges of (URL key, time, id)
@@ -29,7 +30,7 @@ import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
-from uuid import UUID
+from uuid import NAMESPACE_URL, UUID, uuid5
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -97,6 +98,13 @@ def record(page_id: int | None, url: str | None, seconds: int, payload: bytes, p
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def information(name: str) -> bytes:
+    """The record that begins a file."""
+    body = b"software: terraquill\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid5(NAMESPACE_URL, name)}>", f"WARC-Date: {EPOCH:%Y-%m-%dT%H:%M:%SZ}"]
+    return "\r\n".join([*head, "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def squeezed(data: bytes) -> bytes:
     """data as gzip members without the last byte, a zero that the writer adds."""
     return b"".join(gzip.compress(data[at : at + MEMBER], 6, mtime=0) for at in range(0, len(data), MEMBER))[:-1]
@@ -116,7 +124,7 @@ def members(data: bytes, step: int = 1 << 14) -> Iterator[tuple[int, int, bytes]
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a file: headers by lower-case name, payload, offset and length."""
+    """The captures of a file: headers by lower-case name, payload, offset and length. Other records are passed over."""
     parts = members(data)
     for at, end, content in parts:
         split = content.index(b"\r\n\r\n")
@@ -133,6 +141,8 @@ def parse(data: bytes) -> Iterator[dict]:
         if content[size:] != b"\r\n\r\n":
             raise ValueError(f"a record that doesn't end at byte {end}")
         http, _, payload = content[split + 4 : size].partition(b"\r\n\r\n")
+        if head["warc-type"] not in ("response", "revisit"):
+            continue
         stated = next(int(x[16:]) for x in http.decode().split("\r\n") if x.lower().startswith("content-length: "))
         yield {"head": head, "payload": payload, "size": stated, "offset": at, "length": end - at}
 
@@ -167,8 +177,13 @@ def write(pages: DataFrame, path: str, least: int = 0, seconds: str = "seconds",
     own = own.repartition(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
         for batch in batches:
             rows = batch.to_pylist()
+            if rows and not begun:
+                first = squeezed(information(f"{path}/{TaskContext.get().partitionId()}"))
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([first], pa.binary())], ["key", "seconds", "page_id", "value"])
+                begun = True
             made = [squeezed(record(r["page_id"], r["url"], r["seconds"], _unpacked(r["packed"], r["payload_bytes"]), r["payload_bytes"], r["sha1"], r["first"], r["revisit"])) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([url_key(r["url"]) for r in rows], pa.string()), batch.column(2), batch.column(0), pa.array(made, pa.binary())], ["key", "seconds", "page_id", "value"])
 

@@ -1,6 +1,7 @@
 """Each operator against brute force or an independent implementation, and its edge cases: nulls, empty and very long
 texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -373,6 +374,11 @@ def test_warc_members_can_be_read_alone(spark, tmp_path, monkeypatch):
             f.seek(r["offset"])
             (own,) = warc.parse(f.read(r["length"]))
         assert own["payload"] == ("é" * r["page_id"] * 100).encode()
+    for file in {r["file"] for r in rows}:
+        with open(file.removeprefix("file:"), "rb") as f:
+            content = gzip.decompress(f.read())
+        assert content.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and content.count(b"warcinfo") == 1
+        assert content.count(b"WARC-Type: response") == sum(r["file"] == file for r in rows)
 
 
 def test_loser_tree():
