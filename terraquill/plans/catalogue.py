@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -345,7 +346,7 @@ def union_sources(spark, sf):
 def _shared(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one only where there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named.rstrip("/") if named else f"file://{tempfile.gettempdir()}/terraquill"
 
