@@ -1,11 +1,13 @@
 """Token counts by trie-shared dynamic programming over a unigram model.
 
 A text's pre-tokens are its runs without white space, each marked by the word-start sign. A worker keeps the distinct
-pre-tokens it has seen in a trie, over all its tasks of one query. A node of the trie is a prefix and holds its forward score: the best sum of log
-probabilities of vocabulary pieces that spell it, with the number of tokens in that spelling (ties: fewer tokens). A new
-pre-token computes only the nodes that no earlier one shares (an automaton finds the pieces that end there); the count at its end is its terminal count, and a text's
-count is the sum of its pre-tokens' terminal counts. No row is shuffled. The nodes are dropped and begun anew when they are
-more than NODES, and so are the terminal counts; pre-tokens longer than LONG are scored by the same recursion without being kept.
+pre-tokens it has seen in a trie, over all its tasks of one query. A node of the trie is a prefix, reached by one character
+from the node above, and holds its forward score: the best sum of log probabilities of vocabulary pieces that spell it, with
+the number of tokens in that spelling (ties: fewer tokens). A new pre-token goes down the nodes that earlier ones share and
+computes only those below (an automaton finds the pieces that end there); the count at its end is its terminal count, and a
+text's count is the sum of its pre-tokens' terminal counts. No row is shuffled. The nodes are dropped and begun anew when
+they are more than NODES, and so are the terminal counts; pre-tokens longer than LONG are scored by the same recursion
+without being kept.
 
 The vocabulary file (piece_bpe_32k.model by default; a parameter) is read on the driver, never trained, and broadcast: its
 size is fixed. It ranks pieces and states no probabilities, so the unigram model takes Zipf's law, p ~ 1 / rank. A character
@@ -33,6 +35,7 @@ from terraquill.llm.runtime import tidy
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 NODES, LONG, BLOCK = 800_000, 64, 1 << 16
+CODES = 0x110000
 START = "▁"
 #: How far a character outside the vocabulary lies below the rarest piece.
 UNKNOWN = 10.0
@@ -64,7 +67,7 @@ def _bytes(c: str) -> int:
 
 
 class Trie:
-    """Forward scores and token counts of shared prefixes; a node is found by its prefix."""
+    """Forward scores and token counts of shared prefixes. Nodes are numbers; 0 is the root."""
 
     def __init__(self, vocabulary: dict[str, float]):
         self.most = max(map(len, vocabulary), default=1)
@@ -74,47 +77,53 @@ class Trie:
         for piece, score in vocabulary.items():
             self.pieces.add_word(piece, (len(piece), score))
         self.pieces.make_automaton()
+        self.terminal = _Terminals(self.insert)
         self.clear()
 
     def clear(self) -> None:
-        self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
-        self.terminal = _Terminals(self.insert)
+        #: By node * CODES + character, the node below; by node, its score and its count.
+        self.below: dict[int, int] = {}
+        self.score, self.count = [0.0], [0]
 
     def insert(self, word: str) -> int:
         """The terminal count of a pre-token."""
-        marked, nodes = START + word, self.nodes
-        size = at = len(marked)
-        if size > LONG:
+        marked = START + word
+        if len(marked) > LONG:
             return self._long(marked)
-        while (before := nodes.get(marked[:at])) is None:
-            at -= 1
-        i, top, count, single = at, -math.inf, 0, False
-        # Scores of the prefixes beyond the deepest known node; (size, None) ends the last one.
-        for end, piece in chain(self.pieces.iter(marked, max(0, at + 1 - self.most)), ((size, None),)) if at < size else ():
-            if end < at:
+        node, path, below = 0, [0], self.below
+        for c in marked:
+            node = below.get(node * CODES + ord(c))
+            if node is None:
+                self._extend(marked, path)
+                break
+            path.append(node)
+        self.terminal[word] = tokens = self.count[path[-1]]
+        return tokens
+
+    def _extend(self, marked: str, path: list[int]) -> None:
+        """Adds the nodes of a word below path, the nodes of its prefix that are there."""
+        below, score, count = self.below, self.score, self.count
+        i = known = len(path) - 1
+        top, tokens, single = -math.inf, 0, False
+        # (size, None) ends the last node.
+        for end, piece in chain(self.pieces.iter(marked, max(0, known + 1 - self.most)), ((len(marked), None),)):
+            if end < known:
                 continue
             while i < end:
-                if not single:
-                    s, t = before[0] + self.unknown, before[1] + _bytes(marked[i])
-                    if s > top:
-                        top, count = s, t
-                before = top, count
-                i += 1
-                nodes[marked[:i]] = before
-                top, single = -math.inf, False
+                above = path[i]
+                if not single and (s := score[above] + self.unknown) > top:
+                    top, tokens = s, count[above] + _bytes(marked[i])
+                below[above * CODES + ord(marked[i])] = new = len(score)
+                path.append(new), score.append(top), count.append(tokens)
+                i, top, single = i + 1, -math.inf, False
             if piece is None:
                 break
-            n, score = piece
-            if n == 1:
-                (s, t), single = before, True
-            else:
-                s, t = nodes[marked[: end + 1 - n]]
-            s += score
-            t += 1
-            if s > top or (s == top and t < count):
-                top, count = s, t
-        self.terminal[word] = before[1]
-        return before[1]
+            n, own = piece
+            single = single or n == 1
+            start = path[end + 1 - n]
+            s, t = score[start] + own, count[start] + 1
+            if s > top or (s == top and t < tokens):
+                top, tokens = s, t
 
     def _long(self, marked: str) -> int:
         """The same recursion; of the scores only those within a piece's reach are held."""
@@ -136,8 +145,8 @@ class Trie:
         return held[-1][1]
 
     def tokens(self, words: list[str]) -> int:
-        if len(self.nodes) > NODES:
-            self.nodes = {"": (0.0, 0)}
+        if len(self.score) > NODES:
+            self.clear()
         if len(self.terminal) > NODES:
             self.terminal = _Terminals(self.insert)
         return sum(map(self.terminal.__getitem__, words))
