@@ -435,3 +435,14 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     out = cut(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")))
     discard(documents.sparkSession, held)
     return out
+
+
+#: For op7 with k = 3 and 90 percent, on tables without repeated ids. All pairs that share a shingle: for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM rows a JOIN rows b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id, doc_id AS least FROM documents UNION SELECT v, least FROM reached JOIN links ON u = doc_id WHERE least < v)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(least) FROM reached r WHERE r.doc_id = sets.doc_id) AS component_id FROM sets
+"""

@@ -25,7 +25,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"))
+    captures = warc.archive(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,9 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLE: dict[str, str] = {"op2_benchmark_decontamination": decontam.ORACLE_SQL, "op6_exact_top_k": knn.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": decontam.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
+    "op6_exact_top_k": knn.ORACLE_SQL,
+    "op7_ngram_jaccard_join": jaccard.ORACLE_SQL,
+}

@@ -312,3 +312,14 @@ def archive(pages: DataFrame, least: int = 0, range_rows: int = RANGE_ROWS, file
     write(pages.select("page_id", "url", "html", seconds), path, least, file_bytes=file_bytes)
     index = merged(stored(read(spark, path)), range_rows)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "seconds", "file", "offset", "length", "range_no", "range_pos")
+
+
+#: For op5 with least = 0, on tables without repeated or null ids. The digest's hex digits become bits, and five bits a character.
+ORACLE_SQL = """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+bits AS (SELECT page_id, octet_length(p) AS payload_bytes, p, array_to_string(list_transform(string_split(sha1(p), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS b FROM payloads),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY p) AS first FROM bits)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(b[5 * i + 1] AS INTEGER) + 8 * CAST(b[5 * i + 2] AS INTEGER) + 4 * CAST(b[5 * i + 3] AS INTEGER) + 2 * CAST(b[5 * i + 4] AS INTEGER) + CAST(b[5 * i + 5] AS INTEGER), 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts
+"""
