@@ -386,7 +386,7 @@ def _open_rows(rows: DataFrame, tiles: DataFrame, reached: DataFrame) -> DataFra
     rows = cut(rows.select("tile", "a", "node", "n", F.coalesce("component", "node").alias("component")))
     still = rows.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("a")).alias("x"))
     still, state = counted(still.where("lo < hi").groupBy("c", "x").agg(F.min("tile").alias("tile")).select("tile"))
-    return cut(lookup_join(rows, still, "tile", rows=state.rows).drop("a"))
+    return lookup_join(rows, still, "tile", rows=state.rows).drop("a")
 
 
 def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -415,13 +415,13 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     blocks = F.ceil(F.col("c") / _fit(F.max("n"))).cast("int")
     tiles, state = counted(found.groupBy("c", "x").agg(F.min("tile").alias("tile"), blocks.alias("blocks")), F.max("blocks").alias("most"))
     near = near_pairs(_first_rows(lookup_join(members, tiles.select("tile", "blocks"), "tile", rows=state.rows)))
-    true = linked(cut(_pairs(near)))
-    links, reached = true, cut(components(true))
+    true = linked(_pairs(near))
+    links, reached = true, components(true)
     if (state.most or 0) > 1:
         more = near_pairs(_further_rows(_open_rows(members, tiles.where("blocks > 1").select("tile"), reached)))
-        true = linked(cut(_pairs(more)))
+        true = linked(_pairs(more))
         near, links = near.union(more), cut(links.union(true))
-        reached = cut(components(links))
+        reached = components(links)
     # Tiles in which the exact test refused a pair: later pairs may have been skipped for it, so all that pass are tested.
     pair = [F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")]
     refused = cut(near.select("tile", *pair).join(links.select(*pair), ["hub", "node"], "left_anti"))
