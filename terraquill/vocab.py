@@ -33,7 +33,7 @@ MODEL_SIZE = 448
 TOKENS_PER_WORD, TOKEN_LIMIT = 1.3, 512
 QUALITY_WEIGHTS = {"length": 0.2, "quantification": 0.3, "spatial": 0.25, "structures": 0.25}
 IMAGE_MEAN, IMAGE_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
-# What models are asked, and with what options.
+# What models are asked, and with what options.
 SCENE_QUESTION = "Describe this aerial image concisely in 2-3 sentences: scene type, main structures, and key features."
 DETAIL_QUESTION = "Describe this aerial/satellite image in detail. Include: scene type, main structures, objects with approximate counts, spatial layout, and notable features."
 SCENE_OPTIONS = {"max_new_tokens": 60, "do_sample": True, "temperature": 0.5, "top_p": 0.85}

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import terraquill.__main__ as command
 from terraquill import config, providers, vocab
 from terraquill.functions import expr, kernels
 from terraquill.operators import detect, spatial
@@ -285,6 +286,19 @@ def test_config(monkeypatch):
     assert config.Config().input_dir == "/x"
 
 
+def test_main(spark, folder, monkeypatch, capsys):
+    monkeypatch.setenv("INPUT_DIR", str(folder / "in"))
+    monkeypatch.setenv("OUTPUT_DIR", f"file://{folder}/main")
+    monkeypatch.setattr(command, "Config", lambda: config.Config(benchmark_dir=f"file://{folder}/bench"))
+    command.main("pipeline")
+    assert "1/1 images" in capsys.readouterr().out and (folder / "main" / "metadata" / "a.json").exists()
+    command.main("benchmark")
+    said = capsys.readouterr().out.splitlines()
+    assert any(x.startswith("best model: ") for x in said) and said[-1].startswith(f"file://{folder}/bench/benchmark_results_") and len(list((folder / "bench").glob("*.json"))) == 1
+    with pytest.raises(SystemExit):
+        command.main("")
+
+
 def test_prompt_of_the_dense_and_the_plain_scene(spark):
     counts = [("building", 47), ("house", 23), ("apartment building", 15), ("vehicle", 8), ("tree", 34), ("road", 12)]
     text = ", ".join(f"{n} {label}" for label, n in counts)
