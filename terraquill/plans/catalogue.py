@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +17,7 @@ from terraquill.operators import detect, evaluate, prompts, spatial
 from terraquill.plans import pipeline
 from terraquill.sources import images
 from terraquill.sources.fixtures import captions, detections, table
+from terraquill.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SCORES = ("length", "quantification", "spatial", "structures", "overall")
@@ -407,6 +409,14 @@ def pipeline_e2e(spark, sf):
     return rows.select("image_name", "ok", "error", "prompt", F.col("metadata.output_caption").alias("output_caption"), F.col("metadata.output").alias("output"))
 
 
+@query
+def watch_images(spark, sf):
+    """The sample folder as a stream, taken once."""
+    own = f"{_shared(spark)}/watch-{uuid.uuid4().hex}"
+    watch.ingest(spark, sample_folder(spark), f"{own}/files", f"{own}/state").awaitTermination()
+    return spark.read.parquet(f"{own}/files").select("image_name", "length")
+
+
 @query
 def benchmark_e2e(spark, sf):
     """Each captioning model on the sample images, without the times, which differ from run to run."""

@@ -135,11 +135,12 @@ def generate(made: DataFrame, models: Models = Models(), root: str | None = None
     return made.select("origin", "image_name", "prompt", "control").mapInPandas(run, "origin string, ok boolean, output string, output_caption string, error string")
 
 
-def run(spark: SparkSession, path: str, work: str, models: Models = Models(), root: str | None = None, limit: int | None = None) -> DataFrame:
+def run(spark: SparkSession, path: str, work: str, models: Models = Models(), root: str | None = None, limit: int | None = None, captions: DataFrame | None = None) -> DataFrame:
     """(origin, image_name, ok, error, notes, prompt, metadata): every file a row; failed ones have ok false, no metadata.
 
     work: a folder that all executors share, for the two passes' rows. root: where the images' files go; none are written
-    without it. limit: as many files as that, in the scan's order.
+    without it. limit: as many files as that, in the scan's order. captions: (image_name, caption) made before, in place of
+    the captioner's of the input images; an image without one counts as one whose caption failed.
     """
     work = f"{work.rstrip('/')}/run-{uuid.uuid4().hex}"
     decoded = images.decode(spark, path)
@@ -148,6 +149,8 @@ def run(spark: SparkSession, path: str, work: str, models: Models = Models(), ro
     annotate(decoded, models, root and root.rstrip("/")).write.parquet(f"{work}/found")
     found = spark.read.schema(_FOUND).parquet(f"{work}/found")
     good = found.where("error IS NULL")
+    if captions is not None:
+        good = providers.from_table(good.drop("caption"), captions)
     said = lambda c: F.when(F.col(c).isNull(), vocab.FAILED_CAPTION).otherwise(expr.clean_caption(F.col(c)))
     spoken = good.select(F.col("origin").alias("image_id"), said("caption").alias("caption"))
     det = good.select(F.col("origin").alias("image_id"), "img_w", "img_h", F.explode("det").alias("d")).select("image_id", "img_w", "img_h", "d.*")

@@ -278,6 +278,13 @@ def test_captions_from_a_table(spark):
     assert [(r["caption"], r["error"]) for r in rows] == [("a view", None), (None, "no caption")]
 
 
+def test_pipeline_with_captions_from_a_table(spark, folder):
+    known = spark.createDataFrame([("b", "The image shows Two barns."), ("zzz", "none")], "image_name string, caption string")
+    rows = {r["origin"].split("/")[-1]: r for r in pipeline.run(spark, str(folder / "in"), f"file://{folder}/work", captions=known).collect()}
+    assert len(rows) == 4 and rows["b.png"]["prompt"].startswith("Satellite photograph of two barns. with ")
+    assert vocab.FAILED_CAPTION.lower() in rows["a.png"]["prompt"].lower() and not rows["bad.jpg"]["ok"]
+
+
 def test_config(monkeypatch):
     for name in ("INPUT_DIR", "OUTPUT_DIR", "HF_CACHE_DIR"):
         monkeypatch.delenv(name, raising=False)
