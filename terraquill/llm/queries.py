@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraquill.llm import decontam, jaccard, knn, langid, packing, pii, quality, sharding, tokens, warc
+from terraquill.llm import bpe, decontam, jaccard, knn, langid, packing, pii, quality, runs, sharding, tokens, warc, yinyang
 from terraquill.llm.runtime import table
 
 
@@ -49,6 +49,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +76,9 @@ QUERIES = {
         op8_packing,
         op9_pii,
         op10_language_id,
+        op11_centroid_clustering,
+        op12_periodic_runs,
+        op13_bpe_encoding,
     )
 }
 ORACLE: dict[str, str] = {
@@ -69,4 +86,5 @@ ORACLE: dict[str, str] = {
     "op5_warc": warc.ORACLE_SQL,
     "op6_exact_top_k": knn.ORACLE_SQL,
     "op7_ngram_jaccard_join": jaccard.ORACLE_SQL,
+    "op11_centroid_clustering": yinyang.oracle_sql(),
 }

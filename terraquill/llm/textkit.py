@@ -47,15 +47,38 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """Hashes of data[begin:end]; `values` are the numbers of the 256 bytes, by default those that fold A-Z."""
     up, down = _power(len(data) + 1)
     c = np.zeros(len(data) + 1, _U)
-    v = _VALUES.take(data)
+    v = values.take(data)
     v *= up[: len(data)]
     np.cumsum(v, out=c[1:])
     return mix((c[end] - c[begin]) * down[begin] + (end - begin).astype(_U))
 
 
+def content_cuts(data: np.ndarray, offsets: np.ndarray, bits: int, window: int = 16) -> np.ndarray:
+    """Where texts, one after the other in `data`, are cut by content: their ends, and each place whose last `window` bytes
+    have a hash with `bits` zero bits, so one place in 2^bits. Equal stretches are cut alike wherever they stand. A
+    character is never cut."""
+    if not len(data):
+        return np.zeros(1, np.int64)
+    h, size = _RANDOM.take(data), 1
+    while size < window:  # the hash of twice as many bytes from those of two neighbours
+        h = h[:-size] * _U(pow(int(_P), size, 1 << 64)) + h[size:] if len(h) > size else h[:0]
+        size *= 2
+    at = np.flatnonzero(mix(h) >> _U(64 - bits) == 0) + window
+    at = at[at < len(data)]
+    at = at[(data[at] & 0xC0) != 0x80]
+    begins = offsets[np.searchsorted(offsets, at, "right") - 1]
+    return np.unique(np.concatenate([offsets, at[at - begins >= window]]))
+
+
+def plain_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[begin:end] as they stand."""
+    return _hash(data, begin, end, _RANDOM)
+
+
 def _words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a chunk, and where each text's words begin."""
     inside = (~separator).take(data)
