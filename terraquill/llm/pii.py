@@ -4,17 +4,20 @@ The patterns (email, ip, card, phone) are scanned over whole texts, leftmost and
 that fails its check is dropped and not tried again. Their spans always stay.
 
 The field labels segments, not tokens. A text's tokens are runs of letters, runs of digits and single other characters.
-Around each trigger (a digit or an @) candidate segments of up to MAX_TOKENS[kind] tokens begin and end at tokens that are
-no blanks; a run of letters, digits, _ and - is a candidate for `secret` whatever its length, characters are not bounded; whole-span features (shape, digit count, checksum, alphabet, separators, the words just before) score each kind
-for a segment, and the bounded-entity dynamic programme picks the best joint choice of boundaries and kinds; tokens outside
-entities score 0. A segment without a trigger is never an entity, so the text between clusters of triggers needs no work.
+A segment is a candidate for a kind only where it has that kind's own form and begins and ends at tokens: four numbers up to
+255; a run of 13 to 19 digits with a checksum, next to one other of that length at most, or to such only, or groups of digits with a checksum
+that stand alone (as the pattern has them) or after a word for a card; +, or three digits in brackets, or after a word for a telephone any groups, with digits as a phone
+number has; @ between a name and a domain; after a word for a key a whole
+run of letters, digits, _ and -, of 16 characters or more, for `secret`. Numbers in tables, years, dates and coordinates have none of these forms. Whole-span features (shape, digit count, checksum,
+alphabet, separators, the words just before) score each candidate, and the bounded-entity dynamic programme picks the best
+joint choice of boundaries and kinds; tokens outside entities score 0. Candidates are few, so a text costs about its length.
 Weights are fitted here, by gradient ascent on the conditional log likelihood (forward recursion over segments) of texts
 that a seeded generator makes: entities, near misses and prose. Entities of the four kinds or `secret` (access tokens) that
-overlap no base span of whatever kind are added.
+overlap no base span of whatever kind are added; a secret also stands over base spans that lie inside it.
 
 Defined results: null counts as empty and has no span; offsets are code points, end exclusive; ties in the programme go to
 fewer and then to earlier segments; repeated rows get equal results; an empty table gives an empty result. Work is linear
-in the text but for clusters of triggers, where it is tokens x MAX_TOKENS.
+in the text: a token begins at most MAX_TOKENS candidates, an @ MAX_TOKENS squared.
 """
 
 from __future__ import annotations
@@ -88,15 +91,17 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 # The segment model
 
 LABELS = (*KINDS, "secret")
-#: Most tokens in a segment of each kind; longer secrets must be a whole run of key characters.
-MAX_TOKENS = {"email": 16, "ip": 7, "card": 9, "phone": 12, "secret": 48}
+#: Most tokens in a segment of each kind; a secret is a whole run of key characters, however long.
+MAX_TOKENS = {"email": 16, "ip": 7, "card": 9, "phone": 12}
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]")
 _KEY = re.compile(r"(?i)(token|secret|key|password|passwd|pwd|api)\W{0,6}$")
 _CALL = re.compile(r"(?i)\b(tel|phone|call|fax|mobile|tél|telefon|teléfono)\W{0,4}$")
+_CARD_WORD = re.compile(r"(?i)\b(card|visa|mastercard|amex|karte|carte|tarjeta)\W{0,4}(no|nr|number)?\W{0,4}$")
 _EMAIL_FORM = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP_FORM = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
 _PHONE_FORM = re.compile(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?([ .-][0-9]{2,4}){1,4}")
+_ROUND_FORM = re.compile(r"\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 #: All characters that any of the whole-span forms has.
 _IN_FORM = re.compile(r"[0-9A-Za-z._%+@ ()-]+")
@@ -120,11 +125,13 @@ def segment_features(text: str, a: int, b: int) -> list[str]:
     if not letters and 12 <= n <= 19 and _CARD.fullmatch(s):
         out.append("form:card:" + ("luhn" if luhn(digits) else "fails"))
     if len(s) >= 16 and _WORDY.fullmatch(s) and n >= 3 and letters >= 3:
-        out.append("form:key:" + ("hex" if _HEX.fullmatch(s) else "word"))
+        out.append("form:key:" + ("hex" if _HEX.fullmatch(s.strip("-")) else "word"))
     if _KEY.search(before):
         out.append("after:key")
     if _CALL.search(before):
         out.append("after:call")
+    if _CARD_WORD.search(before):
+        out.append("after:card")
     if before[-1:].isalnum() or before[-1:] in ("@", "+", "_") or (before[-1:] in (".", "-") and before[-2:-1].isalnum()):
         out.append("cut:left")
     if after.isalnum() or after in ("@", "_") or (after in (".", "-") and text[b + 1 : b + 2].isalnum()):
@@ -171,47 +178,104 @@ def _clusters(text: str) -> Iterator[tuple[list[tuple[int, int]], list[bool]]]:
             yield tokens, trigger
 
 
-def _segments(text: str, tokens: list[tuple[int, int]], trigger: list[bool]) -> Iterator[tuple[int, int, list[str], int]]:
-    """(first token, end token, features, tokens) of all candidate segments of a stretch, by first token.
-
-    A run of key characters of more than MAX_TOKENS["secret"] tokens is a candidate too, with and without the dashes at
-    either end, and counts as that many tokens.
-    """
-    most, other = MAX_TOKENS["secret"], max(n for kind, n in MAX_TOKENS.items() if kind != "secret")
-    word = [bool(_WORDY.fullmatch(text, x, y)) for x, y in tokens]
-    dash = [text[x] == "-" for x, _ in tokens]
-    end = 0
-    for i in range(len(tokens)):
-        if word[i] and i >= end:
-            end = i
-            while end < len(tokens) and word[end]:
-                end += 1
-            bare = end
-            while bare > i and dash[bare - 1]:
+def _context(text: str, a: int) -> str:
+    return text[max(0, a - 24) : a]
+
+
+def _apart(text: str, a: int, b: int, more: str) -> bool:
+    """Whether text[a:b] isn't part of something longer that goes on with a letter, a digit or one of `more` and a digit."""
+    before, after = text[max(0, a - 2) : a], text[b : b + 2]
+    left = before[-1:].isalnum() or (before[-1:] and before[-1:] in more and before[:1].isdigit())
+    return not left and not after[:1].isalnum() and not (after[:1] and after[:1] in more and after[1:].isdigit())
+
+
+def _numbers(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(first token, end token, kind) of the candidates of digits: ip, card, phone."""
+    n = len(tokens)
+    digit = [text[a] in "0123456789" for a, _ in tokens]
+    long_end, long_good = 0, False
+    for i, (a, b) in enumerate(tokens):
+        c = text[a]
+        if digit[i]:
+            if b - a <= 3 and i + 7 <= n and digit[i + 2] and text[b] == "." and _apart(text, a, tokens[i + 6][1], "."):
+                s = text[a : tokens[i + 6][1]]
+                if _IP_FORM.fullmatch(s) and all(_small(x) for x in s.split(".")):
+                    yield i, i + 7, "ip"
+            if 12 < b - a < 20 and _apart(text, a, b, ".,+"):
+                if i >= long_end:  # the run of numbers that this one stands in
+                    long_end, groups = i, []
+                    while long_end < n and digit[long_end]:
+                        groups.append(text[tokens[long_end][0] : tokens[long_end][1]])
+                        long_end += 2 if long_end + 2 < n and digit[long_end + 2] and text[tokens[long_end][1]] in " -" else 1
+                    large = [g for g in groups if len(g) > 4]
+                    long_good = all(12 < len(g) < 20 for g in large) and (len(large) < 3 or all(map(luhn, large))) and len(groups) - len(large) < 3
+                if long_good and luhn(text[a:b]):
+                    yield i, i + 1, "card"
+            elif b - a < 8:
+                whole, named = i < 2 or not digit[i - 2] or text[a - 1] not in " -", bool(_CARD_WORD.search(_context(text, a)))
+                j, held = i + 1, b - a
+                while (whole or named) and j + 1 < n and j - i < MAX_TOKENS["card"] - 1 and text[tokens[j][0]] in " -" and digit[j + 1]:
+                    held, j = held + tokens[j + 1][1] - tokens[j + 1][0], j + 2
+                    ends = j + 1 >= n or text[tokens[j][0]] not in " -" or not digit[j + 1]
+                    if (named or ends) and 12 <= held <= 19 and _apart(text, a, tokens[j - 1][1], ".") and luhn(_NOT_DIGIT.sub("", text[a : tokens[j - 1][1]])):
+                        yield i, j, "card"
+        if c in "+(" or digit[i]:
+            round_form = _ROUND_FORM.match(text, a) if c == "(" else None
+            call = c != "+" and bool(_CALL.search(_context(text, a)))
+            if (c == "+" or round_form or call) and not (i and digit[i - 1]):
+                for j in range(i + 1, min(n, i + MAX_TOKENS["phone"]) + 1):
+                    x, y = tokens[j - 1]
+                    if not (digit[j - 1] or text[x] in "+ .-()"):
+                        break
+                    if digit[j - 1] and (c == "+" or call or y == round_form.end()):
+                        s = text[a:y]
+                        if _PHONE_FORM.fullmatch(s) and (9 if c == "+" else 7) <= sum(q - p for (p, q), d in zip(tokens[i:j], digit[i:j]) if d) <= 15:
+                            yield i, j, "phone"
+
+
+def _addresses(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    most = MAX_TOKENS["email"]
+    for at, (a, _) in enumerate(tokens):
+        if text[a] == "@":
+            first = at
+            while first > max(0, at - most) and all(c in _LOCAL_SET for c in text[tokens[first - 1][0] : tokens[first - 1][1]]):
+                first -= 1
+            last = at + 1
+            while last < min(len(tokens), at + most) and text[tokens[last][0]] in _LOCAL_SET and text[tokens[last][0]] not in "_%+":
+                last += 1
+            for i in range(first, at):
+                for j in range(at + 4, min(last, i + most) + 1):
+                    if _EMAIL_FORM.fullmatch(text, tokens[i][0], tokens[j - 1][1]):
+                        yield i, j, "email"
+
+
+def _keys(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Whole runs of key characters, with and without the dashes at either end."""
+    i, n = 0, len(tokens)
+    while i < n:
+        end = i
+        while end < n and _WORDY.fullmatch(text, *tokens[end]):
+            end += 1
+        if end > i and tokens[end - 1][1] - tokens[i][0] >= 16:
+            bare, first = end, i
+            while bare > i and text[tokens[bare - 1][0]] == "-":
                 bare -= 1
-            leads = True
-        if text[tokens[i][0]].isspace():
-            continue
-        held, key = False, True
-        for j in range(i + 1, min(len(tokens), i + most) + 1):
-            held, key = held or trigger[j - 1], key and word[j - 1]
-            if j - i > other and not key:
-                break
-            a, b = tokens[i][0], tokens[j - 1][1]
-            if held and not text[b - 1].isspace():
-                f = segment_features(text, a, b)
-                # Whole-span forms are necessary: other segments have no kind to take.
-                if any(x.startswith("form:") for x in f):
-                    yield i, j, f, j - i
-        if word[i] and leads:
-            # The run's first token, and after dashes the first that is none.
-            if i == 0 or not word[i - 1] or not dash[i]:
-                for j in sorted({bare, end}):
-                    if j - i > most:
-                        f = segment_features(text, tokens[i][0], tokens[j - 1][1])
-                        if any(x.startswith("form:key") for x in f):
-                            yield i, j, f, most
-            leads = dash[i]
+            while first < bare and text[tokens[first][0]] == "-":
+                first += 1
+            for a in sorted({i, first}):
+                for b in sorted({bare, end}):
+                    if a < b:
+                        yield a, b, "secret"
+        i = max(end, i + 1)
+
+
+def _segments(text: str, tokens: list[tuple[int, int]], trigger: list[bool]) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(first token, end token, kind, features) of a stretch's candidates, each of its kind's own form, by first token."""
+    found = [*_numbers(text, tokens), *_addresses(text, tokens), *_keys(text, tokens)]
+    for i, j, kind in sorted(set(found)):
+        f = segment_features(text, tokens[i][0], tokens[j - 1][1])
+        if kind != "secret" or ("after:key" in f and any(x.startswith("form:key") for x in f)):
+            yield i, j, kind, f
 
 
 class SemiMarkov:
@@ -232,14 +296,12 @@ class SemiMarkov:
             at, top = 0, (0.0, 0)
             ahead: dict[int, tuple[tuple[float, int], int, str]] = {}
             came: dict[int, tuple[int, str]] = {}
-            for i, j, f, n in _segments(text, tokens, trigger):
+            for i, j, kind, f in _segments(text, tokens, trigger):
                 if i > at:
                     at, top = i, self._reach(i, top, ahead, came)
-                for kind in LABELS:
-                    if n <= MAX_TOKENS[kind]:
-                        got = top[0] + self.score(kind, f), top[1] - 1
-                        if j not in ahead or got > ahead[j][0]:
-                            ahead[j] = got, i, kind
+                got = top[0] + self.score(kind, f), top[1] - 1
+                if j not in ahead or got > ahead[j][0]:
+                    ahead[j] = got, i, kind
             self._reach(len(tokens), top, ahead, came)
             j = len(tokens)
             while j:
@@ -285,10 +347,8 @@ class SemiMarkov:
         out = []
         for tokens, trigger in _clusters(text):
             ends: dict[int, list] = {}
-            for i, j, f, n in _segments(text, tokens, trigger):
-                for kind in LABELS:
-                    if n <= MAX_TOKENS[kind]:
-                        ends.setdefault(j, []).append((i, kind, f, (kind, tokens[i][0], tokens[j - 1][1]) in truth))
+            for i, j, kind, f in _segments(text, tokens, trigger):
+                ends.setdefault(j, []).append((i, kind, f, (kind, tokens[i][0], tokens[j - 1][1]) in truth))
             if ends:
                 out.append((len(tokens), ends))
         return out
@@ -322,7 +382,7 @@ def training_texts(rows: int = 120, seed: int = 7) -> list[tuple[str, set[tuple[
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card, "phone": phone, "secret": secret,
     }
-    miss = [lambda: f"{r.randint(1, 20)}.{r.randint(0, 9)}.", lambda: f"{number(4)}-{number(2)}-{number(2)}", bad_card, lambda: number(r.randint(1, 8)), lambda: f"{number(3)}.{r.randint(256, 999)}.{number(2)}.{number(3)}", lambda: f"{word()}@{word()}", lambda: f"{number(3)}-{number(4)}", lambda: word() + number(2), secret]
+    miss = [lambda: f"{r.randint(1, 20)}.{r.randint(0, 9)}.", lambda: f"{number(4)}-{number(2)}-{number(2)}", bad_card, lambda: number(r.randint(1, 8)), lambda: f"{number(3)}.{r.randint(256, 999)}.{number(2)}.{number(3)}", lambda: f"{word()}@{word()}", lambda: f"{number(3)}-{number(4)}", lambda: word() + number(2), secret, lambda: " ".join(str(1900 + r.randint(0, 120)) for _ in range(r.randint(2, 6))), lambda: " ".join(number(r.randint(1, 6)) for _ in range(r.randint(2, 9))), lambda: f"{number(2)}.{number(5)}, -{number(2)}.{number(5)}"]
     out = []
     for _ in range(rows):
         text, truth = "", set()
@@ -373,7 +433,8 @@ def find(text: str | None, model: SemiMarkov) -> tuple[dict[str, list[tuple[int,
     added = []
     for kind, a, b in model.decode(text):
         # Spans that begin before b reach at most the running maximum of their ends.
-        if ends[bisect_left(taken, (b, 0))] <= a:
+        last = bisect_left(taken, (b, 0))
+        if ends[last] <= a or (kind == "secret" and ends[last] <= b and all(x >= a for x, y in taken[:last] if y > a)):
             added.append((kind, a, b))
     return base, added
 
