@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
@@ -36,15 +35,6 @@ def token_estimate(words: Column) -> Column:
     return F.floor(words * F.lit(vocab.TOKENS_PER_WORD)).cast("long")
 
 
-def hits(lowered: Column, terms: Iterable[str]) -> Column:
-    """How many terms occur in a lower-case text; each counts once. A sum of substring tests, so it stays in codegen."""
-    return reduce(add, (F.contains(lowered, F.lit(t)).cast("long") for t in terms))
-
-
-def hit_list(lowered: Column, terms: Iterable[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in terms]))
-
-
 def length_score(words: Column) -> Column:
     return F.when(words < 20, 0.3).when(words < 50, 0.6).when(words < 150, 1.0).otherwise(0.8)
 
@@ -86,12 +76,18 @@ def spatial_extract(summary: Column) -> Column:
 
 
 def combine_prompt(caption: Column, counts: Column, total: Column, summary: Column, template: Template = vocab.PRODUCTION) -> Column:
-    """The prompt of an image from its caption, counts text, total and (enhanced) summary."""
-    counts, total, summary = F.coalesce(counts, F.lit("")), F.coalesce(total, F.lit(0)), F.coalesce(summary, F.lit(""))
+    """The prompt of an image from its caption, counts text, total and (enhanced) summary.
+
+    An image without detections (empty counts or total 0) gets the plain prompt. Where something is missing (null counts or,
+    with detections, a null caption or summary), the fallback: the plain prompt and what there is of the summary. A null caption shows as NO_CAPTION.
+    """
+    plain = F.concat(F.lit("Aerial view: "), F.coalesce(caption, F.lit(vocab.NO_CAPTION)))
     layout = spatial_extract(summary)
     tail = F.when(layout != "", F.concat(F.lit(template.layout), layout)).when(summary != "", F.concat(F.lit(". "), summary)).otherwise(F.lit(""))
     full = F.concat(F.lit(template.lead), F.lower(caption), F.lit(template.counts), counts, tail, F.lit(template.suffix))
-    return F.when((counts == "") | (total == 0), F.concat(F.lit("Aerial view: "), caption)).otherwise(full)
+    fallback = F.when(F.coalesce(summary, F.lit("")) != "", F.concat(plain, F.lit(", "), summary)).otherwise(plain)
+    none = (counts == "") | (F.coalesce(total, F.lit(1)) == 0)
+    return F.when(counts.isNull(), fallback).when(none, plain).when(caption.isNull() | summary.isNull(), fallback).otherwise(full)
 
 
 def assistant_reply(response: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +11,8 @@ from pyspark.sql import functions as F
 
 from terraquill import vocab
 from terraquill.functions import expr, kernels
-from terraquill.operators import detect, evaluate, prompts, spatial
+from terraquill.operators import detect, evaluate, prompts, spatial, vocabulary
+from terraquill.operators.shared import shared_folder
 from terraquill.plans import pipeline
 from terraquill.sources import images
 from terraquill.sources.fixtures import captions, detections, table
@@ -41,22 +40,36 @@ def caption_quality(spark, sf):
     return rounded(evaluate.quality(captions(spark, sf)).select("image_id", "word_count", "number_count", *SCORES), *SCORES)
 
 
+def _hits(spark, sf, lists=None):
+    known = vocabulary.of_lists(spark, lists or {"keywords": vocab.AERIAL_KEYWORDS})
+    return vocabulary.with_hits(captions(spark, sf).select("image_id", "caption"), F.col("caption"), known)
+
+
 @query
 def keyword_hits(spark, sf):
-    return captions(spark, sf).select("image_id", expr.hits(F.lower("caption"), vocab.AERIAL_KEYWORDS).alias("keyword_count"))
+    return _hits(spark, sf).select("image_id", vocabulary.hit_count(F.col("hits"), "keywords").alias("keyword_count"))
 
 
 @query
 def keyword_list(spark, sf):
-    return captions(spark, sf).select("image_id", F.array_join(expr.hit_list(F.lower("caption"), vocab.AERIAL_KEYWORDS), ",").alias("keywords"))
+    return _hits(spark, sf).select("image_id", F.array_join(vocabulary.hits_of(F.col("hits"), "keywords"), ",").alias("keywords"))
 
 
 @query
 def vocab_match(spark, sf):
-    rows = captions(spark, sf).select("image_id", F.explode(expr.hit_list(F.lower("caption"), vocab.AERIAL_KEYWORDS)).alias("term"))
+    rows = _hits(spark, sf).select("image_id", F.explode(vocabulary.hits_of(F.col("hits"), "keywords")).alias("term"))
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n_captions"))
 
 
+@query
+def vocabulary_terms(spark, sf):
+    """A vocabulary that is a table: the words of at least six letters of all test items, in every document."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where(F.char_length("term") >= 6).distinct()
+    known = words.select(F.lit("items").alias("vocabulary"), "term", F.lit(0).cast("long").alias("ord"))
+    rows = vocabulary.with_hits(table(spark, sf, "documents").select("doc_id", "text"), F.col("text"), known)
+    return rows.select("doc_id", F.size("hits").cast("long").alias("n_terms"), F.array_min(F.transform("hits", lambda h: h["term"])).alias("first_term"))
+
+
 @query
 def word_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", expr.word_count(F.col("text")).alias("word_count"))
@@ -150,6 +163,16 @@ def benchmark_summary_good_rows(spark, sf):
     return rounded(_summary(spark, sf, count_errors=False), *MEANS)
 
 
+@query
+def benchmark_summary_merged(spark, sf):
+    """The summary of a state that two batches were added to, one of them twice."""
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    seen = evaluate.observations(captions(spark, sf))
+    for batch, rows in (("even", seen.where("image_id % 2 = 0")), ("odd", seen.where("image_id % 2 = 1")), ("even", seen.where("image_id % 2 = 0"))):
+        state = evaluate.add_batch(folder, batch, rows)
+    return rounded(evaluate.summary_of(state), *MEANS)
+
+
 @query
 def model_ranking(spark, sf):
     return evaluate.ranking(rounded(_summary(spark, sf), *MEANS)).select("rank", "model", "combined_score")
@@ -257,8 +280,7 @@ def localize(spark, sf):
 
 @query
 def unlocalized(spark, sf):
-    sure = _sure(spark, sf)
-    return spatial.unlocated(sure, spatial.located(sure)).select("image_id", "det_idx", "label")
+    return spatial.unlocated(_sure(spark, sf)).select("image_id", "det_idx", "label")
 
 
 @query
@@ -273,12 +295,14 @@ def spatial_description(spark, sf):
 
 @query
 def mask_geometry(spark, sf):
-    """Every detection as a rectangle of pixels around its centre, some of them below the threshold."""
+    """Every detection as a rectangle of pixels around its centre, some of them below the threshold, as runs of a line."""
     d = detections(spark, sf)
-    side = lambda c: F.explode(F.sequence(F.col(c), F.col(c) + F.col("det_idx") % 3))
-    rows = d.select(F.col("image_id").cast("string").alias("image_name"), "det_idx", "score", "center_y", side("center_x").alias("x"))
-    rows = rows.select("image_name", "det_idx", "x", side("center_y").alias("y"), F.when((F.col("x") + F.col("det_idx")) % 4 == 0, 0.5).otherwise(0.75).alias("v"))
-    return spatial.mask_geometry(rows)
+    side = F.col("det_idx") % 3
+    inside = F.filter(F.sequence(F.col("center_x"), F.col("center_x") + side), lambda x: (x + F.col("det_idx")) % 4 != 0)
+    width = F.col("img_w").cast("long") + 2
+    lines = d.select(F.col("image_id").cast("string").alias("image_name"), "det_idx", "center_y", side.alias("side"), width.alias("width"), spatial.line_runs(inside).alias("line"))
+    runs = spatial.box_runs(F.col("line"), F.col("center_y"), F.col("center_y") + F.col("side"), F.col("width"))
+    return spatial.run_geometry(lines.select("image_name", "det_idx", "width", runs.alias("runs")))
 
 
 # Prompts
@@ -309,6 +333,23 @@ def combine_prompt_v1(spark, sf):
     return prompts.prompts(_prompt_rows(spark, sf), detections(spark, sf), vocab.FIRST_VERSION).select("image_id", "prompt", "word_count", "est_tokens")
 
 
+@query
+def combine_prompt_missing(spark, sf):
+    """Prompts where some captions, counts or summaries are missing."""
+    rows = prompts.with_facts(_prompt_rows(spark, sf), prompts.image_facts(detections(spark, sf)))
+    lost = lambda c, n, k: F.when(F.col("image_id") % n != k, F.col(c))
+    rows = rows.withColumns({"caption": lost("caption", 11, 5), "counts_text": lost("counts_text", 13, 4), "summary": lost("summary", 7, 2)})
+    return prompts.combined(rows).select("image_id", "prompt", "word_count", "est_tokens")
+
+
+@query
+def combine_prompt_stored(spark, sf):
+    """The same prompts from captions and facts that are stored by image."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = prompts.co_located(_prompt_rows(spark, sf), detections(spark, sf), f"{shared_folder(spark)}/tables", buckets)
+    return prompts.combined(rows).select("image_id", "prompt", "word_count", "est_tokens")
+
+
 @query
 def prompt_checks(spark, sf):
     """Over all images with detections: does every prompt name its counts and keep its layout?"""
@@ -345,18 +386,10 @@ def union_sources(spark, sf):
 # Images
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where there is one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return named.rstrip("/") if named else f"file://{tempfile.gettempdir()}/terraquill"
-
-
 def sample_folder(spark: SparkSession) -> str:
     """A folder with three small PNGs, a broken JPEG and a text file, written through Spark's file system."""
     jvm = spark._jvm
-    folder = f"{_shared(spark)}/images"
+    folder = f"{shared_folder(spark)}/images"
     y, x = np.mgrid[0:12, 0:16]
     files = {
         "flat.png": kernels.png(np.full((8, 8, 3), 90, np.uint8)),
@@ -405,14 +438,14 @@ def preprocess(spark, sf):
 
 @query
 def pipeline_e2e(spark, sf):
-    rows = pipeline.run(spark, sample_folder(spark), _shared(spark))
+    rows = pipeline.run(spark, sample_folder(spark), shared_folder(spark))
     return rows.select("image_name", "ok", "error", "prompt", F.col("metadata.output_caption").alias("output_caption"), F.col("metadata.output").alias("output"))
 
 
 @query
 def watch_images(spark, sf):
     """The sample folder as a stream, taken once."""
-    own = f"{_shared(spark)}/watch-{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
     watch.ingest(spark, sample_folder(spark), f"{own}/files", f"{own}/state").awaitTermination()
     return spark.read.parquet(f"{own}/files").select("image_name", "length")
 
@@ -420,7 +453,7 @@ def watch_images(spark, sf):
 @query
 def benchmark_e2e(spark, sf):
     """Each captioning model on the sample images, without the times, which differ from run to run."""
-    done = pipeline.benchmark(spark, sample_folder(spark), _shared(spark))
+    done = pipeline.benchmark(spark, sample_folder(spark), shared_folder(spark))
     return done.seen.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_images"), F.sum(F.col("is_error").cast("long")).alias("n_errors"), F.sum("keyword_count").alias("keywords"), F.round(F.avg("overall"), 9).alias("avg_quality"))
 
 

@@ -60,6 +60,14 @@ laid AS (SELECT *, {_EXTRACT} AS layout FROM joined),
 prompts AS (SELECT *, CASE WHEN counts_text = '' OR total = 0 THEN 'Aerial view: ' || caption ELSE {_q(t.lead)} || lower(caption) || {_q(t.counts)} || counts_text || CASE WHEN layout <> '' THEN {_q(t.layout)} || layout WHEN summary <> '' THEN '. ' || summary ELSE '' END || {_q(t.suffix)} END AS prompt FROM laid)"""
 
 
+_MISSING = f"""WITH {CAP}, {ALL}, {ENHANCED}, facts AS (SELECT *, CASE WHEN image_id % 7 <> 2 THEN summary END AS said FROM enhanced),
+joined AS (SELECT cap.image_id, CASE WHEN cap.image_id % 11 <> 5 THEN {_CLEAN} END AS caption, coalesce(total, 0) AS total, CASE WHEN cap.image_id % 13 <> 4 THEN coalesce(counts_text, '') END AS counts_text, CASE WHEN cap.image_id % 7 = 2 THEN NULL ELSE coalesce(said, '') END AS summary FROM cap LEFT JOIN facts USING (image_id)),
+laid AS (SELECT *, {_EXTRACT} AS layout, 'Aerial view: ' || coalesce(caption, 'None') AS plain FROM joined),
+prompts AS (SELECT *, CASE WHEN counts_text IS NULL THEN plain || CASE WHEN coalesce(summary, '') <> '' THEN ', ' || summary ELSE '' END WHEN counts_text = '' OR total = 0 THEN plain WHEN caption IS NULL OR summary IS NULL THEN plain || CASE WHEN coalesce(summary, '') <> '' THEN ', ' || summary ELSE '' END
+ ELSE {_q(vocab.PRODUCTION.lead)} || lower(caption) || {_q(vocab.PRODUCTION.counts)} || counts_text || CASE WHEN layout <> '' THEN {_q(vocab.PRODUCTION.layout)} || layout WHEN summary <> '' THEN '. ' || summary ELSE '' END || {_q(vocab.PRODUCTION.suffix)} END AS prompt FROM laid)
+SELECT image_id, prompt, len(regexp_extract_all(prompt, '\\S+')) AS word_count, CAST(floor(len(regexp_extract_all(prompt, '\\S+')) * 1.3::DOUBLE) AS BIGINT) AS est_tokens FROM prompts"""
+
+
 def _prompt_query(t: vocab.Template) -> str:
     return f"{_prompts(t)} SELECT image_id, prompt, len(regexp_extract_all(prompt, '\\S+')) AS word_count, CAST(floor(len(regexp_extract_all(prompt, '\\S+')) * 1.3::DOUBLE) AS BIGINT) AS est_tokens FROM prompts"
 
@@ -91,7 +99,9 @@ ORACLE: dict[str, str] = {
     "model_ranking": _summary() + " SELECT row_number() OVER (ORDER BY combined_score DESC, model_ord) AS rank, model, combined_score FROM summary",
     "best_model": _summary() + " SELECT model, model_name, combined_score FROM summary ORDER BY combined_score DESC, model_ord LIMIT 1",
     "model_image_grid": f"SELECT CAST(model_ord AS BIGINT) AS model_ord, model AS model_key, doc_id AS image_id FROM documents, {MODELS}",
-    "model_results": f"WITH {CAP}, {QUALITY}, {OBS} SELECT model_key, count(*) AS n_images, string_agg(concat_ws(':', image_id, keyword_count, word_count), ',' ORDER BY image_id) AS results FROM obs GROUP BY model_key",
+    "benchmark_summary_merged": _summary() + " SELECT * FROM summary",
+    "model_results": f"WITH {CAP}, {QUALITY}, {OBS}, placed AS (SELECT *, row_number() OVER (PARTITION BY model_key ORDER BY image_id) - 1 AS pos FROM obs) SELECT model_key, pos // 1000 AS chunk_no, min(pos) AS first, count(*) AS n_images, string_agg(concat_ws(':', image_id, keyword_count, word_count), ',' ORDER BY image_id) AS results FROM placed GROUP BY model_key, pos // 1000",
+    "vocabulary_terms": "WITH terms AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM benchmark), long AS (SELECT list(term) AS l FROM terms WHERE length(term) >= 6), hits AS (SELECT doc_id, list_filter(l, lambda t: contains(lower(text), t)) AS h FROM documents, long) SELECT doc_id, CAST(len(h) AS BIGINT) AS n_terms, list_min(h) AS first_term FROM hits",
     "run_summary": f"WITH {CAP} SELECT CAST(sum(CASE WHEN is_error THEN 0 ELSE 1 END) AS BIGINT) AS successful, count(*) AS total FROM cap",
     "filter_detections": f"WITH {DET} SELECT image_id, det_idx, label, round(score, 9) AS score FROM sure",
     "detections_long": f"WITH {DET} SELECT image_id, det_idx - 1 AS det_idx, label, round(score, 9) AS score, center_x::DOUBLE AS x, center_y::DOUBLE AS y FROM det",
@@ -111,6 +121,8 @@ ORACLE: dict[str, str] = {
     "enhanced_summary": f"WITH {ALL}, {ENHANCED} SELECT image_id, summary FROM enhanced",
     "spatial_extract": f"WITH {ALL}, {ENHANCED} SELECT image_id, {_EXTRACT} AS layout FROM enhanced",
     "combine_prompt": _prompt_query(vocab.PRODUCTION),
+    "combine_prompt_missing": _MISSING,
+    "combine_prompt_stored": _prompt_query(vocab.PRODUCTION),
     "combine_prompt_v1": _prompt_query(vocab.FIRST_VERSION),
     "prompt_checks": f"{_prompts(vocab.PRODUCTION)} SELECT bool_and(contains(prompt, counts_text)) AS counts_kept, bool_and(contains(prompt, coalesce(spatial_description, ''))) AS layout_kept, bool_and(starts_with(prompt, {_q(vocab.PRODUCTION.lead)})) AS lead_kept, count(*) AS n_prompts FROM prompts WHERE total > 0",
     "metadata_json": f"WITH {CAP} SELECT image_id, CAST(to_json(struct_pack(source := concat('in/image_', image_id, '.jpg'), output := concat('outputs/images/image_', image_id, '_generated.png'), output_caption := concat('caption of image_', image_id), generation_prompt := concat('Aerial view: image_', image_id), models := struct_pack({_MODEL_JSON}))) AS VARCHAR) AS metadata FROM cap WHERE NOT is_error",

@@ -11,6 +11,7 @@ import gc
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -237,26 +238,37 @@ def ask(provider: Provider, rows: list[dict]) -> list[tuple[dict, str | None]]:
 def benchmark(decoded: DataFrame, models: dict[str, Callable[[], Provider]]) -> DataFrame:
     """(origin, image_name, model_key, caption, inference_time, error, model_error): each model on each decoded image.
 
-    A model is opened once for each task and on its own, as only one may fit into memory. If that fails, its rows have
+    Each model makes a pass of its own over the images, which are decoded again for it: so a task opens one model, once, as
+    only one may fit into memory, and the model gets the images of a batch together. If it can't be opened, its rows have
     model_error. Pixels never leave their task.
     """
+    parts = [_replies(decoded, key, make) for key, make in models.items()]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.withColumn("caption", F.coalesce("caption", expr.error_caption(F.col("error"))))
+
+
+def _replies(decoded: DataFrame, key: str, make: Callable[[], Provider]) -> DataFrame:
+    """One model on each decoded image."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            images = [(r.origin, r.image_name, kernels.array_of(r.height, r.width, r.n_channels, r.data) if r.height > 0 else None) for r in pdf.itertuples(index=False)]
-            for key, make in models.items():
-                rows, broken, provider = [], None, None
-                try:
-                    provider = make()
-                    provider.open()
-                except Exception as e:  # noqa: BLE001
-                    broken = str(e) or type(e).__name__
-                for origin, name, image in images:
-                    (got, error), = [({}, broken)] if broken else [({}, "not an image")] if image is None else ask(provider, [{"image": image}])
-                    rows.append((origin, name, key, got.get("caption"), got.get("inference_time", 0.0), error, broken))
-                if provider and not broken:
-                    provider.close()
+        provider, broken = None, None
+        try:
+            provider = make()
+            provider.open()
+        except Exception as e:  # noqa: BLE001
+            broken = str(e) or type(e).__name__
+        try:
+            for pdf in batches:
+                images = [kernels.array_of(r.height, r.width, r.n_channels, r.data) if r.height > 0 else None for r in pdf.itertuples(index=False)]
+                asked = [] if broken else [i for i, x in enumerate(images) if x is not None]
+                said = dict(zip(asked, ask(provider, [{"image": images[i]} for i in asked]))) if asked else {}
+                rows = []
+                for i, r in enumerate(pdf.itertuples(index=False)):
+                    got, error = said.get(i, ({}, broken or "not an image"))
+                    rows.append((r.origin, r.image_name, key, got.get("caption"), got.get("inference_time", 0.0), error, broken))
                 yield pd.DataFrame(rows, columns=["origin", "image_name", "model_key", "caption", "inference_time", "error", "model_error"])
+        finally:
+            if provider and not broken:
+                provider.close()
 
-    out = decoded.select("origin", "image_name", "height", "width", "n_channels", "data").mapInPandas(run, "origin string, image_name string, model_key string, caption string, inference_time double, error string, model_error string")
-    return out.withColumn("caption", F.coalesce("caption", expr.error_caption(F.col("error"))))
+    return decoded.select("origin", "image_name", "height", "width", "n_channels", "data").mapInPandas(run, "origin string, image_name string, model_key string, caption string, inference_time double, error string, model_error string")

@@ -10,20 +10,23 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from terraquill.functions import expr
 
 
 def put(path: str, data: bytes) -> None:
     """Makes the folder where it is missing."""
-    local = re.sub(r"^file:/+", "/", path)
-    system, at = fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
+    system, at = _at(path)
     folder, _, name = at.rpartition("/")
     system.create_dir(folder or ".", recursive=True)
     own = f"{folder or '.'}/.{name}.{uuid.uuid4().hex}"
@@ -32,16 +35,75 @@ def put(path: str, data: bytes) -> None:
     system.move(own, at)
 
 
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    local = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The folder of a task's files."""
+
+    folder: str
+
+
+class TextFiles(DataSource):
+    """Spark's writer of one file for each row (name, text) into the folder `path`, with a commit.
+
+    Tasks write into a hidden folder beside the files, each attempt into its own. Only when all tasks have succeeded are the
+    files of the attempts that did moved to their names, so a job that fails leaves nothing that can be seen (tasks that are
+    still being stopped then may leave a hidden folder); files of the same names are replaced.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _TextFilesWriter(self.options["path"].rstrip("/"))
+
+
+class _TextFilesWriter(DataSourceWriter):
+    def __init__(self, folder: str):
+        self.folder, self.hidden = folder, f"{folder}/.writing-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator) -> Written:
+        own = f"{self.hidden}/{TaskContext.get().taskAttemptId()}"
+        system, at = _at(own)
+        system.create_dir(at, recursive=True)
+        for name, text in iterator:
+            with system.open_output_stream(f"{at}/{name}") as f:
+                f.write(text.encode())
+        return Written(own)
+
+    def commit(self, messages: list) -> None:
+        system, to = _at(self.folder)
+
+        def move(path: str) -> None:
+            system.move(path, f"{to}/{path.rpartition('/')[2]}")
+
+        with ThreadPoolExecutor(16) as pool:
+            for m in messages:
+                if m is not None:
+                    list(pool.map(move, (f.path for f in system.get_file_info(fs.FileSelector(_at(m.folder)[1])))))
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        system, at = _at(self.hidden)
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            system.delete_dir(at)
+
+
 def write_metadata(made: DataFrame, folder: str) -> None:
-    """One pretty-printed JSON file for each row (image_name, metadata)."""
+    """One pretty-printed JSON file for each row (image_name, metadata), all of them or none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pretty(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                put(f"{folder}/{r.image_name}.json", json.dumps(json.loads(r.text), indent=2).encode())
-            yield pdf[["image_name"]]
+            yield pd.DataFrame({"name": pdf["image_name"] + ".json", "text": [json.dumps(json.loads(t), indent=2) for t in pdf["text"]]})
 
-    made.select("image_name", F.to_json("metadata").alias("text")).mapInPandas(run, "image_name string").write.format("noop").mode("overwrite").save()
+    made.sparkSession.dataSource.register(TextFiles)
+    rows = made.select("image_name", F.to_json("metadata").alias("text")).mapInPandas(pretty, "name string, text string")
+    rows.write.format(TextFiles.name()).mode("append").option("path", folder).save()
 
 
 def report_name(now: datetime | None = None) -> str:

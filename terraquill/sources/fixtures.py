@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from terraquill import vocab
+from terraquill.operators.ordinal import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,11 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detection for each order line; sixteen order numbers make an image, so images grow with the table."""
-    order = W.partitionBy("image_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     # The image is a column before it is a window's key, so what groups by it later needs no further shuffle.
     lines = table(spark, sf_dir, "lineitem").withColumn("image_id", F.shiftright("l_orderkey", 4))
+    lines = numbered(lines, ["image_id"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "det_idx")
     return lines.select(
-        "image_id", F.row_number().over(order).cast("long").alias("det_idx"), _pick(vocab.DETECT_CLASSES, F.col("l_partkey") % 32).alias("label"),
+        "image_id", "det_idx", _pick(vocab.DETECT_CLASSES, F.col("l_partkey") % 32).alias("label"),
         (F.col("l_quantity") / F.lit(50.0)).alias("score"), (F.col("l_partkey") * 37 % 1024).alias("center_x"), (F.col("l_suppkey") * 53 % 1024).alias("center_y"),
         F.when(F.col("l_discount") == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("l_extendedprice") * 4).cast("long")).alias("area"), F.lit(1024).alias("img_w"), F.lit(1024).alias("img_h"),
     )

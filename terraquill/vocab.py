@@ -22,6 +22,7 @@ POSITIONS = ("top-left", "top-center", "top-right", "middle-left", "center", "mi
 BOILERPLATE = ("The image shows ", "The scene shows ", "This is ", "It is ")
 NO_OUTPUT_CAPTION = "Aerial view"
 FAILED_CAPTION = "Aerial landscape view"
+NO_CAPTION = "None"
 LAYOUT_MARK = "Spatial layout:"
 SCORE_LEAST = 0.25
 MASK_ABOVE = 0.5
