@@ -14,8 +14,10 @@
 4. A pair is held against each other by hashed parity bitmaps, at most 1/8 of the set's bytes: bits that differ are at most
    the shingles that differ, so their count bounds the overlap from above. Tiles carry the bitmaps only. Distinct pairs
    that pass get the exact intersection of the sorted arrays, streamed past the pair's lesser set. A tile joins its passing
-   pairs at once; if the exact test then refuses one of them, all passing pairs of that tile that are still in different
-   components are tested, so an array moves once for a pair and not for every tile that the pair shares.
+   pairs at once; if the exact test then refuses one of them, what is still in several components in that tile is tested
+   again where the sets themselves lie together: tiles that share such sets become one block where they fit, so a set moves
+   once, and only links that join components come out, however many pairs there are just below the threshold. There exact
+   overlaps come from lists of who has (or, where most do, lacks) a shingle, so near-equal sets cost what differs.
 5. Links become components by star contraction. Only links that join components are kept; none is lost between them.
 
 Equal sets are one node throughout. Hot tiles: a task emits equal sets once, and of a tile that it meets more than HOT times
@@ -48,8 +50,8 @@ SMALL = 16
 SLICES = 97
 #: Bytes of sets or bitmaps that one block of a tile holds, and its most and least sets.
 BLOCK_BYTES, BLOCK_MOST, BLOCK_LEAST = 32 << 20, 8192, 64
-#: Most bytes of a bitmap for a shingle.
-BITS = 1.0
+#: Most bytes of a bitmap for a shingle; of a set, with the lists of who has an element, where sets lie together.
+BITS, ARRAYS = 1.0, 18.0
 #: 64-bit words of bitmaps that are compared at a time.
 HELD = 1 << 18
 #: Members of one star that a task handles.
@@ -261,11 +263,53 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, exact: bool, joining: bool = True) -> Iterator[tuple[int, int]]:
+class Overlaps:
+    """Exact intersection sizes of one set of a block with all others, from lists of who has an element.
+
+    Of an element that most sets have, the list is of those that lack it; elements of one set or of all cost nothing. So the
+    work of sets that agree in a large part follows what differs.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.dense = 2 * count > self.n
+        self.code, self.at = code.astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+        order = np.argsort(self.code, kind="stable")
+        owner, ends = owner[order], np.cumsum(count)
+        lists = np.where(self.dense, self.n - count, np.where(count > 1, count, 0))
+        self.first = np.concatenate([[0], np.cumsum(lists)])
+        self.who = np.empty(self.first[-1], np.int32)
+        for e in np.flatnonzero(lists):
+            own = owner[ends[e] - count[e] : ends[e]]
+            if self.dense[e]:
+                lacks = np.ones(self.n, bool)
+                lacks[own] = False
+                own = np.flatnonzero(lacks)
+            self.who[self.first[e] : self.first[e + 1]] = own
+
+    def _listed(self, elements: np.ndarray) -> np.ndarray:
+        """How often each set is in the lists of some elements."""
+        begin, size = self.first[elements], self.first[elements + 1] - self.first[elements]
+        begin, size = begin[size > 0], size[size > 0]
+        if not len(begin):
+            return np.zeros(self.n, np.int64)
+        at = np.arange(size.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        return np.bincount(self.who[at], minlength=self.n)
+
+    def of(self, i: int) -> np.ndarray:
+        own = self.code[self.at[i] : self.at[i + 1]]
+        dense = self.dense[own]
+        return np.count_nonzero(dense) - self._listed(own[dense]) + self._listed(own[~dense])
+
+
+def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, exact: bool) -> Iterator[tuple[int, int]]:
     """Links within one tile of rows (side, node, component, size, array or bitmap).
 
-    Side 0 is held against side 1, or, where there is a side 2 only, all against all. Pairs inside one component are
-    skipped; if joining, so are those whose components an earlier link of the tile joins.
+    Side 0 is held against side 1, or, where there is a side 2 only, all against all. Pairs whose components are one, or are
+    joined by an earlier link of the tile, are skipped, so fewer links come out than the tile has rows.
     """
     forest = Forest()
     n = np.array([r[3] for r in rows])
@@ -274,6 +318,7 @@ def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int,
     component = np.array([r[2] for r in rows])
     side = np.array([r[0] for r in rows])
     ones, step = np.flatnonzero(side == 1), max(1, HELD // words)
+    overlaps = Overlaps([r[4] for r in rows]) if exact and np.count_nonzero(side != 1) > 8 else None
     for i, row in enumerate(rows):
         if row[0] == 1:
             continue
@@ -283,17 +328,20 @@ def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int,
         if not len(others):
             continue
         differ = np.concatenate([np.bitwise_count(bits[others[at : at + step]] ^ bits[i]).sum(axis=1, dtype=np.int64) for at in range(0, len(others), step)])
+        least = -(-percent * (n[others] + a) // (100 + percent))
         bound = (n[others] + a - differ) // 2
-        near = np.flatnonzero(bound >= -(-percent * (n[others] + a) // (100 + percent)))
+        near = np.flatnonzero(bound >= least)
+        if overlaps and len(near):
+            bound = overlaps.of(i)[others]
+            near = near[bound[near] >= least[near]]
         for j in others[near[np.argsort(-bound[near], kind="stable")]].tolist():
             x, y = row[2], rows[j][2]
-            if forest.root(x) != forest.root(y) and (not exact or _overlap(row[4], rows[j][4]) >= least_overlap(int(a), int(n[j]), percent)):
-                if joining:
-                    forest.join(x, y)
+            if forest.root(x) != forest.root(y) and (not exact or overlaps or _overlap(row[4], rows[j][4]) >= least_overlap(int(a), int(n[j]), percent)):
+                forest.join(x, y)
                 yield row[1], rows[j][1]
 
 
-def _solve(placed: DataFrame, percent: int, exact: bool, joining: bool = True) -> DataFrame:
+def _solve(placed: DataFrame, percent: int, exact: bool) -> DataFrame:
     """Pairs (tile, u, v) found in tiles; placed: (t0, t1, t2, side, node, component, n, s)."""
     t = ["t0", "t1", "t2"]
 
@@ -301,7 +349,7 @@ def _solve(placed: DataFrame, percent: int, exact: bool, joining: bool = True) -
         key, rows, held_bytes = None, [], 0
 
         def solved() -> Iterator[pa.RecordBatch]:
-            if found := list(tile_links(rows, percent, exact, joining)) if len(rows) > 1 else []:
+            if found := list(tile_links(rows, percent, exact)) if len(rows) > 1 else []:
                 u, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(u), pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["tile", "u", "v"])
 
@@ -335,9 +383,9 @@ def _star_rows(pairs: DataFrame) -> DataFrame:
     return members.union(hubs).withColumn("component", F.col("node"))
 
 
-def _fit(n: Column) -> Column:
-    """How many sets a block of a tile holds whose greatest set has n shingles."""
-    return F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.floor(F.lit(BLOCK_BYTES) / (n * BITS + 64))))
+def _fit(n: Column, each: float = BITS) -> Column:
+    """How many sets a block of a tile holds whose greatest set has n shingles, of `each` bytes."""
+    return F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_MOST), F.floor(F.lit(BLOCK_BYTES) / (n * each + 64))))
 
 
 def _placed(rows: DataFrame, own: Column, others: Column) -> DataFrame:
@@ -358,14 +406,14 @@ def _first_rows(rows: DataFrame) -> DataFrame:
     return _placed(rows.withColumn("component", F.col("node")), own, F.when(own == 0, _upto(F.col("blocks"))).otherwise(F.array(F.lit(0))))
 
 
-def _further_rows(rows: DataFrame) -> DataFrame:
+def _further_rows(rows: DataFrame, each: float = BITS) -> DataFrame:
     """For (tile, node, n, component): all blocks of a tile in pairs, but for those of its greatest component alone.
 
     The greatest component's blocks stand after the `rest` others; a tile that fits into one block is one.
     """
     groups = rows.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     sizes = groups.groupBy("tile").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max(F.struct("c", "component")).alias("most"))
-    fit, much = _fit(F.col("n")), F.col("most.c")
+    fit, much = _fit(F.col("n"), each), F.col("most.c")
     rest = F.when(F.col("c") <= fit, 1).otherwise(F.ceil((F.col("c") - much) / fit))
     sizes, state = counted(sizes.select("tile", rest.alias("rest"), F.when(F.col("c") <= fit, 0).otherwise(F.ceil(much / fit)).alias("more"), F.col("most.component").alias("main")))
     dealt = lookup_join(rows, sizes, "tile", rows=state.rows)
@@ -389,6 +437,19 @@ def _open_rows(rows: DataFrame, tiles: DataFrame, reached: DataFrame) -> DataFra
     return lookup_join(rows, still, "tile", rows=state.rows).drop("a")
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(tile, node, n, component) with fewer tiles: those that share nodes become one where a block holds all their nodes, so
+    a set goes there once; larger ones stay as they are."""
+    first, state = counted(rows.groupBy("tile").agg(F.min("node").alias("_least")))
+    edges = lookup_join(rows, first, "tile", rows=state.rows).select(F.col("node").alias("u"), F.col("_least").alias("v"))
+    home, state = counted(components(edges))
+    rows = lookup_join(rows, home.withColumnRenamed("component", "home"), "node", rows=state.rows)
+    nodes = rows.select("home", "node", "n").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"))
+    small, state = counted(nodes.where(F.col("c") <= _fit(F.col("most"), ARRAYS)).select("home", F.lit(True).alias("_one")))
+    rows = lookup_join(rows, small, "home", "left", rows=state.rows)
+    return rows.select(F.when(F.col("_one"), F.col("home")).otherwise(F.col("tile")).alias("tile"), "node", "n", "component").distinct()
+
+
 def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row: the least id reachable by links of `percent` Jaccard."""
     shared_dir(documents.sparkSession)
@@ -399,9 +460,16 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     classes = stored(named.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"), F.first("s").alias("s")), held)
     names, bits = classes.select("node", "a"), classes.select("node", "n", "s")
 
-    def near_pairs(placed: DataFrame, joining: bool = True) -> DataFrame:
+    def near_pairs(placed: DataFrame) -> DataFrame:
         """(tile, u, v) that the bitmaps let pass."""
-        return cut(_solve(placed.join(bits, "node"), percent, False, joining))
+        return cut(_solve(placed.join(bits, "node"), percent, False))
+
+    def exact_links(placed: DataFrame) -> tuple[DataFrame, int]:
+        """(tile, u, v) that link, found from the sets themselves where they lie together; fewer than the rows placed."""
+        placed = cut(placed)
+        nodes, state = counted(placed.select("node").distinct().join(names, "node"))
+        found, count = counted(_solve(placed.join(_arrays(docs, nodes, k, state.rows), "node"), percent, True))
+        return found, count.rows
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (hub, node) that link, but for those that others of a hub's pairs make needless."""
@@ -422,13 +490,13 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
         true = linked(_pairs(more))
         near, links = near.union(more), cut(links.union(true))
         reached = components(links)
-    # Tiles in which the exact test refused a pair: later pairs may have been skipped for it, so all that pass are tested.
+    # Tiles in which the exact test refused a pair: others may have been skipped for it, so all of what is still in several
+    # components is tested, where the sets lie together; only links come out of that.
     pair = [F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")]
-    refused = cut(near.select("tile", *pair).join(links.select(*pair), ["hub", "node"], "left_anti"))
-    again = _pairs(near_pairs(_further_rows(_open_rows(members, refused.select("tile").distinct(), reached)), joining=False))
-    again, state = counted(again.join(refused.select("hub", "node").distinct(), ["hub", "node"], "left_anti"))
+    refused, state = counted(near.select("tile", *pair).join(links.select(*pair), ["hub", "node"], "left_anti").select("tile").distinct())
     if state.rows:
-        reached = components(links.union(linked(again)))
+        more, count = exact_links(_further_rows(_gathered(_open_rows(members, refused, reached)), ARRAYS))
+        reached = components(links.union(more.select("u", "v"))) if count else reached
     of = classes.join(reached, "node", "left").select("a", "b", F.coalesce("component", "node").alias("least"), "node", "rows").where("rows > 1 OR least <> node")
     of, state = counted(of.select("a", "b", "least"))
     out = lookup_join(who.drop("s"), of, ["a", "b"], "left", rows=state.rows)

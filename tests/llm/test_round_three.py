@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terraquill.llm import bpe, queries, runs, textkit, yinyang
+from terraquill.llm import bpe, jaccard, queries, runs, textkit, yinyang
 from terraquill.llm.runtime import table
 
 SF = "/root/testdata/sf0.001"
@@ -252,3 +252,78 @@ def test_vocabularies_without_apart_words_are_refused(tmp_path):
     path.write_text(json.dumps(spec))
     with pytest.raises(ValueError):
         bpe.Coder(str(path))
+
+
+# Jaccard join: groups just below the threshold
+
+
+def _brute_groups(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()})
+    home = list(range(len(texts)))
+
+    def find(x):
+        while home[x] != x:
+            x = home[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                home[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_about_the_threshold_equal_brute_force(spark, seed):
+    """Texts whose pairs lie just below, at and just above 0.9, in groups of different make."""
+    r = random.Random(seed)
+    texts = []
+    for g in range(6):
+        base = [f"w{g}_{i}" for i in range(r.choice([60, 150, 302]))]
+        for k in range(40):
+            t = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 40))):
+                t[r.randrange(len(t))] = f"x{r.randrange(30)}"
+            texts.append(" ".join(t + [f"u{k}_{g}_{i}" for i in range(r.randint(0, len(base) // 18))]))
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), DOC).repartition(5)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.link(df, k=3, percent=90).collect()}
+    want = _brute_groups(texts, 3, 90)
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < len(texts)
+
+
+def test_rows_follow_texts_not_pairs_below_the_threshold(spark, monkeypatch):
+    """None of the pairs links (0.898): what is kept on the way grows with the texts."""
+    seen = []
+    plain = jaccard.counted
+
+    def noted(df, *more):
+        out = plain(df, *more)
+        seen.append(out[1].rows)
+        return out
+
+    monkeypatch.setattr(jaccard, "counted", noted)
+    monkeypatch.setattr(jaccard, "cut", lambda df: noted(df)[0])
+    most = {}
+    for n in (200, 400, 800):
+        texts = [" ".join([f"c{i}" for i in range(302)] + [f"u{k}_{i}" for i in range(17)]) for k in range(n)]
+        seen.clear()
+        rows = jaccard.link(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(4), k=3, percent=90)
+        assert rows.where("doc_id <> component_id").count() == 0
+        most[n] = max(seen)
+    assert most[400] < 2.2 * most[200] and most[800] < 2.2 * most[400]
+
+
+def test_overlaps_of_a_block_equal_plain_intersections():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        common = r.integers(0, 2**63, 50, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([common[r.random(50) < 0.95], r.integers(0, 60, r.integers(1, 20), dtype=np.uint64)])) for _ in range(r.integers(1, 40))]
+        o = jaccard.Overlaps(sets)
+        for i, x in enumerate(sets):
+            assert o.of(i).tolist() == [len(np.intersect1d(x, y)) for y in sets]
