@@ -326,4 +326,4 @@ def test_overlaps_of_a_block_equal_plain_intersections():
         sets = [np.unique(np.concatenate([common[r.random(50) < 0.95], r.integers(0, 60, r.integers(1, 20), dtype=np.uint64)])) for _ in range(r.integers(1, 40))]
         o = jaccard.Overlaps(sets)
         for i, x in enumerate(sets):
-            assert o.of(i).tolist() == [len(np.intersect1d(x, y)) for y in sets]
+            assert np.delete(o.of(i), i).tolist() == [len(np.intersect1d(x, y)) for j, y in enumerate(sets) if j != i]
