@@ -93,6 +93,25 @@ def test_columns_with_clashing_names_and_very_long_texts(spark, docs, repeated):
     assert 102 not in got  # a near copy of 100
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_columns_of_any_type(spark, docs, repeated):
+    """Maps, structs, arrays and bytes go through all stages; exact repetitions are told by all of them."""
+    extra = {
+        "tags": F.create_map(F.lit("k"), F.col("doc_id").cast("string")), "none": F.lit(None).cast("map<string,array<int>>"), "raw": F.encode("lang", "UTF-8"),
+        "nested": F.struct(F.array(F.create_map(F.lit(1), F.lit(2.5))).alias("m"), "source"), "when": F.lit("2024-01-02").cast("date"),
+    }
+    own = docs.dropDuplicates(["doc_id"]).withColumns(extra)
+    if repeated:
+        own = own.union(own.where("doc_id IN (20, 54)")).union(own.where("doc_id = 20").withColumn("tags", F.create_map(F.lit("k"), F.lit("other"))).withColumn("text", F.lit("a text of its own")))
+    kept = own
+    for _, stage in pipeline.STAGES[:4]:
+        kept = stage(spark, kept, SF).cache()
+        assert kept.dtypes == own.dtypes
+    rows = kept.where("doc_id = 20").collect()
+    assert sorted(r["tags"]["k"] for r in rows) == (["20", "other"] if repeated else ["20"]) and kept.where("doc_id = 54").count() == 1
+    assert pipeline.pack_batches(spark, kept, SF).count() == kept.count()
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows)
