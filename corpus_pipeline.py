@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps of each group linked at 0.8 on five-word shingles the row of the least id, and every row that stands alone.
 
     Each row is decided alone: rows that repeat an id don't share a fate, and a null id counts as greater than all others.
-    Of exact repetitions with an id one stays.
+    Of exact repetitions with an id one stays, whatever types the columns have (rows are told apart by a digest).
     """
     ids = docs.select("doc_id")
     twice, state = counted(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
@@ -48,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         linked, state = counted(jaccard.link(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct())
         return lookup_join(docs, linked, "doc_id", "left_anti", state.rows).select(docs.columns)
     # Ids don't tell rows apart here: rows get keys, stored with them so that every later reading sees the same.
-    renamed, own = _aside(docs, "_key", "_first", "_group", "n")
+    renamed, own = _aside(docs, "_key", "_first", "_group", "n", "_same")
     rows = stored(renamed.withColumn("_key", F.monotonically_increasing_id()))
     linked = jaccard.link(rows, k=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
     placed = cut(rows.select("_key", "doc_id").join(linked, "_key"))
@@ -57,8 +57,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = cut(lookup_join(placed, groups, "_group").where("_key <> _first").select("_key"))
     kept = lookup_join(rows, gone, "_key", "left_anti")
     once = lookup_join(kept, twice, "doc_id", "left_anti", state.rows)
-    repeated = lookup_join(kept, twice, "doc_id", "left_semi", state.rows).select(own).dropDuplicates()
-    return once.select(own).union(repeated)
+    repeated = lookup_join(kept, twice, "doc_id", "left_semi", state.rows)
+    same = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in renamed.columns))), 256)
+    return once.select(own).union(repeated.withColumn("_same", same).dropDuplicates(["_same"]).select(own))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
