@@ -38,7 +38,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary=tokens.VOCABULARY)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

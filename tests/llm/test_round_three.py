@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terraquill.llm import bpe, jaccard, queries, runs, textkit, yinyang
+from terraquill.llm import bpe, jaccard, queries, runs, textkit, tokens, yinyang
 from terraquill.llm.runtime import table
 
 SF = "/root/testdata/sf0.001"
@@ -327,3 +327,34 @@ def test_overlaps_of_a_block_equal_plain_intersections():
         o = jaccard.Overlaps(sets)
         for i, x in enumerate(sets):
             assert np.delete(o.of(i), i).tolist() == [len(np.intersect1d(x, y)) for j, y in enumerate(sets) if j != i]
+
+
+# Packing by tokens
+
+
+def test_the_packing_query_by_tokens(spark):
+    """The query's rows: op1's token counts, the least padding of any bounds, batches within the budget, places without gaps."""
+    rows = queries.QUERIES["op8_packing"](spark, SF).collect()
+    docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    trie = tokens.Trie(tokens.read_vocabulary())
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: sum(trie.insert(w) for w in (t or "").split()) for i, t in docs.items()}
+    sizes = sorted(r["n_tokens"] for r in rows)
+    distinct = sorted(set(sizes))
+    count = [sizes.count(x) for x in distinct]
+    # The least padding by a plain programme over all bounds.
+    best = [[0] + [float("inf")] * len(distinct)]
+    for _ in range(16):
+        now = [0] + [float("inf")] * len(distinct)
+        for j in range(1, len(distinct) + 1):
+            pad = 0
+            for i in range(j, 0, -1):
+                pad += count[i - 1] * (distinct[j - 1] - distinct[i - 1])
+                now[j] = min(now[j], best[-1][i - 1] + pad)
+        best.append(now)
+    assert sum(r["padding"] for r in rows) == min(b[-1] for b in best[1:])
+    batches = {}
+    for r in rows:
+        assert r["padding"] == r["bucket_len"] - r["n_tokens"] >= 0
+        batches.setdefault((r["bucket"], r["batch"], r["bucket_len"]), []).append(r["place"])
+    for (_, _, most), places in batches.items():
+        assert sorted(places) == list(range(len(places))) and (len(places) * most <= 65536 or len(places) == 1)
