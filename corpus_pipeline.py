@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquill.llm import decontam, jaccard, langid, packing, pii
+from terraquill.llm import decontam, jaccard, langid, packing, pii, tokens
 from terraquill.llm.runtime import counted, cut, discard, lookup_join, new_folder, small_batches, stored, table
 
 
@@ -83,9 +83,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document: its bucket, batch, place and padding. Null and empty texts have 0 tokens; repeated rows have
-    places of their own."""
-    return packing.pack_documents(docs)
+    """One row per document: its tokens, bucket, batch, place and padding. Null and empty texts have 0 tokens; repeated rows
+    have places of their own."""
+    return packing.pack_documents(docs, vocabulary=tokens.VOCABULARY)
 
 
 STAGES = [
