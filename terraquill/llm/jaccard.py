@@ -15,8 +15,8 @@
    the shingles that differ, so their count bounds the overlap from above. Tiles carry the bitmaps only. Distinct pairs
    that pass get the exact intersection of the sorted arrays, streamed past the pair's lesser set. A tile joins its passing
    pairs at once; if the exact test then refuses one of them, what is still in several components in that tile is tested
-   again where the sets themselves lie together: tiles that share such sets become one block where they fit, so a set moves
-   once, and only links that join components come out, however many pairs there are just below the threshold. There exact
+   again where the sets themselves lie together (those that bitmaps let pass with any other): tiles that share such sets
+   become one block where they fit, so a set moves once, and only links that join components come out, however many pairs there are just below the threshold. There exact
    overlaps come from lists of who has (or, where most do, lacks) a shingle, so near-equal sets cost what differs.
 5. Links become components by star contraction. Only links that join components are kept; none is lost between them.
 
@@ -305,13 +305,12 @@ class Overlaps:
         return np.count_nonzero(dense) - self._listed(own[dense]) + self._listed(own[~dense])
 
 
-def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, exact: bool) -> Iterator[tuple[int, int]]:
-    """Links within one tile of rows (side, node, component, size, array or bitmap).
+def _passing(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, exact: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, bounds): by rows (side, node, component, size, array or bitmap) those of other components that may link,
+    with what bounds their overlap from above.
 
-    Side 0 is held against side 1, or, where there is a side 2 only, all against all. Pairs whose components are one, or are
-    joined by an earlier link of the tile, are skipped, so fewer links come out than the tile has rows.
+    Side 0 is held against side 1, or, where there is a side 2 only, all against all.
     """
-    forest = Forest()
     n = np.array([r[3] for r in rows])
     words = min(width_of(int(x)) for x in n) // 64
     bits = np.stack([bitmap(r[4], words * 64) if exact else folded(r[4], words) for r in rows])
@@ -331,25 +330,42 @@ def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int,
         least = -(-percent * (n[others] + a) // (100 + percent))
         bound = (n[others] + a - differ) // 2
         near = np.flatnonzero(bound >= least)
-        if overlaps and len(near):
-            bound = overlaps.of(i)[others]
+        if exact and len(near):
+            bound[near] = overlaps.of(i)[others[near]] if overlaps else [_overlap(row[4], rows[j][4]) for j in others[near]]
             near = near[bound[near] >= least[near]]
-        for j in others[near[np.argsort(-bound[near], kind="stable")]].tolist():
-            x, y = row[2], rows[j][2]
-            if forest.root(x) != forest.root(y) and (not exact or overlaps or _overlap(row[4], rows[j][4]) >= least_overlap(int(a), int(n[j]), percent)):
-                forest.join(x, y)
-                yield row[1], rows[j][1]
+        if len(near):
+            yield i, others[near], bound[near]
+
+
+def tile_links(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, exact: bool) -> Iterator[tuple[int, int]]:
+    """Pairs within one tile that link (exact) or may. Those whose components an earlier pair of the tile joins are skipped,
+    so fewer pairs come out than the tile has rows."""
+    forest = Forest()
+    for i, others, bound in _passing(rows, percent, exact):
+        for j in others[np.argsort(-bound, kind="stable")].tolist():
+            if forest.join(rows[i][2], rows[j][2]):
+                yield rows[i][1], rows[j][1]
+
+
+def tile_touched(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
+    """Each node of a tile that may link with one of another component, twice."""
+    hit = np.zeros(len(rows), bool)
+    for i, others, _ in _passing(rows, percent, False):
+        hit[i] = True
+        hit[others] = True
+    for i in np.flatnonzero(hit).tolist():
+        yield rows[i][1], rows[i][1]
 
 
-def _solve(placed: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Pairs (tile, u, v) found in tiles; placed: (t0, t1, t2, side, node, component, n, s)."""
+def _solve(placed: DataFrame, percent: int, exact: bool, touched: bool = False) -> DataFrame:
+    """Pairs (tile, u, v) found in tiles, or the nodes touched, twice; placed: (t0, t1, t2, side, node, component, n, s)."""
     t = ["t0", "t1", "t2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, held_bytes = None, [], 0
 
         def solved() -> Iterator[pa.RecordBatch]:
-            if found := list(tile_links(rows, percent, exact)) if len(rows) > 1 else []:
+            if found := [] if len(rows) < 2 else list(tile_touched(rows, percent) if touched else tile_links(rows, percent, exact)):
                 u, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(u), pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["tile", "u", "v"])
 
@@ -495,7 +511,10 @@ def link(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc
     pair = [F.least("u", "v").alias("hub"), F.greatest("u", "v").alias("node")]
     refused, state = counted(near.select("tile", *pair).join(links.select(*pair), ["hub", "node"], "left_anti").select("tile").distinct())
     if state.rows:
-        more, count = exact_links(_further_rows(_gathered(_open_rows(members, refused, reached)), ARRAYS))
+        rows = cut(_open_rows(members, refused, reached))
+        touched = _solve(_further_rows(rows).join(bits, "node"), percent, False, touched=True)
+        rows = cut(rows.join(touched.select("tile", F.col("u").alias("node")).distinct(), ["tile", "node"]))
+        more, count = exact_links(_further_rows(_gathered(rows), ARRAYS))
         reached = components(links.union(more.select("u", "v"))) if count else reached
     of = classes.join(reached, "node", "left").select("a", "b", F.coalesce("component", "node").alias("least"), "node", "rows").where("rows > 1 OR least <> node")
     of, state = counted(of.select("a", "b", "least"))

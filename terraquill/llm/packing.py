@@ -89,7 +89,7 @@ def pack(df: DataFrame, key: str, length: str, buckets: int = 16, budget: int =
     )
 
 
-def pack_documents(documents: DataFrame, buckets: int = 16, budget: int = 65536, vocabulary: str | None = None) -> DataFrame:
-    """`pack` of the documents by their white-space words, or by the tokens of a vocabulary file (see `tokens`)."""
-    counts = tokens.count(documents.select("doc_id", "text"), "text", vocabulary).drop("n_words") if vocabulary else lengths(documents, "doc_id", "text")
+def pack_documents(documents: DataFrame, buckets: int = 16, budget: int = 65536, vocabulary: str | None = None, nodes: int = tokens.NODES) -> DataFrame:
+    """`pack` of the documents by their white-space words, or by the tokens of a vocabulary file (see `tokens`, also for nodes)."""
+    counts = tokens.count(documents.select("doc_id", "text"), "text", vocabulary, nodes).drop("n_words") if vocabulary else lengths(documents, "doc_id", "text")
     return pack(counts, "doc_id", "n_tokens", buckets, budget)

@@ -69,7 +69,8 @@ def _bytes(c: str) -> int:
 class Trie:
     """Forward scores and token counts of shared prefixes. Nodes are numbers; 0 is the root."""
 
-    def __init__(self, vocabulary: dict[str, float]):
+    def __init__(self, vocabulary: dict[str, float], nodes: int = NODES):
+        self.nodes = nodes
         self.most = max(map(len, vocabulary), default=1)
         self.unknown = min(vocabulary.values(), default=0.0) - UNKNOWN
         #: Finds the pieces that end at each character of a word.
@@ -145,9 +146,9 @@ class Trie:
         return held[-1][1]
 
     def tokens(self, words: list[str]) -> int:
-        if len(self.score) > NODES:
+        if len(self.score) > self.nodes:
             self.clear()
-        if len(self.terminal) > NODES:
+        if len(self.terminal) > self.nodes:
             self.terminal = _Terminals(self.insert)
         return sum(map(self.terminal.__getitem__, words))
 
@@ -155,6 +156,7 @@ class Trie:
 class _Shared(NamedTuple):
     table: Broadcast
     id: str
+    nodes: int
 
     @property
     def value(self) -> dict[str, float]:
@@ -168,7 +170,7 @@ def _trie(shared: _Shared) -> Trie:
     """The worker's trie for a broadcast vocabulary; later tasks of the same worker go on with it."""
     if shared.id not in _kept:
         _kept.clear()
-        _kept[shared.id] = Trie(shared.value)
+        _kept[shared.id] = Trie(shared.value, shared.nodes)
     return _kept[shared.id]
 
 
@@ -181,9 +183,10 @@ def _blocks(text: str) -> Iterator[list[str]]:
         yield block
 
 
-def count(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """df without its text, with n_words and n_tokens (long)."""
-    shared = _Shared(df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary)), uuid.uuid4().hex)
+def count(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, nodes: int = NODES) -> DataFrame:
+    """df without its text, with n_words and n_tokens (long). nodes: the most that a worker's trie has; fewer take less memory
+    and more time."""
+    shared = _Shared(df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary)), uuid.uuid4().hex, nodes)
     kept = [c for c in df.columns if c not in (text, "n_words", "n_tokens")]
     fields = "".join(f"`{c}` {t}, " for c, t in df.dtypes if c in kept)
 
