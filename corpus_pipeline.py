@@ -85,7 +85,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document: its tokens, bucket, batch, place and padding. Null and empty texts have 0 tokens; repeated rows
     have places of their own."""
-    return packing.pack_documents(docs, vocabulary=tokens.VOCABULARY)
+    return packing.pack_documents(docs, vocabulary=tokens.VOCABULARY, nodes=200_000)  # by the memory that earlier stages leave
 
 
 STAGES = [
