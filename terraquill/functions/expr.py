@@ -120,8 +120,10 @@ def output_path(root: str, folder: str, name: Column, ending: str) -> Column:
     return F.concat(F.lit(f"{root}/{folder}/"), name, F.lit(ending))
 
 
-def class_prompt() -> Column:
-    return F.array_join(F.array(*map(F.lit, vocab.DETECT_CLASSES)), " . ")
+def class_prompt(labels: Column | None = None) -> Column:
+    """All classes, or those of `labels`, in the vocabulary's order."""
+    known = F.array(*map(F.lit, vocab.DETECT_CLASSES))
+    return F.array_join(known if labels is None else F.filter(known, lambda c: F.array_contains(labels, c)), " . ")
 
 
 def chat(image: Column, prompt: str) -> Column:

@@ -92,7 +92,7 @@ def png(image: np.ndarray) -> bytes:
     raw = b"".join(b"\0" + rows[i].tobytes() for i in range(h))
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     head = struct.pack(">IIBBBBB", w, h, 8, 2 if c >= 3 else 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
 
 
 def unpng(data: bytes) -> np.ndarray:
@@ -113,7 +113,7 @@ def array_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
 
 
 def apply(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Decoded rows with data, height, width and n_channels replaced by the kernel's result.
+    """Decoded rows with data, height, width and n_channels replaced by the kernel's result, one image at a time.
 
     An image that can't be decoded, or at which the kernel fails, stays as it is and gets its reason in `error`.
     """
@@ -121,15 +121,14 @@ def apply(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for r in pdf.itertuples(index=False):
                 try:
                     if r.height < 1:
                         raise ValueError("not an image")
                     out = np.ascontiguousarray(kernel(array_of(r.height, r.width, r.n_channels, r.data)))
-                    rows.append((r.origin, r.image_name, *out.shape, out.tobytes(), None))
+                    row = (r.origin, r.image_name, *out.shape, out.tobytes(), None)
                 except Exception as e:  # noqa: BLE001  a bad image must not end the job
-                    rows.append((r.origin, r.image_name, r.height, r.width, r.n_channels, r.data, str(e)))
-            yield pd.DataFrame(rows, columns=[*names, "error"])
+                    row = (r.origin, r.image_name, r.height, r.width, r.n_channels, r.data, str(e))
+                yield pd.DataFrame([row], columns=[*names, "error"])
 
     return images.select(*names).mapInPandas(run, "origin string, image_name string, height int, width int, n_channels int, data binary, error string")

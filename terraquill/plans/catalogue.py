@@ -15,7 +15,7 @@ from terraquill.operators import detect, evaluate, prompts, spatial, vocabulary
 from terraquill.operators.shared import shared_folder
 from terraquill.plans import pipeline
 from terraquill.sources import images
-from terraquill.sources.fixtures import captions, detections, table
+from terraquill.sources.fixtures import captions, detections, page_images, table
 from terraquill.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,7 +112,9 @@ def output_paths(spark, sf):
 
 @query
 def class_prompt(spark, sf):
-    return table(spark, sf, "region").agg(F.count(F.lit(1)).alias("n")).select(expr.class_prompt().alias("class_prompt"))
+    """The question of a detector that looks for the classes that are there, in the vocabulary's order."""
+    there = _sure(spark, sf).agg(F.collect_set("label").alias("labels"))
+    return there.select(expr.class_prompt(F.col("labels")).alias("class_prompt"))
 
 
 @query
@@ -383,77 +385,57 @@ def union_sources(spark, sf):
     return jpg.unionByName(png)
 
 
-# Images
-
-
-def sample_folder(spark: SparkSession) -> str:
-    """A folder with three small PNGs, a broken JPEG and a text file, written through Spark's file system."""
-    jvm = spark._jvm
-    folder = f"{shared_folder(spark)}/images"
-    y, x = np.mgrid[0:12, 0:16]
-    files = {
-        "flat.png": kernels.png(np.full((8, 8, 3), 90, np.uint8)),
-        "ramp.png": kernels.png(np.stack([x * 16, y * 20, x + y], axis=2).astype(np.uint8)),
-        "gray.png": kernels.png((x * 15)[..., None].astype(np.uint8)),
-        "broken.jpg": b"\\xff\\xd8 not an image",
-        "notes.txt": b"no image",
-    }
-    for name, data in files.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(data))
-        out.close()
-    return folder
+# Images: every row of `pages` as a file, its bytes as pixels
 
 
 @query
 def scan_images(spark, sf):
-    return images.scan(spark, sample_folder(spark)).select("image_name", "ext", "ord")
+    return images.scan(spark, page_images(spark, sf)).select("image_name", "ext", "ord")
 
 
 @query
 def decode_images(spark, sf):
-    return images.decode(spark, sample_folder(spark)).select("image_name", "height", "width", "n_channels", "mode")
+    return images.decode(spark, page_images(spark, sf)).select("image_name", "height", "width", "n_channels", "mode", F.sha2("data", 256).alias("pixels_sha256"))
 
 
-def _kernel(spark, kernel):
-    rows = kernels.apply(images.decode(spark, sample_folder(spark)), kernel)
+def _kernel(spark, sf, kernel):
+    rows = kernels.apply(images.decode(spark, page_images(spark, sf)), kernel)
     return rows.select("image_name", "height", "width", "n_channels", F.sha2("data", 256).alias("digest"), "error")
 
 
 @query
 def upscale(spark, sf):
-    return _kernel(spark, kernels.upscale)
+    return _kernel(spark, sf, kernels.upscale)
 
 
 @query
 def control_map(spark, sf):
-    return _kernel(spark, lambda x: kernels.resize(kernels.control_map(x), vocab.OUTPUT_SIZE, vocab.OUTPUT_SIZE))
+    return _kernel(spark, sf, lambda x: kernels.resize(kernels.control_map(x), vocab.OUTPUT_SIZE, vocab.OUTPUT_SIZE))
 
 
 @query
 def preprocess(spark, sf):
-    return _kernel(spark, lambda x: kernels.preprocess(x).view(np.uint8))
+    return _kernel(spark, sf, lambda x: kernels.preprocess(x).view(np.uint8))
 
 
 @query
 def pipeline_e2e(spark, sf):
-    rows = pipeline.run(spark, sample_folder(spark), shared_folder(spark))
+    rows = pipeline.run(spark, page_images(spark, sf), shared_folder(spark))
     return rows.select("image_name", "ok", "error", "prompt", F.col("metadata.output_caption").alias("output_caption"), F.col("metadata.output").alias("output"))
 
 
 @query
 def watch_images(spark, sf):
-    """The sample folder as a stream, taken once."""
+    """The folder of images as a stream, taken once."""
     own = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
-    watch.ingest(spark, sample_folder(spark), f"{own}/files", f"{own}/state").awaitTermination()
+    watch.ingest(spark, page_images(spark, sf), f"{own}/files", f"{own}/state").awaitTermination()
     return spark.read.parquet(f"{own}/files").select("image_name", "length")
 
 
 @query
 def benchmark_e2e(spark, sf):
-    """Each captioning model on the sample images, without the times, which differ from run to run."""
-    done = pipeline.benchmark(spark, sample_folder(spark), shared_folder(spark))
+    """Each captioning model on all images, without the times, which differ from run to run."""
+    done = pipeline.benchmark(spark, page_images(spark, sf), shared_folder(spark), limit=None)
     return done.seen.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_images"), F.sum(F.col("is_error").cast("long")).alias("n_errors"), F.sum("keyword_count").alias("keywords"), F.round(F.avg("overall"), 9).alias("avg_quality"))
 
 

@@ -76,6 +76,11 @@ _MODEL_JSON = ", ".join(f"{k} := {_q(v)}" for k, v in vocab.STAGE_MODELS.items()
 _PATH = "regexp_replace(url, '[?#].*$', '')"
 _FILE = f"list_extract(string_split({_PATH}, '/'), -1)"
 
+_IMAGES = """bytes AS (SELECT page_id, encode(coalesce(html, '')) AS data, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 3 END AS c FROM pages WHERE page_id IS NOT NULL),
+sized AS (SELECT *, (octet_length(data) + c - 1) // c AS n, octet_length(data) = 0 OR page_id % 16 = 3 AS broken FROM bytes),
+wide AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS w FROM sized),
+images AS (SELECT *, concat('page_', page_id) AS image_name, CASE WHEN NOT broken THEN (n + w - 1) // w END AS h FROM wide)"""
+
 ORACLE: dict[str, str] = {
     "caption_quality": f"WITH {CAP}, {QUALITY} SELECT image_id, word_count, number_count, round(length, 9) AS length, round(quantification, 9) AS quantification, round(spatial, 9) AS spatial, round(structures, 9) AS structures, round(overall, 9) AS overall FROM quality",
     "keyword_hits": f"WITH {CAP}, {QUALITY} SELECT image_id, keyword_count FROM quality",
@@ -88,7 +93,7 @@ ORACLE: dict[str, str] = {
     "caption_preview": f"WITH {CAP} SELECT image_id, caption[:70] || '...' AS first_70, caption[:100] || '...' AS first_100, caption[:150] || '...' AS first_150, caption[:200] || '...' AS first_200, length(caption) AS n_chars FROM cap",
     "error_captions": f"WITH {CAP} SELECT image_id, '[Generation failed: ' || caption[:50] || ']' AS failed, 'ERROR: ' || caption AS error FROM cap WHERE is_error",
     "output_paths": f"WITH {CAP} SELECT image_id, concat('outputs/images/image_', image_id, '_upscaled.png') AS upscaled, concat('outputs/images/image_', image_id, '_generated.png') AS generated, concat('outputs/images/image_', image_id, '_generated_control.png') AS control, concat('outputs/metadata/image_', image_id, '.json') AS metadata FROM cap",
-    "class_prompt": f"SELECT array_to_string({CLS}, ' . ') AS class_prompt",
+    "class_prompt": f"WITH {DET}, there AS (SELECT list(DISTINCT label) AS labels FROM sure) SELECT array_to_string(list_filter({CLS}, lambda c: list_contains(labels, c)), ' . ') AS class_prompt FROM there",
     "assistant_reply": "WITH r AS (SELECT conv_id, string_agg(concat_ws(' ', role, text), ' ' ORDER BY turn, concat_ws(' ', role, text)) AS response FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN contains(lower(response), 'assistant') THEN regexp_replace(list_extract(string_split(response, 'assistant'), -1), '^\\s+|\\s+$', '', 'g') ELSE response END AS reply FROM r",
     "image_name": f"SELECT page_id, {_FILE} AS file_name, CASE WHEN regexp_matches({_FILE}, '.\\.[^.]*$') THEN regexp_replace({_FILE}, '\\.[^.]*$', '') ELSE {_FILE} END AS image_name FROM pages",
     "chat_messages": "SELECT doc_id AS image_id, 2::BIGINT AS n_parts, 'user' AS role, concat('image_', doc_id, '.png') AS image, 'Describe this aerial image.' AS text FROM documents",
@@ -131,4 +136,7 @@ ORACLE: dict[str, str] = {
     "number_format": "SELECT l_orderkey, l_linenumber, printf('%.1f', l_quantity) AS one, printf('%.2f', l_quantity / 4 + 0.001::DOUBLE) AS two, l_partkey::DOUBLE AS gib FROM lineitem",
     "token_trim": """WITH ids AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS said FROM documents)
 SELECT doc_id, array_to_string(said[4:], ',') AS said, least(len(said), 3)::BIGINT AS first, doc_id AS last FROM ids""",
+    "scan_images": f"WITH {_IMAGES} SELECT image_name, CASE WHEN broken THEN 'jpg' ELSE 'png' END AS ext, CASE WHEN broken THEN 0 ELSE 1 END AS ord FROM images",
+    "decode_images": f"""WITH {_IMAGES} SELECT image_name, CASE WHEN broken THEN -1 ELSE h END::INTEGER AS height, CASE WHEN broken THEN -1 ELSE w END::INTEGER AS width, CASE WHEN broken THEN -1 ELSE c END::INTEGER AS n_channels,
+ CASE WHEN broken THEN -1 WHEN c = 1 THEN 0 ELSE 16 END AS mode, sha256(CASE WHEN broken THEN ''::BLOB ELSE data || repeat('\\x00'::BLOB, h * w * c - octet_length(data)) END) AS pixels_sha256 FROM images""",
 }

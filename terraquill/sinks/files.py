@@ -35,6 +35,11 @@ def put(path: str, data: bytes) -> None:
     system.move(own, at)
 
 
+def there(path: str) -> bool:
+    system, at = _at(path)
+    return system.get_file_info(at).type != fs.FileType.NotFound
+
+
 def _at(path: str) -> tuple[fs.FileSystem, str]:
     local = re.sub(r"^file:/+", "/", path)
     return fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)

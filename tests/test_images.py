@@ -5,6 +5,7 @@ import math
 import time
 from collections import Counter
 from datetime import datetime
+from hashlib import sha256
 
 import numpy as np
 import pytest
@@ -14,9 +15,9 @@ import terraquill.__main__ as command
 from terraquill import config, providers, vocab
 from terraquill.functions import expr, kernels
 from terraquill.operators import detect, spatial
-from terraquill.plans import pipeline
+from terraquill.plans import catalogue, pipeline
 from terraquill.sinks import files
-from terraquill.sources import images
+from terraquill.sources import fixtures, images
 from terraquill.streaming import watch
 
 RNG = np.random.default_rng(3)
@@ -335,3 +336,21 @@ def test_detections_against_plain_python(spark):
                 grid.setdefault(vocab.POSITIONS[min(2, int(r[5] / 20)) * 3 + min(2, int(r[4] / 30))], Counter())[r[2]] += 1
         parts = [(f"{c} in {p}" if n == 1 else f"{n} {c}s in {p}") if len(x) == 1 and (c := next(iter(x))) and (n := x[c]) else ", ".join(f"{n} {c}{'s' * (n > 1)}" for c, n in x.items()) + f" in {p}" for p, x in list(grid.items())[:5]]
         assert places.get(i) == ("; ".join(parts) if parts else None)
+
+
+def test_images_of_pages(spark, tmp_path):
+    """Bytes become pixels of the named layout, kernels' queries say what the kernels give, odd pages are no images."""
+    rows = [(0, "abcde"), (1, "abcdefgh"), (2, ""), (3, "never"), (4, None), (5, "ü" * 40), (None, "x"), (6, "z")]
+    spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["image_name"]: r for r in catalogue.decode_images(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [f"page_{i}" for i in range(7)]
+    assert [got[f"page_{i}"]["height"] for i in range(7)] == [2, 2, -1, -1, -1, 5, 1]
+    assert (got["page_0"]["width"], got["page_0"]["n_channels"], got["page_1"]["width"], got["page_1"]["n_channels"]) == (3, 1, 2, 3)
+    assert got["page_1"]["pixels_sha256"] == sha256(b"abcdefgh" + b"\0" * 4).hexdigest()
+    big = {r["image_name"]: r for r in catalogue.upscale(spark, str(tmp_path)).collect()}
+    for i, html in rows:
+        if i is not None and (image := fixtures.page_pixels(i, html)) is not None:
+            want = kernels.upscale(image)
+            assert big[f"page_{i}"]["digest"] == sha256(want.tobytes()).hexdigest() and big[f"page_{i}"]["error"] is None
+    assert big["page_3"]["error"] == "not an image"
+    assert fixtures.page_images(spark, str(tmp_path)) == fixtures.page_images(spark, str(tmp_path))
