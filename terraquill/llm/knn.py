@@ -4,6 +4,8 @@
    query's k best, so no more of them are dealt out, however many there are.
 2. Pivots, a hashed sample of the vectors, cut the space into cells; queries and data go to their nearest pivot's. Data
    keep r = |x - pivot|.
+   Vectors keep their own length; inside a task those of like length are multiplied together, so a few very long ones make
+   nothing else longer. Vectors above LONGEST bytes are no pivots and not in the sample.
 3. A sample of the data gives each query q a floor t: its k-th best score there, which the true one can't be below; where
    queries are solved, it also holds back all lower scores from the first batch on. As
    q x = q p + q (x - p) <= q p + |q| r, and q x <= |q| |x|, a vector of cell j can matter to a query of cell i only if
@@ -43,10 +45,13 @@ from terraquill.llm.runtime import counted, cut, tidy
 
 QUERIES, SHARD_ROWS, LEAST_ROWS, SAMPLE, SCALE, JOINED = 4096, 500_000, 4096, 2048, 64, 0.8
 _BATCH = 2048
+#: Bytes of a vector of the sample, which is held whole; numbers of a matrix; bytes of data that wait to be multiplied.
+LONGEST, NUMBERS, WAITING = 1 << 15, 1 << 22, 1 << 25
 
 
-def _integers(vectors: DataFrame, width: int) -> DataFrame:
-    """(vec_id, v): integer components, little-endian, 2, 4 or 8 bytes each as the largest needs (the first byte tells)."""
+def _integers(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v): integer components, little-endian, 2, 4 or 8 bytes each as the largest needs (the first byte tells), without
+    zeros at the end, but for one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,25 +64,62 @@ def _integers(vectors: DataFrame, width: int) -> DataFrame:
                 if not top < 1 << 63:
                     continue
                 kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
-                n = np.zeros(width, kind)
-                n[: len(x)] = x.astype(kind)
+                last = np.flatnonzero(x)
+                n = x[: last[-1] + 1 if len(last) else 1].astype(kind)
                 ids.append(i), held.append(bytes([n.itemsize]) + n.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], ["vec_id", "v"])
 
     return vectors.mapInArrow(tidy(run), "vec_id long, v binary")
 
 
-def matrix(held: list[bytes], width: int) -> np.ndarray:
-    """int64 rows."""
-    kinds = {len(v) for v in held}
-    if len(kinds) == 1 and held:
-        size = held[0][0]
-        return np.frombuffer(b"".join(v[1:] for v in held), f"<i{size}").reshape(len(held), width).astype(np.int64)
-    return np.stack([np.frombuffer(v, f"<i{v[0]}", offset=1).astype(np.int64) for v in held]) if held else np.zeros((0, width), np.int64)
+def matrix(held: list[bytes]) -> np.ndarray:
+    """int64 rows, as long as the longest."""
+    width = max(((len(v) - 1) // v[0] for v in held), default=0)
+    if len(kinds := {v[0] for v in held}) == 1:
+        size = kinds.pop()
+        return np.frombuffer(b"".join(v[1:].ljust(width * size, b"\0") for v in held), f"<i{size}").reshape(len(held), width).astype(np.int64)
+    out = np.zeros((len(held), width), np.int64)
+    for row, v in zip(out, held):
+        row[: (len(v) - 1) // v[0]] = np.frombuffer(v, f"<i{v[0]}", offset=1)
+    return out
+
+
+def grouped(held: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, rows): matrices of at most _BATCH vectors of like length, none more than twice as long as another."""
+    size = np.array([(len(v) - 1) // v[0] for v in held], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, at = size[order], 0
+    while at < len(order):
+        end = min(at + _BATCH, int(np.searchsorted(size, 2 * size[at], "right")))
+        end = min(end, at + max(1, NUMBERS // int(size[end - 1])))
+        yield order[at:end], matrix([held[i] for i in order[at:end]])
+        at = end
+
+
+class Rows:
+    """Vectors of any lengths, as (places, rows) of like length."""
+
+    def __init__(self, groups: list[tuple[np.ndarray, np.ndarray]]):
+        self.groups, self.n = groups, sum(len(places) for places, _ in groups)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Exact inner products of all vectors with the rows of x, (vectors, rows)."""
+        out = np.empty((self.n, len(x)), np.int64)
+        for places, rows in self.groups:
+            out[places] = products(rows, x)
+        return out
+
+
+def _inner(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Inner products of float rows; shorter rows have zeros at their end."""
+    w = min(x.shape[1], p.shape[1])
+    return x[:, :w] @ p[:, :w].T
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of int64 rows."""
+    """Exact inner products of int64 rows; shorter rows have zeros at their end."""
+    width = min(q.shape[1], x.shape[1])
+    q, x = q[:, :width], x[:, :width]
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)), np.int64)
     most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * q.shape[1]
@@ -104,9 +146,9 @@ class Cells:
         slack = 1e-9 * (1 + size + r)
         return ((r + slack)[:, None] >= self.reach[:, cell].T) & ((size + slack)[:, None] >= self.long[None, :])
 
-    def merge(self, sample: np.ndarray, counts: np.ndarray) -> None:
+    def merge(self, sample: Rows, counts: np.ndarray) -> None:
         """Groups of cells with queries, and how many blocks of queries each has."""
-        want = self.wanted(sample)
+        want = np.concatenate([np.zeros((0, len(self.p)), bool), *(self.wanted(rows) for _, rows in sample.groups)])
         groups = [[[int(i)], want[:, i], int(counts[i])] for i in np.flatnonzero(counts)]
         while len(groups) > 1:
             best = None
@@ -128,23 +170,24 @@ class Cells:
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = x.astype(np.float64)
-        cell = (self.square - 2 * (x @ self.p.T)).argmin(axis=1)
-        return cell, np.sqrt(np.square(x - self.p[cell]).sum(axis=1))
+        cell, w = (self.square - 2 * _inner(x, self.p)).argmin(axis=1), min(x.shape[1], self.p.shape[1])
+        own = self.p[cell]
+        return cell, np.sqrt(np.square(x[:, :w] - own[:, :w]).sum(axis=1) + np.square(x[:, w:]).sum(axis=1) + np.square(own[:, w:]).sum(axis=1))
 
 
 _NONE = np.iinfo(np.int64).min
 
 
-def _floors(q: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+def _floors(q: np.ndarray, ids: np.ndarray, sample: Rows, sample_ids: np.ndarray, k: int) -> np.ndarray:
     """Of each query the k-th best score in the sample, which its k-th best of all is not below."""
     if len(sample_ids) < k:
         return np.full(len(q), _NONE)
-    s = products(q, sample)
+    s = sample.scores(q).T
     s[ids[:, None] == sample_ids[None, :]] = _NONE
     return np.partition(s, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k]
 
 
-def _summaries(queries: DataFrame, cells: Cells, sample: tuple, width: int, k: int) -> list:
+def _summaries(queries: DataFrame, cells: Cells, sample: tuple, k: int) -> list:
     shared = queries.sparkSession.sparkContext.broadcast((cells, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +195,15 @@ def _summaries(queries: DataFrame, cells: Cells, sample: tuple, width: int, k: i
         n = len(cells.p)
         reach, long, count = np.full((n, n), np.inf), np.full(n, np.inf), np.zeros(n, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), _BATCH):
-                part = batch.slice(at, _BATCH)
-                q = matrix(part.column(1).to_pylist(), width)
+            ids = batch.column(0).to_numpy()
+            for places, q in grouped(batch.column(1).to_pylist()):
                 cell, _ = cells.nearest(q)
-                t = _floors(q, part.column(0).to_numpy(), x_s, ids_s, k)
+                t = _floors(q, ids[places], x_s, ids_s, k)
                 t = np.where(t == _NONE, -np.inf, t.astype(np.float64))
                 size = np.sqrt(np.square(q.astype(np.float64)).sum(axis=1))
                 zero = size == 0
                 size[zero] = 1
-                near = (t[:, None] - q.astype(np.float64) @ cells.p.T) / size[:, None]
+                near = (t[:, None] - _inner(q.astype(np.float64), cells.p)) / size[:, None]
                 far = t / size
                 near[zero], far[zero] = -np.inf, -np.inf
                 np.minimum.at(reach, cell, near)
@@ -175,17 +217,16 @@ def _summaries(queries: DataFrame, cells: Cells, sample: tuple, width: int, k: i
     return made.groupBy("i", "j").agg(F.min("reach"), F.min("long"), F.sum("count")).collect()
 
 
-def _dealt(df: DataFrame, cells: Cells, width: int, kind: int, shards: int) -> DataFrame:
+def _dealt(df: DataFrame, cells: Cells, kind: int, shards: int) -> DataFrame:
     """(i, b, s, kind, vec_id, v): queries to their group's block in every shard, data to the groups that may need them."""
     shared = df.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
         for batch in batches:
-            for at in range(0, len(batch), _BATCH):
-                part = batch.slice(at, _BATCH)
-                held = part.column(1).to_pylist()
-                x, ids = matrix(held, width), part.column(0).to_numpy()
+            every = batch.column(0).to_numpy()
+            for places, x in grouped(batch.column(1).to_pylist()):
+                ids = every[places]
                 if kind == 0:
                     row = np.repeat(np.arange(len(ids)), shards)
                     i, s = cells.group[cells.nearest(x)[0]][row], np.tile(np.arange(shards), len(ids))
@@ -198,7 +239,7 @@ def _dealt(df: DataFrame, cells: Cells, width: int, kind: int, shards: int) -> D
                     row, i = np.repeat(row, times), np.repeat(i, times)
                     s = ids[row] % shards
                 if len(row):
-                    v = part.column(1).take(pa.array(row))
+                    v = batch.column(1).take(pa.array(places[row]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (i, b, s, np.full(len(row), kind), ids[row])] + [v], ["i", "b", "s", "kind", "vec_id", "v"])
 
     return df.mapInArrow(tidy(run), "i long, b long, s long, kind long, vec_id long, v binary")
@@ -212,12 +253,12 @@ def _names(held: list[bytes]) -> np.ndarray:
 class _Best:
     """The k best (score, id) of a block of queries. least: of each, a score that its k-th best is not below."""
 
-    def __init__(self, ids: np.ndarray, names: np.ndarray, q: np.ndarray, k: int, least: np.ndarray):
+    def __init__(self, ids: np.ndarray, names: np.ndarray, q: Rows, k: int, least: np.ndarray):
         self.ids, self.names, self.q, self.k, self.least = ids, names, q, k, least
         self.row = self.score = self.who = np.zeros(0, np.int64)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        s = products(self.q, x)
+        s = self.q.scores(x)
         row, new = np.nonzero((s >= self.least[:, None]) & (self.ids[:, None] != ids[None, :]))
         row, score, who = np.concatenate([self.row, row]), np.concatenate([self.score, s[row, new]]), np.concatenate([self.who, ids[new]])
         order = np.lexsort((who, ~score, row))
@@ -228,22 +269,25 @@ class _Best:
         self.row, self.score, self.who = row[kept], score[kept], who[kept]
 
 
-def _solve(dealt: DataFrame, sample: tuple, width: int, k: int) -> DataFrame:
+def _solve(dealt: DataFrame, sample: tuple, k: int) -> DataFrame:
     shared = dealt.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, best, ids, held, queries = None, None, [], [], True
+        key, best, ids, held, queries, waiting = None, None, [], [], True, 0
 
         def flush() -> None:
-            nonlocal best, ids, held
+            nonlocal best, ids, held, waiting
             if held:
-                x, n = matrix(held, width), np.array(ids, np.int64)
+                n, (ids_s, x_s) = np.array(ids, np.int64), shared.value
                 if queries:
-                    least = [_floors(x[at : at + _BATCH], n[at : at + _BATCH], shared.value[1], shared.value[0], k) for at in range(0, len(n), _BATCH)]
-                    best = _Best(n, _names(held), x, k, np.concatenate(least))
+                    q, least = Rows(list(grouped(held))), np.empty(len(n), np.int64)
+                    for places, x in q.groups:
+                        least[places] = _floors(x, n[places], x_s, ids_s, k)
+                    best = _Best(n, _names(held), q, k, least)
                 elif best is not None:
-                    best.add(n, x)
-            ids, held = [], []
+                    for places, x in grouped(held):
+                        best.add(n[places], x)
+            ids, held, waiting = [], [], 0
 
         def done() -> Iterator[pa.RecordBatch]:
             flush()
@@ -260,7 +304,8 @@ def _solve(dealt: DataFrame, sample: tuple, width: int, k: int) -> DataFrame:
                     flush()
                     queries = False
                 ids.append(i), held.append(v)
-                if not queries and len(held) >= _BATCH:
+                waiting += len(v)
+                if not queries and (len(held) >= _BATCH or waiting >= WAITING):
                     flush()
         yield from done()
 
@@ -272,29 +317,28 @@ def _solve(dealt: DataFrame, sample: tuple, width: int, k: int) -> DataFrame:
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, cells: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by `every`."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
-    width = max(width, 1)
-    vectors = cut(_integers(rows, width).distinct())
+    vectors = cut(_integers(rows).distinct())
     first, each = W.partitionBy("v", "_part").orderBy("vec_id"), W.partitionBy("v").orderBy("vec_id")
     salted = vectors.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
     data, state = counted(salted.withColumn("_n", F.row_number().over(each)).where(F.col("_n") <= k + 1).select("vec_id", "v"))
     queries = vectors.where(F.col("vec_id") % every == 0)
     n = state.rows
     cells = cells or max(1, min(128, int(math.sqrt(n) / 12)))
-    picked = data.withColumn("_h", F.xxhash64("v", "vec_id")).orderBy("_h", "vec_id").limit(SAMPLE).collect()
-    x = matrix([bytes(r["v"]) for r in picked], width)
-    known = Cells(np.unique(x, axis=0)[:: max(1, len(x) // cells)][:cells] if len(x) else np.zeros((1, width), np.int64))
+    picked = data.where(F.length("v") <= LONGEST).withColumn("_h", F.xxhash64("v", "vec_id")).orderBy("_h", "vec_id").limit(SAMPLE).collect()
+    held = [bytes(r["v"]) for r in picked]
+    x, distinct = Rows(list(grouped(held))), sorted(set(held))
+    known = Cells(matrix(distinct[:: max(1, len(held) // cells)][:cells]) if held else np.zeros((1, 1), np.int64))
     shape = len(known.p)
     known.reach, known.long, counts = np.full((shape, shape), np.inf), np.full(shape, np.inf), np.zeros(shape, np.int64)
     sample = np.array([r["vec_id"] for r in picked], np.int64), x
-    for i, j, reach, long, count in _summaries(queries, known, sample, width, k):
+    for i, j, reach, long, count in _summaries(queries, known, sample, k):
         known.reach[i, j], known.long[i], counts[i] = reach, long, count
     known.reach -= 1e-7 * (1 + np.abs(np.nan_to_num(known.reach, posinf=0, neginf=0)))
     known.long -= 1e-7 * (1 + np.abs(np.nan_to_num(known.long, posinf=0, neginf=0)))
     known.merge(x, counts)
     spread = min(2 * embeddings.sparkSession.sparkContext.defaultParallelism / max(1, int(known.blocks.sum())), n / LEAST_ROWS)
     shards = max(1, math.ceil(spread), -(-n // SHARD_ROWS))
-    found = _solve(_dealt(queries, known, width, 0, shards).union(_dealt(data, known, width, 1, shards)), sample, width, k)
+    found = _solve(_dealt(queries, known, 0, shards).union(_dealt(data, known, 1, shards)), sample, k)
     order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -429,6 +429,31 @@ def test_top_k_where_integers_are_long(spark):
     assert got == [(1, 2**63 - 1), (3, 2**62 + 64 * 448), (2, -(2**63))]
 
 
+@pytest.mark.parametrize("longest", [knn.LONGEST, 300])
+def test_top_k_of_vectors_of_very_different_lengths(spark, monkeypatch, longest):
+    """Lengths from 1 to 20,000, some with zeros at their end; where long ones are left out of the sample, rows are the same."""
+    monkeypatch.setattr(knn, "LONGEST", longest)
+    rng = np.random.default_rng(6)
+    lengths = [*rng.integers(1, 40, 200), *rng.integers(100, 900, 30), 5000, 20_000, 20_000]
+    rows = [(i, rng.normal(0, 1, n).round(1).tolist() + [0.0] * (i % 3 * 7)) for i, n in enumerate(lengths)] + [(231 + i, [0.0] * i) for i in (9, 29)]
+    whole = np.zeros((len(rows), 20_100), np.int64)
+    for r, (_, v) in enumerate(rows):
+        whole[r, : len(v)] = np.floor(np.array(v) * 64)
+    want, ids = [], [i for i, _ in rows]
+    for r, q in enumerate(ids):
+        if q % 20 == 0:
+            s = sorted((-int(x), i) for x, i in zip(whole @ whole[r], ids) if i != q)[:20]
+            want += [(q, n, i, -x) for n, (x, i) in enumerate(s, 1)]
+    got = sorted(tuple(r) for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cells=7).collect())
+    assert got == sorted(want)
+
+
+def test_a_long_vector_makes_no_other_longer(spark):
+    held = [bytes([2]) + np.arange(1, 65, dtype="<i2").tobytes()] * 5000 + [bytes([2]) + np.ones(20_000, "<i2").tobytes()]
+    groups = list(knn.grouped(held))
+    assert sorted(i for places, _ in groups for i in places) == list(range(5001)) and sum(x.size for _, x in groups) == 5000 * 64 + 20_000
+
+
 def test_cells_are_grouped_by_what_they_need(spark):
     """Queries of far clusters stay apart and are sent little; queries that need everything become one group."""
     rng = np.random.default_rng(2)
@@ -438,14 +463,15 @@ def test_cells_are_grouped_by_what_they_need(spark):
         x = np.floor(64 * data).astype(np.int64)
         cells = knn.Cells(np.unique(x[:16], axis=0))
         q = x[::20]
-        t = knn._floors(q, np.arange(0, 4000, 20), x[:1000], np.arange(1000), 20)
+        sample = knn.Rows([(np.arange(1000), x[:1000])])
+        t = knn._floors(q, np.arange(0, 4000, 20), sample, np.arange(1000), 20)
         cell, _ = cells.nearest(q)
         n = len(cells.p)
         cells.reach, cells.long = np.full((n, n), np.inf), np.full(n, np.inf)
         size = np.sqrt(np.square(q.astype(float)).sum(axis=1))
         np.minimum.at(cells.reach, cell, (t[:, None] - q.astype(float) @ cells.p.T) / size[:, None])
         np.minimum.at(cells.long, cell, t / size)
-        cells.merge(x[:1000], np.bincount(cell, minlength=n))
+        cells.merge(sample, np.bincount(cell, minlength=n))
         want = cells.wanted(x)
         sent = sum(want[:, cells.group == g].any(axis=1).sum() for g in range(len(cells.blocks))) / len(x)
         assert sent <= most * (len(cells.blocks) if spread < 1 else 1)
