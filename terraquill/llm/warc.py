@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from terraquill.llm.runtime import counted, lookup_join, new_folder, stored, tidy
 
@@ -304,22 +305,34 @@ def merged(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", range_no int, range_pos long")
 
 
+def numbered(index: DataFrame) -> DataFrame:
+    """The merged index with capture_no, the place of a capture among all: what lies before its range, and range_pos."""
+    before = F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))
+    # A row for each range, of RANGE_ROWS rows each: few, whatever the input.
+    ranges = index.groupBy("range_no").agg(F.count(F.lit(1)).alias("n")).select("range_no", F.coalesce(before, F.lit(0)).alias("_before"))
+    return index.join(F.broadcast(ranges), "range_no").withColumn("capture_no", F.col("_before") + F.col("range_pos")).drop("_before")
+
+
 def archive(pages: DataFrame, least: int = 0, range_rows: int = RANGE_ROWS, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes pages as WARC files in the shared folder, reads them back, and returns a row per record in global order."""
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     seconds = F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31)).alias("seconds")
     write(pages.select("page_id", "url", "html", seconds), path, least, file_bytes=file_bytes)
-    index = merged(stored(read(spark, path)), range_rows)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "seconds", "file", "offset", "length", "range_no", "range_pos")
+    index = numbered(stored(merged(stored(read(spark, path)), range_rows)))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "seconds", "file", "offset", "length", "range_no", "range_pos", "capture_no")
 
 
-#: For op5 with least = 0, on tables without repeated or null ids. The digest's hex digits become bits, and five bits a character.
+#: For op5 with least = 0, on tables without repeated or null ids, and URLs with scheme and host, without user or port. The
+#: digest's hex digits become bits, and five bits a character.
 ORACLE_SQL = """
-WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+WITH urls AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\\.', '') AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
+keys AS (SELECT page_id, page_id & 2147483647 AS seconds, lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END) AS url_key FROM urls),
+captures AS (SELECT *, row_number() OVER (ORDER BY url_key, seconds, page_id) - 1 AS capture_no FROM keys),
+payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
 bits AS (SELECT page_id, octet_length(p) AS payload_bytes, p, array_to_string(list_transform(string_split(sha1(p), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS b FROM payloads),
 firsts AS (SELECT *, min(page_id) OVER (PARTITION BY p) AS first FROM bits)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(b[5 * i + 1] AS INTEGER) + 8 * CAST(b[5 * i + 2] AS INTEGER) + 4 * CAST(b[5 * i + 3] AS INTEGER) + 2 * CAST(b[5 * i + 4] AS INTEGER) + CAST(b[5 * i + 5] AS INTEGER), 1)), '') AS payload_digest,
-CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url_key, seconds, capture_no FROM firsts JOIN captures USING (page_id)
 """

@@ -361,6 +361,7 @@ def test_warc_files_follow_all_records(spark):
         assert {r["refers_to"] for r in rows} == {None, 0} and {r["payload_bytes"] for r in rows} == {size}
         keys = [(r["url_key"], r["seconds"], r["page_id"]) for r in rows]
         assert keys == sorted(keys) and len({r["file"] for r in rows}) >= 12
+        assert [r["capture_no"] for r in rows] == list(range(n))
         assert max(Counter(r["range_no"] for r in rows).values()) < 9000
 
 
