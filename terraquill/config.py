@@ -17,7 +17,7 @@ class Config:
     input_dir: str = _env("INPUT_DIR", "datasets/rsicd_images")
     output_dir: str = _env("OUTPUT_DIR", "outputs/pipeline_results")
     benchmark_dir: str = "outputs/vlm_benchmark"
-    #: Handed to providers' backends; nothing here loads weights.
+    #: The folder of weights, for `providers.with_cache`; the backends here keep none.
     cache_dir: str = _env("HF_CACHE_DIR", "./hf_cache")
     max_images: int = 1
     test_images: int = 5

@@ -34,6 +34,8 @@ from terraquill.sources import images
 
 @dataclass(frozen=True)
 class Models:
+    """What makes the models of a run; a provider that is given a cache folder hands it to its backend."""
+
     captioner: Callable[[], Provider] = providers.Captioner
     detector: Callable[[], Provider] = providers.Detector
     localizer: Callable[[], Provider] = providers.Localizer
@@ -46,10 +48,19 @@ def metadata(source: Column, output: Column, caption: Column, prompt: Column) ->
     return F.struct(source.alias("source"), output.alias("output"), caption.alias("output_caption"), prompt.alias("generation_prompt"), models.alias("models"))
 
 
-def _caption(captioner: Provider, image: np.ndarray) -> tuple[str | None, str | None]:
-    """The caption, null only if the captioner failed, and why."""
-    ((got, error),) = providers.ask(captioner, [{"image": image}])
-    return (got.get("caption") or "", None) if error is None else (None, error)
+#: Images that a model gets at once; so many are held, enlarged, in a task.
+TOGETHER = 8
+
+
+def _captions(captioner: Provider, pictures: list[np.ndarray]) -> list[tuple[str | None, str | None]]:
+    """Captions, null only where the captioner failed, and why."""
+    return [(got.get("caption") or "", None) if why is None else (None, why) for got, why in providers.ask(captioner, [{"image": x} for x in pictures])]
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+    for pdf in batches:
+        for at in range(0, len(pdf), TOGETHER):
+            yield list(pdf.iloc[at : at + TOGETHER].itertuples(index=False))
 
 
 _FOUND = "origin string, image_name string, img_h int, img_w int, caption string, det array<struct<det_idx:int,label:string,score:double,center_x:int,center_y:int,area:long>>, control binary, error string, notes array<string>"
@@ -59,33 +70,49 @@ def annotate(decoded: DataFrame, models: Models = Models(), root: str | None = N
     """A row for each decoded row: size after enlarging, caption (null if it failed), confident detections with what the
     localizer found of them, the control image as PNG, a reason where the image fails, and notes on what failed else."""
 
-    def seen(r, captioner: Provider, detector: Provider, localizer: Provider) -> tuple:
-        notes = []
-        if r.height < 1:
-            return (r.origin, r.image_name, None, None, None, [], None, "not an image", notes)
+    def enlarged(r, notes: list[str]) -> np.ndarray:
+        image = kernels.array_of(r.height, r.width, r.n_channels, r.data)
         try:
-            image = kernels.array_of(r.height, r.width, r.n_channels, r.data)
+            big = models.upscale(image)
+        except Exception as e:  # noqa: BLE001
+            big = image
+            notes.append(f"upscale: {e}")
+        if root:
+            files.put(f"{root}/images/{r.image_name}_upscaled.png", kernels.png(big))
+        return big
+
+    def seen(rows: list, captioner: Provider, detector: Provider, localizer: Provider) -> list[tuple]:
+        notes, big, sure, lost = [[] for _ in rows], {}, {}, {}
+        for i, r in enumerate(rows):
             try:
-                big = models.upscale(image)
+                if r.height < 1:
+                    raise ValueError("not an image")
+                big[i] = enlarged(r, notes[i])
+            except Exception as e:  # noqa: BLE001  a bad image must not end the job
+                lost[i] = str(e) or type(e).__name__
+        captions = dict(zip(big, _captions(captioner, list(big.values()))))
+        found = dict(zip(big, providers.ask(detector, [{"image": x} for x in big.values()])))
+        for i, (got, _) in found.items():
+            try:
+                sure[i] = [x for x in zip(got.get("boxes", []), got.get("scores", []), got.get("labels", [])) if x[1] >= vocab.SCORE_LEAST]
             except Exception as e:  # noqa: BLE001
-                big = image
-                notes.append(f"upscale: {e}")
-            if root:
-                files.put(f"{root}/images/{r.image_name}_upscaled.png", kernels.png(big))
-            caption, why = _caption(captioner, big)
-            notes += [f"caption: {why}"] * (why is not None)
-            ((got, why),) = providers.ask(detector, [{"image": big}])
-            notes += [f"detect: {why}"] * (why is not None)
-            sure = [x for x in zip(got.get("boxes", []), got.get("scores", []), got.get("labels", [])) if x[1] >= vocab.SCORE_LEAST]
-            ((got, why),) = providers.ask(localizer, [{"image": big, "boxes": [b for b, *_ in sure]}])
-            notes += [f"locate: {why}"] * (why is not None)
-            where = {i: g for i, *g in got.get("locations", [])}
-            det = [(i, label, float(score), *where.get(i, (None, None, None))) for i, (_, score, label) in enumerate(sure)]
-            names = ("det_idx", "label", "score", "center_x", "center_y", "area")
-            control = kernels.png(kernels.resize(kernels.control_map(big), vocab.OUTPUT_SIZE, vocab.OUTPUT_SIZE))
-            return (r.origin, r.image_name, big.shape[0], big.shape[1], caption, [dict(zip(names, d)) for d in det], control, None, notes)
-        except Exception as e:  # noqa: BLE001  a bad image must not end the job
-            return (r.origin, r.image_name, None, None, None, [], None, str(e) or type(e).__name__, notes)
+                lost[i] = str(e) or type(e).__name__
+        located = dict(zip(sure, providers.ask(localizer, [{"image": big[i], "boxes": [b for b, *_ in sure[i]]} for i in sure])))
+        out = []
+        for i, r in enumerate(rows):
+            try:
+                if i in lost:
+                    raise ValueError(lost[i])
+                for what, (_, why) in (("caption", captions[i]), ("detect", found[i]), ("locate", located[i])):
+                    notes[i] += [f"{what}: {why}"] * (why is not None)
+                where = {k: g for k, *g in located[i][0].get("locations", [])}
+                det = [(k, label, float(score), *where.get(k, (None, None, None))) for k, (_, score, label) in enumerate(sure[i])]
+                names = ("det_idx", "label", "score", "center_x", "center_y", "area")
+                control = kernels.png(kernels.resize(kernels.control_map(big[i]), vocab.OUTPUT_SIZE, vocab.OUTPUT_SIZE))
+                out.append((r.origin, r.image_name, *big[i].shape[:2], captions[i][0], [dict(zip(names, d)) for d in det], control, None, notes[i]))
+            except Exception as e:  # noqa: BLE001
+                out.append((r.origin, r.image_name, None, None, None, [], None, str(e) or type(e).__name__, notes[i]))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = [m() for m in (models.captioner, models.detector, models.localizer)]
@@ -93,10 +120,8 @@ def annotate(decoded: DataFrame, models: Models = Models(), root: str | None = N
             m.open()
         columns = [x.split(" ")[0] for x in _FOUND.split(", ")]
         try:
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    out = pd.DataFrame([seen(r, *opened)], columns=columns)
-                    yield out.astype({"img_h": "Int32", "img_w": "Int32"})
+            for rows in _chunks(batches):
+                yield pd.DataFrame(seen(rows, *opened), columns=columns).astype({"img_h": "Int32", "img_w": "Int32"})
         finally:
             for m in opened:
                 m.close()
@@ -108,27 +133,33 @@ def generate(made: DataFrame, models: Models = Models(), root: str | None = None
     """(origin, ok, output, output_caption, error) of (origin, image_name, prompt, control)."""
     base = root or out
 
-    def painted(r, generator: Provider, captioner: Provider) -> tuple:
-        try:
-            output = f"{base}/images/{r.image_name}_generated.png"
-            if root:
-                files.put(f"{base}/images/{r.image_name}_generated_control.png", bytes(r.control))
-            ((got, why),) = providers.ask(generator, [{"prompt": r.prompt, "control": kernels.unpng(bytes(r.control))}])
-            if why is not None:
-                return (r.origin, False, None, None, f"generate: {why}")
-            if root:
-                files.put(output, kernels.png(got["image"]))
-            return (r.origin, True, output, _caption(captioner, got["image"])[0], None)
-        except Exception as e:  # noqa: BLE001
-            return (r.origin, False, None, None, str(e) or type(e).__name__)
+    def painted(rows: list, generator: Provider, captioner: Provider) -> list[tuple]:
+        asked, lost, kept = {}, {}, {}
+        for i, r in enumerate(rows):
+            try:
+                if root:
+                    files.put(f"{base}/images/{r.image_name}_generated_control.png", bytes(r.control))
+                asked[i] = {"prompt": r.prompt, "control": kernels.unpng(bytes(r.control))}
+            except Exception as e:  # noqa: BLE001
+                lost[i] = str(e) or type(e).__name__
+        for i, (got, why) in zip(asked, providers.ask(generator, list(asked.values()))):
+            try:
+                if why is not None:
+                    raise ValueError(f"generate: {why}")
+                if root:
+                    files.put(f"{base}/images/{rows[i].image_name}_generated.png", kernels.png(got["image"]))
+                kept[i] = got["image"]
+            except Exception as e:  # noqa: BLE001
+                lost[i] = str(e) or type(e).__name__
+        said = dict(zip(kept, _captions(captioner, list(kept.values()))))
+        return [(r.origin, False, None, None, lost[i]) if i in lost else (r.origin, True, f"{base}/images/{r.image_name}_generated.png", said[i][0], None) for i, r in enumerate(rows)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator, captioner = models.generator(), models.captioner()
         generator.open(), captioner.open()
         try:
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    yield pd.DataFrame([painted(r, generator, captioner)], columns=["origin", "ok", "output", "output_caption", "error"])
+            for rows in _chunks(batches):
+                yield pd.DataFrame(painted(rows, generator, captioner), columns=["origin", "ok", "output", "output_caption", "error"])
         finally:
             generator.close(), captioner.close()
 

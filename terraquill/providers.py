@@ -95,16 +95,26 @@ class PixelPainter:
 # Providers
 
 
+def made(backend: Callable, cache_dir: str | None) -> object:
+    """A backend; one that keeps weights gets the folder for them."""
+    return backend() if cache_dir is None else backend(cache_dir=cache_dir)
+
+
+def with_cache(make: Callable[..., Provider], cache_dir: str, stores: Callable) -> Callable[[], Provider]:
+    """What makes the provider with a backend that keeps its weights in the folder."""
+    return lambda: make(stores, cache_dir)
+
+
 class Captioner:
     """A caption from an image, and the seconds that the model took to reply; the echoed question is cut off."""
 
     question, options = vocab.SCENE_QUESTION, vocab.SCENE_OPTIONS
 
-    def __init__(self, backend: Callable[[], object] = PixelTalker):
-        self.backend, self.model, self.seconds = backend, None, 0.0
+    def __init__(self, backend: Callable[..., object] = PixelTalker, cache_dir: str | None = None):
+        self.backend, self.cache_dir, self.model, self.seconds = backend, cache_dir, None, 0.0
 
     def open(self) -> None:
-        self.model = self.backend()
+        self.model = made(self.backend, self.cache_dir)
 
     def timed(self, ask: Callable, *args) -> object:
         """What the model replies. Only its own time counts, not what is done to the image before."""
@@ -157,12 +167,12 @@ class TemplateCaptioner(Captioner):
 class Detector:
     """Boxes in pixels, scores and labels. A backend that can't be made leaves every image without detections."""
 
-    def __init__(self, backend: Callable[[], object] = PixelBoxes):
-        self.backend, self.model = backend, None
+    def __init__(self, backend: Callable[..., object] = PixelBoxes, cache_dir: str | None = None):
+        self.backend, self.cache_dir, self.model = backend, cache_dir, None
 
     def open(self) -> None:
         try:
-            self.model = self.backend()
+            self.model = made(self.backend, self.cache_dir)
         except Exception:  # noqa: BLE001  the detector alone may be missing
             self.model = None
 
@@ -183,11 +193,11 @@ class Detector:
 class Localizer:
     """(index, centre, area) of each box whose first mask isn't empty; one call of the model for each box."""
 
-    def __init__(self, backend: Callable[[], object] = PixelMasks):
-        self.backend, self.model = backend, None
+    def __init__(self, backend: Callable[..., object] = PixelMasks, cache_dir: str | None = None):
+        self.backend, self.cache_dir, self.model = backend, cache_dir, None
 
     def open(self) -> None:
-        self.model = self.backend()
+        self.model = made(self.backend, self.cache_dir)
 
     def predict(self, rows: list[dict]) -> list[dict]:
         return [{"locations": [(i, *g) for i, b in enumerate(r["boxes"]) if (g := kernels.mask_geometry(self.model.masks(r["image"], b)[0]))]} for r in rows]
@@ -202,11 +212,11 @@ class Generator:
 
     options = vocab.GENERATION_OPTIONS
 
-    def __init__(self, backend: Callable[[], object] = PixelPainter):
-        self.backend, self.model = backend, None
+    def __init__(self, backend: Callable[..., object] = PixelPainter, cache_dir: str | None = None):
+        self.backend, self.cache_dir, self.model = backend, cache_dir, None
 
     def open(self) -> None:
-        self.model = self.backend()
+        self.model = made(self.backend, self.cache_dir)
 
     def predict(self, rows: list[dict]) -> list[dict]:
         return [{"image": self.model.paint(r["prompt"], r["control"], negative_prompt=vocab.NEGATIVE_PROMPT, **self.options)} for r in rows]
@@ -229,8 +239,13 @@ def from_table(images: DataFrame, captions: DataFrame) -> DataFrame:
 
 def ask(provider: Provider, rows: list[dict]) -> list[tuple[dict, str | None]]:
     """What the provider says to each row, and why not. Where rows fail together, each is tried alone."""
+    if not rows:
+        return []
     try:
-        return [(got, None) for got in provider.predict(rows)]
+        said = provider.predict(rows)
+        if len(said) != len(rows):
+            raise ValueError(f"{len(said)} replies to {len(rows)} rows")
+        return [(got, None) for got in said]
     except Exception as e:  # noqa: BLE001  a bad row must not end the job
         return [({}, str(e) or type(e).__name__)] if len(rows) == 1 else [x for r in rows for x in ask(provider, [r])]
 

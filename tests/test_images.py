@@ -354,3 +354,54 @@ def test_images_of_pages(spark, tmp_path):
             assert big[f"page_{i}"]["digest"] == sha256(want.tobytes()).hexdigest() and big[f"page_{i}"]["error"] is None
     assert big["page_3"]["error"] == "not an image"
     assert fixtures.page_images(spark, str(tmp_path)) == fixtures.page_images(spark, str(tmp_path))
+
+
+def test_models_get_several_images_at_once(spark, folder):
+    """As many as TOGETHER at a call; where one image of a call fails, the others' replies stay."""
+    for i in range(9):
+        write(folder / "in", f"n{i}.png", np.full((4, 5, 3), 20 + i, np.uint8))
+
+    class Counting(providers.Captioner):
+        def predict(self, rows):
+            if any((r["image"] == 25).all() for r in rows):
+                raise ValueError("25")
+            return [{"caption": f"one of {len(rows)}"} for _ in rows]
+
+    decoded = images.decode(spark, str(folder / "in")).where("image_name LIKE 'n%'").coalesce(1)
+    rows = {r["image_name"]: r for r in pipeline.annotate(decoded, pipeline.Models(captioner=Counting)).collect()}
+    assert len(rows) == 9 and rows["n5"]["caption"] is None and rows["n5"]["notes"] == ["caption: 25"] and rows["n5"]["error"] is None
+    assert all(r["caption"].startswith("one of ") for n, r in rows.items() if n != "n5")
+    rows = pipeline.annotate(decoded.where("image_name <> 'n5'"), pipeline.Models(captioner=Counting)).collect()
+    assert {r["caption"] for r in rows} == {f"one of {pipeline.TOGETHER}"}
+
+    class Short(providers.Captioner):
+        def predict(self, rows):
+            return super().predict(rows)[1:]
+
+    assert {r["notes"][0] for r in pipeline.annotate(decoded, pipeline.Models(captioner=Short)).collect()} == {"caption: 0 replies to 1 rows"}
+
+    class Odd(providers.PixelBoxes):
+        def detect(self, image, classes):
+            return super().detect(image, classes) | ({"boxes": [[0.0] * 4], "scores": [None], "labels": ["car"]} if (image == 22).all() else {})
+
+    rows = {r["image_name"]: r["error"] for r in pipeline.annotate(decoded, pipeline.Models(detector=lambda: providers.Detector(Odd))).collect()}
+    assert [n for n, why in rows.items() if why] == ["n2"]
+
+
+def test_weights_come_from_the_cache_folder(spark, folder):
+    (folder / "cache").mkdir()
+    (folder / "cache" / "weights.txt").write_text("The image shows a stored answer.")
+
+    class Stored(providers.PixelTalker):
+        def __init__(self, cache_dir):
+            with open(f"{cache_dir}/weights.txt") as f:
+                self.answer = f.read()
+
+        def _text(self, x):
+            return self.answer
+
+    cached = providers.with_cache(providers.Captioner, config.Config(cache_dir=str(folder / "cache")).cache_dir, Stored)
+    rows = ran(spark, folder, captioner=cached)
+    assert rows["b.png"]["metadata"]["output_caption"] == "a stored answer."
+    with pytest.raises(Exception, match="weights.txt"):
+        ran(spark, folder, captioner=providers.with_cache(providers.Captioner, str(folder / "none"), Stored))
